@@ -29,6 +29,18 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), TokenCache(spark, shared_dir(spark, "token-cache")))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm.pii import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm.quality import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,5 +49,5 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op5_token_counts, op9_pack)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op5_token_counts, op6_pii, op8_quality_rules, op9_pack)}
 ORACLE_SQL: dict[str, str] = {}
