@@ -35,6 +35,12 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm.toxicity import flagged
+
+    return flagged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrata.llm.quality import quality_rules
 
@@ -49,5 +55,11 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op5_token_counts, op6_pii, op8_quality_rules, op9_pack)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm.langid import language_id
+
+    return language_id(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op5_token_counts, op6_pii, op7_toxicity, op8_quality_rules, op9_pack, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
