@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestrata.llm.common import shared_dir, table
 
@@ -23,6 +24,27 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op2_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive in 16 batches, are compacted, and come back from the newest manifest's shards."""
+    from lodestrata.llm.shards import ShardStore
+
+    store = ShardStore(spark, shared_dir(spark, "shards"), target_bytes=64 << 20)
+    docs = table(spark, sf_dir, "documents")
+    store.append(docs.withColumn("_arrival", F.pmod(F.xxhash64("doc_id"), F.lit(16))), by="_arrival")
+    store.compact()
+    store.vacuum()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+
+
+OP2_SQL = "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents"
+
+
+def op3_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrata.llm.tokencount import TokenCache, token_counts
 
@@ -61,5 +83,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op5_token_counts, op6_pii, op7_toxicity, op8_quality_rules, op9_pack, op10_language_id)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_compaction, op3_leaks, op5_token_counts, op6_pii, op7_toxicity, op8_quality_rules, op9_pack, op10_language_id)}
+ORACLE_SQL: dict[str, str] = {"op2_compaction": OP2_SQL}
