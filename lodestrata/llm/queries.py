@@ -45,6 +45,12 @@ def op3_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm.jaccard import near_copies
+
+    return near_copies(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrata.llm.tokencount import TokenCache, token_counts
 
@@ -83,5 +89,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_compaction, op3_leaks, op5_token_counts, op6_pii, op7_toxicity, op8_quality_rules, op9_pack, op10_language_id)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_compaction, op3_leaks, op4_jaccard_join, op5_token_counts, op6_pii, op7_toxicity, op8_quality_rules, op9_pack, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {"op2_compaction": OP2_SQL}
