@@ -133,7 +133,7 @@ def _runs(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in ROWS.split(", ")])
 
-    def send(run: int, ids: list, texts: list[int], h: np.ndarray, of: np.ndarray, n_texts: int) -> Iterator[tuple]:
+    def send(run: int, ids: list, marks: list[int], h: np.ndarray, of: np.ndarray, n_texts: int) -> Iterator[tuple]:
         order = np.argsort(h, kind="stable")
         h, of = h[order], of[order]
         new = np.ones(len(h), bool)
@@ -150,7 +150,7 @@ def _runs(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             if digest is not None:
                 local = first.setdefault(digest, t)
                 keep[local] = True
-            yield ((run + t) % buckets, 1, run, local, ids[t], texts[t], digest, int(sizes[t]), None)
+            yield ((run + t) % buckets, 1, run, local, ids[t], marks[t], digest, int(sizes[t]), None)
         h, of = h[keep[of]], of[keep[of]].astype(np.uint16)
         if not len(h):
             return
@@ -175,15 +175,14 @@ def _runs(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, run = Hasher(), TaskContext.get().partitionId() << 32
         for b in batches:
-            ids, texts, at = b.column("doc_id").to_pylist(), text_bytes(b.column("text")), 0
+            ids, marks, texts, at = b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist(), text_bytes(b.column("text")), 0
             while at < len(texts):
                 end, size = at, 0
                 while end < len(texts) and end - at < _NONE - 1 and size < 6 * RUN:
                     size += len(texts[end])
                     end += 1
                 part = texts[at:end]
-                marks = [xxhash.xxh64_intdigest(t, 42) for t in part]
-                rows = list(send(run, ids[at:end], [m - (m >> 63 << 64) for m in marks], *hasher(part), len(part)))
+                rows = list(send(run, ids[at:end], marks[at:end], *hasher(part), len(part)))
                 yield table(rows)
                 run, at = run + len(part), end
 
@@ -361,7 +360,7 @@ def near_copies(docs: DataFrame, boundary: int | None = None) -> DataFrame:
     null only where the whole group has none). A row without words has 0 shingles and
     its own doc_id. text_hash is Spark's xxhash64 of the text.
     """
-    rows = narrowed(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = narrowed(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(8, int(size / 6 / RANGE) + 1)
     back = written(rows.mapInArrow(_runs(buckets), ROWS).groupBy("bucket").applyInPandas(_counted, ROWS), "jaccard-runs")

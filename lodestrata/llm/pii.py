@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import narrowed
-from lodestrata.llm.native import let, sums_before, total
+from lodestrata.llm.native import Body, let, sums_before, total
 
 MIN_SCORE = 0.5
 #: Code points before a span in which context words count.
@@ -133,23 +133,26 @@ def find_pii(docs: DataFrame) -> DataFrame:
 def masked(text: Column) -> Column:
     """The text with each confirmed span as its kind in angle brackets; kinds are masked one after another, null stays null."""
 
-    def replaced(text: Column, kind: Kind) -> Column:
-        found, pieces = proposals(text, kind)
+    def masker(kind: Kind) -> Body:
+        def replaced(text: Column) -> Column:
+            found, pieces = proposals(text, kind)
 
-        def mend(matches: Column) -> Column:
-            def build(gaps: Column) -> Column:
-                def shown(m: Column, i: Column) -> Column:
-                    near = F.lower(F.right(F.get(gaps, i), F.lit(CONTEXT)))
-                    enough = F.lit(kind.score >= MIN_SCORE) | near.rlike(rf"(?:{kind.context})")
-                    return F.concat(F.get(gaps, i), F.when(_valid(kind.name, m) & enough, F.lit(f"<{kind.name.upper()}>")).otherwise(m))
+            def mend(matches: Column) -> Column:
+                def build(gaps: Column) -> Column:
+                    def shown(m: Column, i: Column) -> Column:
+                        near = F.lower(F.right(F.get(gaps, i), F.lit(CONTEXT)))
+                        enough = F.lit(kind.score >= MIN_SCORE) | near.rlike(rf"(?:{kind.context})")
+                        return F.concat(F.get(gaps, i), F.when(_valid(kind.name, m) & enough, F.lit(f"<{kind.name.upper()}>")).otherwise(m))
 
-                return F.concat(F.array_join(F.transform(matches, shown), ""), F.element_at(gaps, -1))
+                    return F.concat(F.array_join(F.transform(matches, shown), ""), F.element_at(gaps, -1))
 
-            return F.when(F.size(matches) > 0, let(pieces, build)).otherwise(text)
+                return F.when(F.size(matches) > 0, let(pieces, build)).otherwise(text)
 
-        return let(found, mend)
+            return let(found, mend)
+
+        return replaced
 
     out = text
     for kind in (BASE[0], ADDED[0], BASE[2], BASE[3], BASE[1], *ADDED[1:]):
-        out = let(out, lambda t, k=kind: replaced(t, k))
+        out = let(out, masker(kind))
     return F.when(text.isNotNull(), out)
