@@ -28,8 +28,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -189,12 +189,12 @@ def _runs(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return go
 
 
-def _counted(rows: pd.DataFrame) -> pd.DataFrame:
+def _counted(rows: pa.Table) -> pa.Table:
     """Step 1's reduce side, for one range of hashes: what recurs goes back to its run with its level; other rows pass."""
-    here = rows[rows["kind"] == 0]
-    out = [rows[rows["kind"] != 0]]
-    if len(here):
-        parts = [unpacked(d, np.uint16, np.uint16) for d in here["data"]]
+    here = rows.filter(pc.equal(rows["kind"], 0))
+    out = [rows.filter(pc.not_equal(rows["kind"], 0))]
+    if here.num_rows:
+        parts = [unpacked(d, np.uint16, np.uint16) for d in here["data"].to_pylist()]
         runs = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
         h, holder, times = (np.concatenate([p[k] for p in parts]) for k in range(3))
         order = np.argsort(h, kind="stable")
@@ -208,11 +208,12 @@ def _counted(rows: pd.DataFrame) -> pd.DataFrame:
         order = np.argsort(runs, kind="stable")
         edges = np.searchsorted(runs[order], np.arange(len(parts) + 1))
         found = []
-        for k, run in enumerate(here["run"]):
+        for k in range(len(parts)):
             at = order[edges[k] : edges[k + 1]]
             found.append(packed(h[at], holder[at], level[at]) if len(at) else None)
-        out.append(here.assign(data=found).dropna(subset=["data"]))
-    return pd.concat(out)
+        here = here.set_column(here.schema.get_field_index("data"), "data", pa.array(found, pa.binary()))
+        out.append(here.filter(pc.is_valid(here["data"])))
+    return pa.concat_tables(out)
 
 
 def prefix_lengths(n: int) -> tuple[int, int]:
@@ -220,16 +221,18 @@ def prefix_lengths(n: int) -> tuple[int, int]:
     return n - (3 * n + 3) // 4 + 1, n - (6 * n + 6) // 7 + 1
 
 
-def _sets(rows: pd.DataFrame) -> pd.DataFrame:
+def _sets(rows: pa.Table) -> pa.Table:
     """Sets of one run that may have partners: recurring shingles, rare first; scan: list entries that a scan would read."""
-    documents = rows[(rows["kind"] == 1) & (rows["local"] >= 0)].drop_duplicates("local").set_index("local")
-    back = [unpacked(d, np.uint16, np.uint8) for d in rows.loc[rows["kind"] == 0, "data"]]
+    kinds = rows["kind"].to_numpy()
+    documents = dict(zip(rows["local"].to_pylist(), zip(rows["set_id"].to_pylist(), rows["n"].to_pylist(), strict=True), strict=True)) if len(kinds) else {}
+    back = [unpacked(d, np.uint16, np.uint8) for d in rows.filter(pa.array(kinds == 0))["data"].to_pylist()]
+    shape = pa.schema([("set_id", pa.binary()), ("n", pa.int64()), ("items", pa.binary()), ("scan", pa.int64())])
     if not back:
-        return pd.DataFrame({"set_id": [], "n": [], "items": [], "scan": []})
+        return shape.empty_table()
     h, holder, level = (np.concatenate([p[k] for p in back]) for k in range(3))
     often = holder == _NONE
     if often.any():
-        (oh, ol), (eh, ed) = (h[often], level[often]), unpacked(rows.loc[rows["kind"] == 2, "data"].iloc[0], np.uint16)
+        (oh, ol), (eh, ed) = (h[often], level[often]), unpacked(rows.filter(pa.array(kinds == 2))["data"][0].as_py(), np.uint16)
         order = np.argsort(oh)
         oh, ol = oh[order], ol[order]
         at = np.minimum(np.searchsorted(oh, eh), len(oh) - 1)
@@ -240,11 +243,11 @@ def _sets(rows: pd.DataFrame) -> pd.DataFrame:
     owners, begin = np.unique(holder, return_index=True)
     out = []
     for t, a, b in zip(owners.tolist(), begin.tolist(), [*begin[1:].tolist(), len(h)], strict=True):
-        n, set_id = int(documents.at[t, "n"]), documents.at[t, "set_id"]
+        set_id, n = documents[t]
         alone, probe = n - (b - a), prefix_lengths(n)[0]
         if 4 * (b - a) >= 3 * n and alone < probe:
             out.append((set_id, n, h[a:b].tobytes(), int((1 << level[a : a + probe - alone].astype(np.int64)).sum())))
-    return pd.DataFrame(out, columns=["set_id", "n", "items", "scan"])
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [()] * 4, shape, strict=True)], schema=shape)
 
 
 def cost_boundary(sets: DataFrame) -> int:
@@ -363,8 +366,8 @@ def near_copies(docs: DataFrame, boundary: int | None = None) -> DataFrame:
     rows = narrowed(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(8, int(size / 6 / RANGE) + 1)
-    back = written(rows.mapInArrow(_runs(buckets), ROWS).groupBy("bucket").applyInPandas(_counted, ROWS), "jaccard-runs")
-    sets = written(back.groupBy("run").applyInPandas(_sets, SETS).dropDuplicates(["set_id"]), "jaccard-sets")
+    back = written(rows.mapInArrow(_runs(buckets), ROWS).groupBy("bucket").applyInArrow(_counted, ROWS), "jaccard-runs")
+    sets = written(back.groupBy("run").applyInArrow(_sets, SETS).dropDuplicates(["set_id"]), "jaccard-sets")
     roots = similar_sets(sets, boundary)
     documents = back.where("kind = 1").select("doc_id", "text_hash", "set_id", F.col("n").alias("n_shingles"))
     classes = documents.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("low"))

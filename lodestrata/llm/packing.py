@@ -19,7 +19,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -130,9 +129,10 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, pattern
     cut = pieces(docs, json_path, ranks_path, pattern, capacity, end_id)
     cut = cut.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "doc_tokens", "part"), F.lit(groups))).drop("part")
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
-        sequence, offset = first_fit_decreasing(rows["length"].to_numpy(np.int64), capacity)
-        return rows.assign(sequence_id=(int(key[0]) << 32) + sequence, offset=offset)[[x.split()[0] for x in PACKED.split(", ")]].astype({"doc_id": "Int64"})
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])
+        sequence, offset = first_fit_decreasing(rows["length"].to_numpy(), capacity)
+        kept = rows.select(["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        return kept.append_column("sequence_id", pa.array((key[0].as_py() << 32) + sequence)).append_column("offset", pa.array(offset))
 
-    return cut.repartition(max(1, min(groups, 4 * docs.sparkSession.sparkContext.defaultParallelism)) if groups < 10_000 else groups // 16, "grp").groupBy("grp").applyInPandas(run, PACKED)
+    return cut.repartition(max(1, min(groups, 4 * docs.sparkSession.sparkContext.defaultParallelism)) if groups < 10_000 else groups // 16, "grp").groupBy("grp").applyInArrow(run, PACKED)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import narrowed, text_bytes
+from lodestrata.llm.common import narrowed, text_bytes, written
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 #: Distinct words, and distinct pieces of words, whose counts a task remembers; it forgets all of them beyond that.
@@ -129,6 +129,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache: TokenCache, limit:
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], names=["digest", "tokenizer", "n_tokens"])
 
     cache.append(misses.mapInArrow(encode, CACHE_SCHEMA))
-    counts = cache.read().where(F.col("tokenizer") == version).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
+    # Written, so that the join below has a plain exchange on either side and a hot digest's rows can be split.
+    counts = written(cache.read().where(F.col("tokenizer") == version).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens")), "token-counts")
     light = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
     return light.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
