@@ -8,7 +8,7 @@ forward algorithm gives it in one sweep over the word. A text's score is the sum
 its words; the language with the largest wins, all languages being equally likely at
 first.
 
-Words lie between white space, are lower-cased, and get the vocabulary's word-start
+Words are runs of letters, are lower-cased, and get the vocabulary's word-start
 mark; stretches of over ``STRETCH`` characters are cut there. Characters that no piece
 covers count ``FLOOR`` in every language. Only the count table (pieces x languages)
 reaches the driver. Null texts and texts without a letter are ``und`` with score 0, as
@@ -38,10 +38,12 @@ MEMO = 300_000
 BLOCK = 1 << 20
 
 _LETTER = re.compile(r"[^\W\d_]").search
+_WORDS = re.compile(r"[^\W\d_]+").findall
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_list(text: str) -> list[str]:
-    out = text.lower().split()
+    out = _WORDS(text.lower())
     if max(map(len, out), default=0) >= STRETCH:
         out = [w[i : i + STRETCH - 1] for w in out for i in range(0, len(w), STRETCH - 1)]
     return out
@@ -88,32 +90,50 @@ class Segmenter:
 
     def __init__(self, pieces: list[str], langs: list[str], counts: np.ndarray):
         """counts: pieces x languages."""
-        self.langs, self.ids = langs, {p: i for i, p in enumerate(pieces) if p}
-        self.longest = max(map(len, self.ids), default=1)
+        self.langs, self.longest = langs, max((len(p) for p in pieces if p), default=1)
         usable = np.array([bool(p) for p in pieces])
         kept = np.where(usable[:, None], counts + SMOOTHING, 0.0)
-        # Row len(pieces): no such piece; the row after it: a character that no piece covers.
-        self.prob = np.vstack([kept / kept.sum(axis=0), np.zeros((1, len(langs))), np.full((1, len(langs)), FLOOR)])
-        self.none, self.floor = len(pieces), len(pieces) + 1
+        self.prob = kept / kept.sum(axis=0)
+        # Pieces by hash, and a bitmap that most other stretches of a word miss.
+        ids = np.flatnonzero(usable)
+        h = np.array([self._hash(pieces[i]) for i in ids], np.uint64)
+        order = np.argsort(h)
+        self.hashes, self.ids = h[order], ids[order]
+        self.bitmap = np.zeros(1 << 20, bool)
+        self.bitmap[h >> np.uint64(44)] = True
         self.known: dict[str, int] = {}
         self.rows = np.zeros((1024, len(langs)))
 
+    @staticmethod
+    def _hash(piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h + ord(c) + 1) * int(_MULTIPLIER) % 2**64
+        return h
+
     def log_probs(self, words: list[str]) -> np.ndarray:
         out, by_length = np.zeros((len(words), len(self.langs))), defaultdict(list)
         for k, w in enumerate(words):
             by_length[len(w) + 1].append(k)
-        get = self.ids.get
         for m, at in by_length.items():
-            marked = [MARK + words[k] for k in at]
+            marked = "".join([MARK + words[k] for k in at])
+            codes = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(at), m).astype(np.uint64) + np.uint64(1)
+            # alpha[j]: probability of the word's first j characters; complete once every start before j is done.
             alpha = np.zeros((m + 1, len(at), len(self.langs)))
             alpha[0] = 1.0
-            for j in range(1, m + 1):
-                for i in range(max(0, j - self.longest), j):
-                    missing = self.floor if j == i + 1 else self.none
-                    ids = np.array([get(w[i:j], missing) for w in marked])
-                    hit = np.flatnonzero(ids != self.none)
-                    if len(hit):
-                        alpha[j, hit] += alpha[i, hit] * self.prob[ids[hit]]
+            for i in range(m):
+                h = np.zeros(len(at), np.uint64)
+                for j in range(i + 1, min(m, i + self.longest) + 1):
+                    h = (h + codes[:, j - 1]) * _MULTIPLIER
+                    near = np.flatnonzero(self.bitmap[h >> np.uint64(44)])
+                    k = np.minimum(np.searchsorted(self.hashes, h[near]), len(self.hashes) - 1)
+                    same = self.hashes[k] == h[near]
+                    near, k = near[same], k[same]
+                    alpha[j, near] += alpha[i, near] * self.prob[self.ids[k]]
+                    if j == i + 1:
+                        bare = np.ones(len(at), bool)
+                        bare[near] = False
+                        alpha[j, bare] += alpha[i, bare] * FLOOR
             out[at] = np.log(alpha[m])
         return out
 
