@@ -259,7 +259,7 @@ def cost_boundary(sets: DataFrame) -> int:
     return min(BOUNDARIES, key=lambda b: (total[b], b))
 
 
-SIGNATURES = "key long, set_id binary, n long, place int, role int"
+SIGNATURES = "key long, set_id binary, n long, alone long, place int, role int"
 LIGHT, PROBE, INDEX = 0, 1, 2
 
 
@@ -284,9 +284,10 @@ def signatures(sets: DataFrame, boundary: int) -> DataFrame:
                     out.append((items[: max(0, last - alone)], k, place, role))
             if out:
                 who = np.repeat([k for _, k, _, _ in out], [len(h) for h, *_ in out])
+                alone = np.array([n - len(x) // 8 for n, x in zip(sizes, b.column("items").to_pylist(), strict=True)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([h for h, *_ in out]).astype(np.int64)), pa.array(ids, pa.binary()).take(pa.array(who)), pa.array(np.array(sizes)[who]), pa.array(np.concatenate([p for _, _, p, _ in out]).astype(np.int32)), pa.array(np.concatenate([r for *_, r in out]).astype(np.int32))],
-                    names=["key", "set_id", "n", "place", "role"],
+                    [pa.array(np.concatenate([h for h, *_ in out]).astype(np.int64)), pa.array(ids, pa.binary()).take(pa.array(who)), pa.array(np.array(sizes)[who]), pa.array(alone[who]), pa.array(np.concatenate([p for _, _, p, _ in out]).astype(np.int32)), pa.array(np.concatenate([r for *_, r in out]).astype(np.int32))],
+                    names=["key", "set_id", "n", "alone", "place", "role"],
                 )
 
     return sets.select("set_id", "n", "items").mapInArrow(run, SIGNATURES)
@@ -319,20 +320,19 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "ia", "ib").mapInArrow(test, "a binary, b binary")
 
 
-def _star_pairs(keys: DataFrame, largest: bool) -> DataFrame:
-    """Each list's members against its smallest or largest member."""
-    pick = F.max if largest else F.min
-    pivot = keys.groupBy("key").agg(pick(F.struct("n", "set_id", "place", "role")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "p.*")
-    x, y = ("p", "m") if largest else ("m", "p")
-    joined = keys.alias("m").join(pivot.alias("p"), F.col("m.key") == F.col("p.key")).where(_possible(x, y))
-    return joined.select(F.col(f"{y}.set_id").alias("a"), F.col(f"{x}.set_id").alias("b")).distinct()
+def _star_pairs(keys: DataFrame, fullest: bool) -> DataFrame:
+    """Each list's members against one of them: the one with the smallest share of shingles of its own, which is what others were copied from, or the largest."""
+    pick = F.min(F.struct(F.col("alone") / F.col("n"), "n", "set_id", "place", "role")) if fullest else F.max(F.struct("n", "set_id", "place", "role"))
+    pivot = keys.groupBy("key").agg(pick.alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "p.n", "p.set_id", "p.place", "p.role")
+    joined = keys.alias("m").join(pivot.alias("p"), F.col("m.key") == F.col("p.key")).where(_possible("m", "p") | _possible("p", "m"))
+    return joined.select(F.least("m.set_id", "p.set_id").alias("a"), F.greatest("m.set_id", "p.set_id").alias("b")).distinct()
 
 
 def similar_sets(sets: DataFrame, boundary: int | None = None) -> DataFrame:
     """node, root for every set that links with another; sets: SETS, a row each."""
     keys = written(signatures(sets, cost_boundary(sets) if boundary is None else boundary), "jaccard-keys")
     links = tested = roots = None
-    for largest in (False, True, None):
+    for fullest in (True, False, None):
         if roots is None:
             left = keys
         else:
@@ -340,18 +340,18 @@ def similar_sets(sets: DataFrame, boundary: int | None = None) -> DataFrame:
             at = keys.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
             mixed = at.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
             left = written(at.join(mixed, "key"), "jaccard-mixed")
-        if largest is None:
+        if fullest is None:
             joined = left.alias("x").join(left.alias("y"), F.col("x.key") == F.col("y.key")).where(_possible("x", "y") & (F.col("x.root") != F.col("y.root")))
-            pairs = joined.select(F.col("y.set_id").alias("a"), F.col("x.set_id").alias("b")).distinct()
+            pairs = joined.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
         else:
-            pairs = _star_pairs(left, largest)
+            pairs = _star_pairs(left, fullest)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "jaccard-pairs")
         tested = pairs if tested is None else tested.union(pairs)
         new = written(linked(pairs, sets), "jaccard-links")
         links = new if links is None else links.union(new)
-        if largest is None or not new.isEmpty():
+        if fullest is None or not new.isEmpty():
             roots = connected_components(links)
     return roots
 
