@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -47,3 +48,9 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 def narrowed(docs: DataFrame, *columns: str) -> DataFrame:
     """Only these columns, text as string; extra columns of any name don't reach the operator."""
     return docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in columns])
+
+
+def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces, so that only a piece at a time is turned into Python objects."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)

@@ -36,16 +36,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import narrowed, text_bytes, written
+from lodestrata.llm.common import narrowed, slices, text_bytes, written
 from lodestrata.llm.components import connected_components
 
 SHINGLE = 5
 HASH_BITS = 48
 #: Shingles that a run of documents holds before it is sent, and of which a range is counted at once.
-RUN, RANGE = 1 << 20, 1 << 20
+RUN, RANGE = 1 << 19, 1 << 20
 #: A shingle in so many documents of a run is counted there and sent once.
 OFTEN = 8
-MEMO = 300_000
+MEMO = 100_000
 BOUNDARIES = (0, 8, 16, 32, 64, 128)
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -174,17 +174,23 @@ def _runs(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, run = Hasher(), TaskContext.get().partitionId() << 32
-        for b in batches:
-            ids, marks, texts, at = b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist(), text_bytes(b.column("text")), 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and end - at < _NONE - 1 and size < 6 * RUN:
-                    size += len(texts[end])
-                    end += 1
-                part = texts[at:end]
-                rows = list(send(run, ids[at:end], marks[at:end], *hasher(part), len(part)))
-                yield table(rows)
-                run, at = run + len(part), end
+        ids, marks, parts, size = [], [], [], 0
+
+        def sent() -> pa.RecordBatch:
+            return table(list(send(run, ids, marks, *hasher(parts), len(parts))))
+
+        for piece in (x for b in batches for x in slices(b)):
+            for doc_id, mark, text in zip(piece.column("doc_id").to_pylist(), piece.column("text_hash").to_pylist(), text_bytes(piece.column("text")), strict=True):
+                ids.append(doc_id)
+                marks.append(mark)
+                parts.append(text)
+                size += len(text)
+                if size >= 6 * RUN or len(parts) == _NONE - 1:
+                    yield sent()
+                    run, size = run + len(parts), 0
+                    ids, marks, parts = [], [], []
+        if parts:
+            yield sent()
 
     return go
 
@@ -267,7 +273,7 @@ def signatures(sets: DataFrame, boundary: int) -> DataFrame:
     """Keys of each set: 2-subsets of light sets (role 0); single shingles to look up (1), to be found by (2), or both (3)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole, 512)):
             ids, sizes, out = b.column("set_id").to_pylist(), b.column("n").to_pylist(), []
             for k, data in enumerate(b.column("items").to_pylist()):
                 items, n = np.frombuffer(data, np.uint64), sizes[k]
@@ -308,7 +314,7 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     y = sets.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole)):
             keep = []
             for na, nb, ia, ib in zip(*[b.column(c).to_pylist() for c in ("na", "nb", "ia", "ib")], strict=True):
                 both = np.concatenate([np.frombuffer(ia, np.uint64), np.frombuffer(ib, np.uint64)])
