@@ -134,7 +134,7 @@ def paginate(query: Query, size: int, cursor: str | None = None, end_cursor: str
     key_of = lambda r: encode_cursor([_at(r, f) for f in fields])
     pinned = end_cursor is not None
     target = None if pinned else max(size, 0)
-    most = min(x for x in (target, max_rows, 1 << 31) if x is not None)
+    most = min(x for x in (target, max_rows, (1 << 31) - 2) if x is not None)
     taken = rows.limit(most + 1)
     if max_bytes is None:
         got, sizes = taken.collect(), None
