@@ -15,6 +15,7 @@ Column functions.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -97,17 +98,19 @@ def search(df: DataFrame, plan: SearchPlan | None, id_column: str, creation: str
         candidates = candidates.where(F.col(name).eqNullSafe(F.lit(value)))
     if visible is not None:
         candidates = candidates.where(visible)
-    scored = candidates.join(F.broadcast(stats))  # one row
-    norm = F.when((F.col("_len") == 0) | (F.col("_avg") == 0), 1.0).otherwise(1 - B + B * F.col("_len") / F.col("_avg"))
+    row = stats.first()  # a few numbers, over the whole table
+    n, mean = row["_n"], row["_avg"] or 0.0
+    norm = F.when(F.col("_len") == 0, 1.0).otherwise(1 - B + B * F.col("_len") / F.lit(mean)) if mean else F.lit(1.0)
     score = F.lit(0.0)
     for k in range(n_groups):
-        idf = F.ln(1 + (F.col("_n") - F.col(f"_df{k}") + 0.5) / (F.col(f"_df{k}") + 0.5))
+        df_k = row[f"_df{k}"] or 0
+        idf = F.lit(math.log(1 + (n - df_k + 0.5) / (df_k + 0.5)))
         score = score + idf * (F.col(f"_tf{k}") * (K1 + 1)) / (F.col(f"_tf{k}") + K1 * norm)
         if k < n_groups - 1:
             score = score + EXACT_BONUS * F.col(f"_tf{k}")
     if n_groups > 1:
         score = score + NEAR_BONUS / min_span(F.col("_places"), n_groups)
-    scored = scored.withColumn("_score", score if digits is None else F.round(score, digits)).select(*df.columns, "_score")
+    scored = candidates.withColumn("_score", score if digits is None else F.round(score, digits)).select(*df.columns, "_score")
     ranked = scored.orderBy(F.col("_score").desc(), F.col(creation).desc_nulls_last(), F.col(id_column).asc())
     return ranked if limit is None else ranked.limit(limit)
 

@@ -170,8 +170,8 @@ def ranked_page(ranked: DataFrame, order: list[Column], id_column: str, size: in
     """
     numbered = ranked.withColumn("_rank", F.row_number().over(Window.orderBy(*order)))
     if cursor is not None:
-        at = numbered.where(F.col(id_column) == F.lit(cursor)).agg(F.coalesce(F.max("_rank"), F.lit(0)).alias("_from"))
-        numbered = numbered.join(F.broadcast(at), F.col("_rank") > F.col("_from")).drop("_from")
+        at = numbered.where(F.col(id_column) == F.lit(cursor)).agg(F.max("_rank")).first()[0] or 0
+        numbered = numbered.where(F.col("_rank") > at)
     return numbered.orderBy("_rank").limit(size).drop("_rank")
 
 

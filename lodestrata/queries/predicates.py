@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import expr as E
 from lodestrata.operators import schema as S
 from lodestrata.operators import views as V
-from lodestrata.plans.query import Query
 from lodestrata.queries.registry import QUERIES, SQL, query, t
-from lodestrata.queries.scans import EVENTS
 from lodestrata.types import TableSpec, v
 
 
@@ -129,7 +127,3 @@ def enum_check(spark, d):
     spec = TableSpec("labels", creation="doc_id", id="doc_id", fields={"quality": v.literal(1), "toxic": v.union(v.literal(0), v.literal(1))})
     return S.validated(df, spec).select("doc_id", F.col("_problem").isNull().alias("ok"))
 
-
-def dependency_of_range(spark, d):
-    """A query's read set, for tests and tools: no rows are read."""
-    return Query(t(spark, d, "events"), EVENTS).dependency()
