@@ -23,10 +23,6 @@ def insert(df: DataFrame, rows: DataFrame, id_column: str, creation: str, now_ms
     return df.unionByName(rows.withColumn(id_column, F.uuid()).withColumn(creation, F.lit(float(start)) + k * 0.001), allowMissingColumns=True)
 
 
-def _differ(columns: list[str], a: str, b: str) -> Column:
-    return reduce(lambda x, y: x | y, [~F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns], F.lit(False))
-
-
 def patch(df: DataFrame, changes: DataFrame, key: str, fields: list[str], unset: str | None = None) -> DataFrame:
     """Shallow merge: a change's non-null field replaces the old; fields that its array column ``unset`` names become null. Ids stay."""
     c = changes.select(F.col(key), *[F.col(f).alias(f"_new_{f}") for f in fields], F.lit(True).alias("_hit"), *([F.col(unset).alias("_unset")] if unset else []))
