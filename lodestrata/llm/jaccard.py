@@ -339,8 +339,8 @@ def similar_sets(sets: DataFrame, boundary: int | None = None) -> DataFrame:
     keys = written(signatures(sets, cost_boundary(sets) if boundary is None else boundary), "jaccard-keys")
     links = tested = roots = None
     for fullest in (True, False, None):
-        if roots is None:
-            left = keys
+        if roots is None:  # nothing is linked so far: each set is its own component
+            left = keys.withColumn("root", F.col("set_id"))
         else:
             # Lists whose members are in more than one component so far.
             at = keys.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
