@@ -69,7 +69,7 @@ def point_get(spark, d):
     return Q.point_get(t(spark, d, "orders"), ORDERS, 7).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-@query("SELECT CASE WHEN EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = 1200) THEN 'supplier' WHEN EXISTS (SELECT 1 FROM customer WHERE c_custkey = 1200) THEN 'customer' ELSE 'part' END AS \"table\"")
+@query("SELECT CASE WHEN EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = 1200) THEN 'supplier' WHEN EXISTS (SELECT 1 FROM customer WHERE c_custkey = 1200) THEN 'customer' ELSE 'part' END AS \"table\" WHERE EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = 1200 UNION ALL SELECT 1 FROM customer WHERE c_custkey = 1200 UNION ALL SELECT 1 FROM part WHERE p_partkey = 1200)")
 def probe_table(spark, d):
     tables = {"supplier": (t(spark, d, "supplier"), "s_suppkey"), "customer": (t(spark, d, "customer"), "c_custkey"), "part": (t(spark, d, "part"), "p_partkey")}
     return Q.probe_tables(tables, 1200)
