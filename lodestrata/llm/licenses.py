@@ -168,9 +168,10 @@ class Scanner:
                 places.append(at)
                 base.add(label)
                 at = joined.find(p, at + 1)
-        matched = []
+        matched, first, counted = [], 0, 0
         for m in self.start.finditer(joined) if self.start else ():
-            first = joined.count(b" ", 0, m.start())
+            first += joined.count(b" ", counted, m.start())
+            counted = m.start()
             for k in self.starts[m[1]]:
                 label, a = self.templates[k]
                 if (end := a.accepted(words, first)) >= 0:

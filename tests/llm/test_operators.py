@@ -1,6 +1,7 @@
 """Each operator against a plain version, on rows with nulls, empties, repeats and clashing columns, and on an empty table."""
 
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -43,6 +44,15 @@ def test_license_templates():
             licenses.compiled(bad)
 
 
+def test_license_scan_of_a_long_text():
+    """Start words all over a long text: places are right, and finding them takes linear time."""
+    text = b"licensed released " * 300_000 + b"under the MIT License. " + b"permission " * 300_000
+    started = time.monotonic()
+    n_words, n_base, first, last, base, labels, score, n_templates, spans = licenses.Scanner(licenses.PHRASES, licenses.TEMPLATES)(text)
+    assert (n_words, n_base, first, last, base, labels, score, n_templates) == (900_004, 1, 600_002, 600_002, "mit", "mit", 1.0, 1)
+    assert spans == "599999:600004" and time.monotonic() - started < 60
+
+
 # 2
 
 
