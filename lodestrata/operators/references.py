@@ -46,3 +46,33 @@ def table_order(references: dict[str, set[str]]) -> list[str]:
 
 def root_tables(references: dict[str, set[str]]) -> list[str]:
     return [t for t, refs in references.items() if not refs - {t}]
+
+
+def harvested(results: DataFrame, value: str, depth: int = 4) -> DataFrame:
+    """Every document within a nested result: the other columns of results, id, creation_time, document.
+
+    ``value`` is a variant column. An object with a string ``_id`` is a document and isn't
+    searched further; other objects and arrays are, down to ``depth`` levels. A creation
+    time that is missing or no number is 0. Each level is an explode within the row.
+    """
+    keys = [c for c in results.columns if c != value]
+    kind = lambda path: F.schema_of_variant(F.try_variant_get("_v", path, "variant"))
+    level, out = results.select(*keys, F.col(value).alias("_v")), None
+    for k in range(depth + 1):
+        is_document = F.coalesce(kind("$._id") == "STRING", F.lit(False))
+        found = level.where(is_document).select(
+            *keys, F.variant_get("_v", "$._id", "string").alias("id"),
+            F.coalesce(F.when(kind("$._creationTime").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get("_v", "$._creationTime", "double")), F.lit(0.0)).alias("creation_time"),
+            F.col("_v").alias("document"),
+        )
+        out = found if out is None else out.unionByName(found)
+        if k < depth:
+            inner = level.where(~is_document).lateralJoin(results.sparkSession.tvf.variant_explode(F.col("_v").outer()))
+            level = inner.where(F.schema_of_variant("value").rlike("^(ARRAY|OBJECT)")).select(*keys, F.col("value").alias("_v"))
+    return out
+
+
+def changed_documents(documents: DataFrame, previous: DataFrame) -> DataFrame:
+    """Of harvested documents those that previous (id, document) lacks or holds with another value; field order doesn't matter. Of several earlier ones with an id the one with the largest JSON counts."""
+    before = previous.groupBy("id").agg(F.max(F.to_json("document")).alias("_before"))
+    return documents.join(before, "id", "left").where(~F.col("_before").eqNullSafe(F.to_json("document"))).select(*documents.columns)

@@ -100,3 +100,23 @@ def anti_spans(spark, d):
 def fk_check(spark, d):
     labels = t(spark, d, "labels").select(F.col("doc_id").alias("label"))
     return J.missing_references(labels, F.array("label"), t(spark, d, "documents").where("lang = 'en'"), "doc_id", "label").select(F.col("label").alias("doc_id"))
+
+
+_RESULT = (
+    '\'{"_id":7,"rows":[{"name":"x","_id":"c\' || c_custkey || \'","_creationTime":\' || c_custkey || \',"inner":{"_id":"hidden"}},{"deep":[{"_id":"n\' || c_nationkey || \'"},{"more":{"_id":"lost"}}]}],"n":null}\''
+)
+
+
+@query("SELECT c_custkey, 'c' || c_custkey AS id, CAST(c_custkey AS DOUBLE) AS creation_time FROM customer UNION ALL SELECT c_custkey, 'n' || c_nationkey, 0.0 FROM customer")
+def harvest(spark, d):
+    results = t(spark, d, "customer").select("c_custkey", F.parse_json(F.expr(_RESULT)).alias("value"))
+    return R.harvested(results, "value").select("c_custkey", "id", "creation_time")
+
+
+@query("SELECT c_custkey, 'c' || c_custkey AS id FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, 'n' || c_nationkey FROM customer")
+def harvest_changed(spark, d):
+    """Documents of every third customer are as before, with their fields in another order; those of the next third were different."""
+    results = t(spark, d, "customer").select("c_custkey", F.parse_json(F.expr(_RESULT)).alias("value"))
+    before = "'{\"inner\":{\"_id\":\"hidden\"},\"_creationTime\":' || c_custkey || ',\"_id\":\"c' || c_custkey || '\",\"name\":\"' || CASE WHEN c_custkey % 3 = 0 THEN 'x' ELSE 'y' END || '\"}'"
+    previous = t(spark, d, "customer").where("c_custkey % 3 < 2").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.parse_json(F.expr(before)).alias("document"))
+    return R.changed_documents(R.harvested(results, "value"), previous).select("c_custkey", "id")
