@@ -83,3 +83,23 @@ def merge_operations(*logs: DataFrame, op_id: str = "op_id") -> DataFrame:
     for x in logs[1:]:
         out = out.unionByName(x)
     return out.dropDuplicates([op_id])
+
+
+def counters(df: DataFrame, attributes: list[str], amount: Column | None = None) -> DataFrame:
+    """One total for each set of attributes, null attributes being a value of their own; each row adds 1 or its amount."""
+    return df.groupBy(*attributes).agg(F.sum(F.lit(1) if amount is None else amount).alias("total"))
+
+
+def histograms(df: DataFrame, attributes: list[str], value: str, bounds: list[float]) -> DataFrame:
+    """Count, sum, least, most and bucket counts of a measure for each set of attributes, in one partial aggregation.
+
+    ``buckets`` counts the values up to and including each bound that are above the one
+    before, and last those above all bounds. Null and NaN measures don't count.
+    """
+    rising = sorted(bounds)
+    x = F.col(value)
+    edges = [F.lit(True) if low is None else x > low for low in [None, *rising]]
+    tops = [F.lit(True) if high is None else x <= high for high in [*rising, None]]
+    buckets = F.array(*[F.count_if(a & b) for a, b in zip(edges, tops, strict=True)])
+    measured = df.where(x.isNotNull() & ~F.isnan(x.cast("double")))
+    return measured.groupBy(*attributes).agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("total"), F.min(x).alias("least"), F.max(x).alias("most"), buckets.alias("buckets"))

@@ -109,3 +109,17 @@ def identity_keys(spark, d):
 def open_counts(spark, d):
     joined = t(spark, d, "orders").join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return joined.groupBy("c_nationkey").agg(F.count_if(~F.col("o_orderstatus").isin("F")).alias("open_orders"))
+
+
+@query(
+    "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS most, count(*) FILTER (value <= 5) AS b0, "
+    "count(*) FILTER (value > 5 AND value <= 50) AS b1, count(*) FILTER (value > 50) AS b2 FROM events GROUP BY event_type"
+)
+def metric_histograms(spark, d):
+    out = A.histograms(t(spark, d, "events"), ["event_type"], "value", [50.0, 5.0])
+    return out.select("event_type", "n", F.round("total", 4).alias("total"), "least", "most", *[F.get("buckets", F.lit(k)).alias(f"b{k}") for k in range(3)])
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS total FROM orders GROUP BY ALL")
+def metric_counters(spark, d):
+    return A.counters(t(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"])
