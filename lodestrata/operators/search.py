@@ -81,7 +81,10 @@ def matches(df: DataFrame, plan: SearchPlan, id_column: str) -> DataFrame:
         F.when(t.startswith(plan.prefix), F.array(F.lit(len(hit)))).otherwise(F.array().cast("array<int>")),
     )
     words = df.withColumn("_tokens", tokens(F.col(plan.field)))
-    flat = F.flatten(F.transform("_tokens", lambda t, pos: F.transform(groups_of(t), lambda g: F.struct(pos.alias("pos"), g.alias("g")))))
+    # Groups are looked up for the words that are in one only; most words of a text aren't.
+    wanted = lambda t: t.startswith(plan.prefix) | t.isin(*plan.exact) if plan.exact else t.startswith(plan.prefix)
+    hits = F.filter(F.transform("_tokens", lambda t, pos: F.struct(t.alias("t"), pos.alias("pos"))), lambda x: wanted(x["t"]))
+    flat = F.flatten(F.transform(hits, lambda x: F.transform(groups_of(x["t"]), lambda g: F.struct(x["pos"].alias("pos"), g.alias("g")))))
     return words.withColumn("_len", F.size("_tokens")).withColumn("_places", F.when(F.size("_tokens") > 0, flat).otherwise(F.array().cast("array<struct<pos:int,g:int>>"))).drop("_tokens")
 
 
