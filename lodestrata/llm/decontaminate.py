@@ -1,14 +1,20 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Texts are compared as bytes with A-Z lower-cased and each run of ASCII signs and white
-space as one blank. An item is cut into windows of at most ``WINDOW`` bytes, equally
-long. A document leaks a window if some stretch of it is within k edits of the window,
-k = ``ERROR`` of its length. By the q-gram lemma such a stretch shares at least
-(length - q + 1) - k q grams with the window, on diagonals (place in the document minus
-place in the window) that differ by k at most. So shared grams are counted in bands of
-diagonals, each overlapping the next by half and half wider than k; bands under the
-bound are dropped and the others are verified by an alignment within the band.
-Nothing within the budget is missed.
+space as one blank. An item has windows of two kinds: equally long ones of at most
+``WINDOW`` bytes that cover it, and, where it is longer than half of that, windows of
+half of ``WINDOW`` that start every eighth of ``WINDOW``, the last one flush with the
+end. So each passage of 124 bytes or more holds a whole window, wherever in the item it
+lies. A document leaks a window if some stretch of it is within k edits of the window,
+k = ``ERROR`` of its length, or less where the bound that follows would fall under 1.
+By the q-gram lemma such a stretch shares at least (length - q + 1) - k q grams with the
+window, on diagonals (place in the document minus place in the item) that differ by k
+at most. So shared grams are counted in bands of diagonals, each overlapping the next by
+half and half wider than k, first of whole items, whose grams are indexed once, and in
+the bands that may hold a window for each window; bands under the bound are dropped and
+the others are verified by an alignment within the band. No window within its budget is
+missed. Edits count against each window's own budget, so a passage whose edits leave
+none of its windows within budget is none. Overlapping windows give a row each.
 
 The benchmark is a stated query set: it is sent to the tasks in blocks of at most
 ``BLOCK_BYTES`` (measured first; further blocks scan the documents again). Documents
@@ -45,10 +51,17 @@ def normalised(text: bytes) -> bytes:
 
 
 def windows_of(text: bytes, width: int = WINDOW) -> list[tuple[int, bytes]]:
-    """(start, bytes) of equally long windows that cover the text."""
+    """(start, bytes) of equally long windows that cover the text, and of overlapping ones half as wide."""
     n = max(1, -(-len(text) // width))
     cuts = [len(text) * i // n for i in range(n + 1)]
-    return [(a, text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    half = width // 2
+    starts = [*range(0, len(text) - half, max(1, half // 4)), len(text) - half] if len(text) > half else []
+    return [(a, text[a:b]) for a, b in sorted({*zip(cuts, cuts[1:], strict=False), *((a, a + half) for a in starts)})]
+
+
+def edit_budget(length: int, q: int = Q, error: float = ERROR) -> int:
+    """Edits that a window may have: its share, but no more than leave a shared gram; negative without any gram."""
+    return min(int(error * length), (length - q) // q)
 
 
 def gram_hashes(b: np.ndarray, q: int) -> np.ndarray:
@@ -90,7 +103,7 @@ def banded_edits(window: np.ndarray, text: np.ndarray, first: int, last: int, mo
 
 @dataclass
 class Index:
-    """Windows of a block of items, and their grams sorted by hash."""
+    """Windows of a block of items, and the items' grams sorted by hash."""
 
     items: list[int]
     starts: list[int]
@@ -98,48 +111,57 @@ class Index:
     budget: np.ndarray
     least: np.ndarray
     band: int
+    #: Of the k-th text: its windows are first[k] to first[k + 1], and the smallest of their bounds.
+    first: np.ndarray
+    least_of: np.ndarray
     hashes: np.ndarray
     begin: np.ndarray
-    window_of: np.ndarray
+    text_of: np.ndarray
     place_of: np.ndarray
     bitmap: np.ndarray
     shift: int
 
 
 def build_index(items: list[tuple[int, bytes]], q: int = Q, error: float = ERROR, width: int = WINDOW) -> Index | None:
-    ids, starts, windows, hashes, owner, place = [], [], [], [], [], []
+    ids, starts, windows, first, hashes, owner, place = [], [], [], [0], [], [], []
     for item, text in items:
-        for start, w in windows_of(normalised(text), width):
-            k = int(error * len(w))
-            if len(w) - q + 1 - k * q < 1:
-                continue
-            h = gram_hashes(np.frombuffer(w, np.uint8), q)
-            ids.append(item)
-            starts.append(start)
-            windows.append(np.frombuffer(w, np.uint8))
-            hashes.append(h)
-            owner.append(np.full(len(h), len(windows) - 1))
-            place.append(np.arange(len(h)))
+        text = normalised(text)
+        for start, w in windows_of(text, width):
+            if edit_budget(len(w), q, error) >= 0:
+                ids.append(item)
+                starts.append(start)
+                windows.append(np.frombuffer(w, np.uint8))
+        if len(windows) == first[-1]:
+            continue
+        h = gram_hashes(np.frombuffer(text, np.uint8), q)
+        hashes.append(h)
+        owner.append(np.full(len(h), len(first) - 1))
+        place.append(np.arange(len(h)))
+        first.append(len(windows))
     if not windows:
         return None
     h, owner, place = map(np.concatenate, (hashes, owner, place))
     order = np.argsort(h, kind="stable")
     distinct, begin = np.unique(h[order], return_index=True)
     size = np.array([len(w) for w in windows])
-    budget = (error * size).astype(np.int64)
+    budget = np.array([edit_budget(n, q, error) for n in size.tolist()])
+    least = size - q + 1 - budget * q
     bits = max(16, min(26, int(len(distinct)).bit_length() + 5))
     bitmap = np.zeros(1 << bits, bool)
     shift = 64 - bits
     bitmap[_slot(distinct, shift)] = True
-    return Index(ids, starts, windows, budget, size - q + 1 - budget * q, 1 << int(budget.max()).bit_length(), distinct, np.append(begin, len(h)), owner[order], place[order], bitmap, shift)
+    return Index(
+        ids, starts, windows, budget, least, 1 << int(budget.max()).bit_length(), np.array(first), np.minimum.reduceat(least, first[:-1]),
+        distinct, np.append(begin, len(h)), owner[order], place[order], bitmap, shift,
+    )
 
 
 def _slot(h: np.ndarray, shift: int) -> np.ndarray:
     return (h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(shift)
 
 
-def shared_grams(text: np.ndarray, x: Index, q: int = Q) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and diagonals of all grams that the text shares with the index."""
+def shared_grams(text: np.ndarray, x: Index, q: int = Q) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indexed texts, places in them and diagonals of all grams that the text shares with the index."""
     found, places = [], []
     for at in range(0, max(1, len(text) - q + 1), CHUNK):
         h = gram_hashes(text[at : at + CHUNK + q - 1], q)
@@ -152,37 +174,56 @@ def shared_grams(text: np.ndarray, x: Index, q: int = Q) -> tuple[np.ndarray, np
     gram, place = np.concatenate(found), np.concatenate(places)
     n = x.begin[gram + 1] - x.begin[gram]
     row = np.repeat(x.begin[gram] - np.append(0, np.cumsum(n))[:-1], n) + np.arange(n.sum())
-    return x.window_of[row], np.repeat(place, n) - x.place_of[row]
+    return x.text_of[row], x.place_of[row], np.repeat(place, n) - x.place_of[row]
 
 
-def leaks(texts: list[bytes], x: Index, q: int = Q) -> Iterator[tuple[int, int, int, int]]:
-    """(text, window, edits, end) of every window that a text leaks, once each; texts are normalised."""
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    joined = np.frombuffer(b"\0".join(texts), np.uint8)
-    window, diagonal = shared_grams(joined, x, q)
-    if not len(window):
+def candidates(joined: np.ndarray, x: Index, q: int = Q) -> Iterator[tuple[int, int]]:
+    """(window, first diagonal) of the bands that hold as many of a window's grams as its bound asks for."""
+    item, place, diagonal = shared_grams(joined, x, q)
+    if not len(item):
         return
     # Bands are 2 * band wide and start at each multiple of band; a diagonal lies in two of them.
     lowest = int(diagonal.min()) // x.band - 1
     span = int(diagonal.max()) // x.band - lowest + 2
-    slot = diagonal // x.band - lowest
-    keys, n = np.unique(np.concatenate([window * span + slot, window * span + slot - 1]), return_counts=True)
-    kept = n >= x.least[keys // span]
+    key = item * span + diagonal // x.band - lowest
+    key, place = np.concatenate([key, key - 1]), np.concatenate([place, place])
+    keys, group, n = np.unique(key, return_inverse=True, return_counts=True)
+    enough = n >= x.least_of[keys // span]
+    if not enough.any():
+        return
+    row = np.flatnonzero(enough[group])
+    row = row[np.lexsort((place[row], group[row]))]
+    key, place = key[row], place[row]
+    edges = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+    starts, size = np.array(x.starts), np.array([len(w) for w in x.windows])
+    for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False):
+        t, first = int(key[a]) // span, (int(key[a]) % span + lowest) * x.band
+        ws = np.arange(x.first[t], x.first[t + 1])
+        held = np.searchsorted(place[a:b], starts[ws] + size[ws] - q, side="right") - np.searchsorted(place[a:b], starts[ws])
+        # diagonals of the window, which starts later than the item
+        yield from ((w, first + x.starts[w]) for w in ws[held >= x.least[ws]].tolist())
+
+
+def leaks(texts: list[bytes], x: Index, q: int = Q, every: bool = True) -> Iterator[tuple[int, int, int, int]]:
+    """(text, window, edits, end) of every window that a text leaks, or only of one, once each; texts are normalised."""
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    joined = np.frombuffer(b"\0".join(texts), np.uint8)
     done = set()
-    for key in keys[kept].tolist():
-        w, first = key // span, (key % span + lowest) * x.band
+    for w, first in candidates(joined, x, q):
         pattern, most = x.windows[w], int(x.budget[w])
         low, high = first - most, first + 2 * x.band - 1 + most
         # The band may touch two texts that lie side by side.
         a = int(np.searchsorted(ends, max(0, low), side="right"))
         b = int(np.searchsorted(ends, max(0, min(high + len(pattern), len(joined) - 1)), side="right"))
         for t in range(a, min(b, len(texts) - 1) + 1):
-            if (t, w) in done:
+            one = (t, w) if every else t
+            if one in done or not texts[t]:
                 continue
             begin = int(ends[t]) - 1 - len(texts[t])
-            hit = banded_edits(pattern, joined[begin : begin + len(texts[t])], low - begin, high - begin, most) if texts[t] else None
+            at = texts[t].find(pattern.tobytes(), max(0, low - begin), max(0, high - begin + len(pattern)))
+            hit = (0, at + len(pattern)) if at >= 0 else banded_edits(pattern, joined[begin : begin + len(texts[t])], low - begin, high - begin, most)
             if hit:
-                done.add((t, w))
+                done.add(one)
                 yield t, w, *hit
 
 
@@ -242,7 +283,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, item_id: str = "item_id") -> D
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
                 for first, part in _pieces([normalised(t) for t in text_bytes(b.column("text"))] if x else [], CHUNK):
-                    for t, *_ in leaks(part, x):
+                    for t, *_ in leaks(part, x, every=False):
                         keep[first + t] = False
                 yield b.filter(pa.array(keep))
 

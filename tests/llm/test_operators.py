@@ -110,6 +110,21 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(df, bench.limit(0)).collect() == [] == decontaminate.find_leaks(df.limit(0), bench).collect()
 
 
+def test_leaks_of_passages(spark):
+    """Passages that straddle the covering windows, and windows too short for their share of edits."""
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghijklm", k=6)) for _ in range(n // 7 + 1))[:n].replace(" ", "x", 1)
+    items = [(0, words(384)), (1, words(990)), (2, words(150)), (3, "abcdefghi klmnopqr")]
+    parts = [(0, 40, 340), (1, 201, 590), (1, 433, 557), (2, 13, 140), (3, 0, 18)]
+    docs = [(i, f"{words(300)} {items[k][1][a:b]} {words(300)}") for i, (k, a, b) in enumerate(parts)]
+    docs += [(10, f"{words(300)} {items[0][1][60:115]} {words(300)}"), (11, words(900)), (12, f"{words(90)} {items[1][1][300:360]}Q{items[1][1][361:440]} {words(90)}")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = decontaminate.find_leaks(df, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {*((i, k) for i, (k, *_) in enumerate(parts)), (12, 1)}
+    assert len(rows) == len({(r.doc_id, r.item_id, r.window_start, r.window_length) for r in rows})
+    assert {r.doc_id for r in decontaminate.keep_clean(df, bench).collect()} == {10, 11}
+
+
 # 4
 
 
