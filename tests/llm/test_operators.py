@@ -191,6 +191,37 @@ def test_pii_adds_spans_and_masks(spark):
     assert out[3] == "<EMAIL> x <CARD>" and out[4] is None and out[1].startswith("iban <IBAN>, bad GB83")
 
 
+def test_ibans_before_and_after_other_words(spark):
+    """Numbers and capitals around an IBAN don't hide it; the code of an invoice before it neither, nor a second one after it."""
+    a, b, c = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    unknown = next(f"ZZ{k:02} 1234 5678 9012 345" for k in range(2, 99) if int(f"123456789012345{3535}{k:02}") % 97 == 1)
+    texts = [f"IBAN {a} BIC COBADEFFXXX", f"{b} BIC COBADEFFXXX", f"pay {a} 5 times", f"{a} {c} {b} END", f"RE12 {a} x", f"ZZ12 3456 {a} EUR 100", f"to {unknown} AND MORE", f"{a}7", f"{b}x and {a}1 {c[:-1]}3", f"日本 {c}\n{a}.", f"({a})"]
+    spans = [[a], [b], [a], [a, c, b], [a], [a], [unknown], [], [], [c, a], [a]]
+    rows = [(i, t) for i, t in enumerate([*texts, f"{b} AB1 " * 3000])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("iban")] for r in pii.find_pii(df).collect()}
+    out = {r.doc_id: r.m for r in df.select("doc_id", pii.masked(F.col("text")).alias("m")).collect()}
+    for i, (text, want) in enumerate(zip(texts, spans, strict=True)):
+        assert [text[x:y] for x, y in got[i]] == want
+        masked = text
+        for x, y in reversed(got[i]):
+            masked = masked[:x] + "<IBAN>" + masked[y:]
+        assert out[i] == masked
+    assert len(got[len(texts)]) == 3000 and out[len(texts)] == "<IBAN> AB1 " * 3000
+
+
+def test_overlapping_ibans_are_masked_as_one(spark):
+    from itertools import product
+
+    check = lambda v: int("".join(str(int(x, 36)) for x in v[4:] + v[:4])) % 97 == 1
+    a = "DE89 3704 0044 0532 0130 00"
+    first = next(x for x in (f"AT{i}{j} {''.join(k)} {a[:9]}" for i, j, k in product("123", "0123456789", product("0123456789", repeat=8))) if check(x.replace(" ", "")))
+    df = spark.createDataFrame([(1, f"x {first}{a[9:]} y AB12 3456 7890 1234 z")], "doc_id long, text string")
+    spans = pii.find_pii(df).first().spans
+    assert f"iban:2:{2 + len(first)}" in spans and f"iban:{2 + len(first) - 9}:{2 + len(first) - 9 + len(a)}" in spans
+    assert df.select(pii.masked(F.col("text"))).first()[0] == "x <IBAN> y AB12 3456 7890 1234 z"
+
+
 def test_pii_is_linear(spark):
     texts = ["a" * 300_000, "1" * 300_000, "1 " * 150_000, "a@" * 100_000, "a@b" + ".c" * 100_000, "+1" * 100_000, "x.y@z.w " * 3000]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
