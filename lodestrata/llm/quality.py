@@ -5,7 +5,10 @@ white space, punctuation, symbols, other) and the most common words of its langu
 plus a rest. They are compared with its language's reference, the sum over all
 documents of that language, by Jensen-Shannon distance (square root of the divergence
 in bits, 0 to 1). A distance counts only for texts of a minimum length, as short
-texts stray by chance. A document whose language is unknown or has no reference is
+texts stray by chance. Words are compared in small letters and without punctuation
+around them; their limit is a share of the distance that a text without any of the
+common words has from that reference, so it can be reached, and falls with the text's
+length, as chance moves the distance by about 1 / sqrt(words). A document whose language is unknown or has no reference is
 held against every reference and the nearest decides; without any reference nothing
 is rejected for its distances.
 
@@ -17,6 +20,8 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +41,10 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 #: Distances above these reject, for texts of at least so many code points or words.
 MAX_CLASS_DISTANCE, MIN_CHARS = 0.30, 400
-MAX_WORD_DISTANCE, MIN_WORDS = 0.60, 100
+MIN_WORDS = 100
+#: Limit of the word distance as a share of the distance of a text without common words: LEAST_SHARE + CHANCE / sqrt(words), MOST_SHARE at most.
+MOST_SHARE, LEAST_SHARE, CHANCE = 0.90, 0.40, 5.0
+AROUND = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def words(text: Column) -> Column:
@@ -77,6 +85,10 @@ def class_histogram(text: Column) -> Column:
     return let(left, lambda t: step(t, patterns, out))
 
 
+def bare(word: Column) -> Column:
+    return F.lower(F.btrim(word, F.lit(AROUND)))
+
+
 def word_histogram(w: Column, listed: Column) -> Column:
     """Counts of the listed words, and of all others."""
     common = F.filter(w, lambda x: F.array_contains(listed, x))
@@ -106,7 +118,7 @@ def features(docs: DataFrame) -> DataFrame:
             F.size(w).cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
             repeated_window_words(w).alias("n_repeat_words"),
-            F.transform(langs, lambda k: let(F.element_at(lists, k), lambda listed: word_histogram(w, listed))).alias("word_hists"),
+            let(F.transform(w, bare), lambda b: F.transform(langs, lambda k: let(F.element_at(lists, k), lambda listed: word_histogram(b, listed)))).alias("word_hists"),
         )
 
     wide = rows.select(
@@ -127,6 +139,15 @@ def references(feats: DataFrame) -> dict[str, tuple[list[int], list[int]]]:
     return {r["lang"]: ([r[f"c{i}"] for i in range(CLASSES)], [r[f"w{i}"] for i in range(width[r["lang"]])]) for r in known.groupBy("lang").agg(*sums).collect()}
 
 
+def farthest(counts: list[int]) -> float:
+    """Distance of a text without any listed word from a reference's counts of the listed words and the rest."""
+    listed, rest = sum(counts[:-1]), counts[-1]
+    if not listed:
+        return 0.0
+    q = rest / (listed + rest)
+    return math.sqrt((-math.log2((1 + q) / 2) + (q * math.log2(2 * q / (1 + q)) if q else 0.0) + 1 - q) / 2)
+
+
 def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance, word_distance.
 
@@ -139,13 +160,15 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     if refs:
         longs = lambda v: F.array(*[F.lit(x).cast("long") for x in v])
         classes, common = (F.create_map(*[x for k, v in refs.items() for x in (F.lit(k), longs(v[i]))]) for i in (0, 1))
-        both = F.transform("langs", lambda k, i: F.struct(js_distance(F.col("classes"), F.element_at(classes, k)).alias("c"), js_distance(F.get("word_hists", i), F.element_at(common, k)).alias("d")))
+        most = F.create_map(*[F.lit(x) for k, v in refs.items() for x in (k, farthest(v[1]))])
+        both = F.transform("langs", lambda k, i: F.struct(js_distance(F.col("classes"), F.element_at(classes, k)).alias("c"), js_distance(F.get("word_hists", i), F.element_at(common, k)).alias("d"), F.element_at(most, k).alias("f")))
         known = F.filter(both, lambda x: x["c"].isNotNull())
-        near = F.get(F.array_sort(F.transform(known, lambda x: F.struct((x["c"] + x["d"]).alias("s"), x["c"].alias("c"), x["d"].alias("d")))), F.lit(0))
+        near = F.get(F.array_sort(F.transform(known, lambda x: F.struct((x["c"] + x["d"]).alias("s"), x["c"].alias("c"), x["d"].alias("d"), x["f"].alias("f")))), F.lit(0))
     else:
-        near = F.lit(None).cast("struct<s:double,c:double,d:double>")
+        near = F.lit(None).cast("struct<s:double,c:double,d:double,f:double>")
     feats = feats.withColumn("near", near)
-    far = ((F.col("n_chars") >= MIN_CHARS) & (F.col("near.c") > MAX_CLASS_DISTANCE)) | ((n >= MIN_WORDS) & (F.col("near.d") > MAX_WORD_DISTANCE))
+    limit = F.col("near.f") * F.least(F.lit(MOST_SHARE), LEAST_SHARE + CHANCE / F.sqrt(n))
+    far = ((F.col("n_chars") >= MIN_CHARS) & (F.col("near.c") > MAX_CLASS_DISTANCE)) | ((n >= MIN_WORDS) & (F.col("near.d") > limit))
     return feats.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"),
         (~base & ~F.coalesce(far, F.lit(False))).alias("kept"), F.col("near.c").alias("class_distance"), F.col("near.d").alias("word_distance"),

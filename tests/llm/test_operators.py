@@ -242,6 +242,21 @@ def test_quality(tricky, tricky_rows, empty):
     assert quality.quality_rules(empty).collect() == []
 
 
+def test_quality_rejects_texts_without_their_languages_common_words(spark):
+    rng = random.Random(6)
+    rare = {k: ["".join(rng.choices("abcdefghiklmnoprstu", k=rng.randint(3, 9))) for _ in range(600)] for k in quality.COMMON}
+    text = lambda k, n, share=0.17: " ".join(rng.choice(quality.COMMON[k]) if rng.random() < share else rng.choice(rare[k]) for _ in range(n))
+    rows = [(len(quality.COMMON) * i + j, text(k, rng.choice([100, 150, 400, 1500])), k) for i in range(60) for j, k in enumerate(sorted(quality.COMMON))]
+    good = {i for i, *_ in rows} | {1000, 1001}
+    rows += [(1000, text("en", 300).title(), "en"), (1001, text("de", 300), None)]
+    rows += [(2000 + i, text(k, n, 0), k) for i, (k, n) in enumerate((k, n) for k in quality.COMMON for n in (110, 300, 2000))]
+    rows += [(3000, text("en", 300), "de"), (3001, text("de", 300), "fr"), (3002, text("fr", 3000), "es"), (3003, text("de", 400, 0), None), (3004, text("en", 400, 1), "en")]
+    kept = {r.doc_id for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect() if r.kept}
+    assert kept == good
+    assert abs(quality.farthest([10, 7, 83]) - spark.range(1).select(quality.js_distance(F.array(*map(F.lit, [10, 7, 83])), F.array(*map(F.lit, [0, 0, 5])))).first()[0]) < 1e-12
+    assert quality.farthest([0, 5]) == 0 and 0.99 < quality.farthest([5, 0]) <= 1
+
+
 def test_js_distance(spark):
     df = spark.sql("SELECT array(1L, 1L) AS a, array(2L, 2L) AS b, array(0L, 5L) AS c, array(7L, 0L) AS d, array(0L, 0L) AS z")
     d = lambda x, y: quality.js_distance(F.col(x), F.col(y))
