@@ -63,13 +63,26 @@ def materialise(ops: DataFrame, fields: dict[str, str], doc: str = "doc") -> Dat
     return ops.groupBy(doc).agg(*folds)
 
 
-def resolve_registers(ops: DataFrame, resolver: Callable[[pd.DataFrame], object], result: str = "string", doc: str = "doc") -> DataFrame:
-    """A register's value by a resolver of one's own, which sees all of one document's entries (ts, client, value) in entry order."""
+def counted_entries(ops: DataFrame, doc: str = "doc", by: tuple[str, ...] = ("value",)) -> DataFrame:
+    """A row for each document and distinct value: its entries' number ``n``, ``first`` and ``last`` place and latest ``ts``. ``by`` may name more, as the client."""
+    return ops.groupBy(doc, *by).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.max("ts").alias("ts"))
+
+
+def resolve_registers(ops: DataFrame, resolver: Column | Callable[[pd.DataFrame], object], result: str = "string", doc: str = "doc", by: tuple[str, ...] = ("value",)) -> DataFrame:
+    """A register's value by a resolver of one's own over the counted entries of a document.
+
+    A resolver is an aggregate of their columns, which takes any number of them. A function
+    gets them as one frame in the order of their first entries, so it is for registers
+    whose distinct values fit one; the entries themselves never meet in a frame.
+    """
+    counted = counted_entries(ops, doc, by)
+    if isinstance(resolver, Column):
+        return counted.groupBy(doc).agg(resolver.alias("value"))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({doc: [key[0]], "value": [resolver(rows.sort_values("pos", kind="stable"))]})
+        return pd.DataFrame({doc: [key[0]], "value": [resolver(rows.sort_values("first", kind="stable"))]})
 
-    return ops.groupBy(doc).applyInPandas(run, f"{doc} {ops.schema[doc].dataType.simpleString()}, value {result}")
+    return counted.groupBy(doc).applyInPandas(run, f"{doc} {ops.schema[doc].dataType.simpleString()}, value {result}")
 
 
 def new_operations(mine: DataFrame, theirs: DataFrame, op_id: str = "op_id") -> DataFrame:

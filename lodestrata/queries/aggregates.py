@@ -65,13 +65,8 @@ def conflict_by_client(spark, d):
 
 @query(f"SELECT doc, value || ':' || n AS value FROM (SELECT doc, value, count(*) AS n FROM {_OPS} GROUP BY doc, value) QUALIFY row_number() OVER (PARTITION BY doc ORDER BY n DESC, value) = 1")
 def register_resolver(spark, d):
-    """A register resolved by a function: the value that most entries hold."""
-
-    def most_common(rows):
-        n = rows["value"].value_counts()
-        best = sorted(n.items(), key=lambda x: (-x[1], x[0]))[0]
-        return f"{best[0]}:{best[1]}"
-
+    """A register resolved by a rule of one's own: the value that most entries hold."""
+    most_common = F.min_by(F.concat("value", F.lit(":"), F.col("n")), F.struct(-F.col("n"), F.col("value").isNull(), F.col("value")))
     return A.resolve_registers(_ops(spark, d), most_common)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import cron as C
 from lodestrata.functions.scalars import plain_text, query_tokens, seeded_uuid
+from lodestrata.operators import aggregates as A
 from lodestrata.operators import references as R
 from lodestrata.operators import search as T
 from lodestrata.operators import vector as V
@@ -145,6 +146,16 @@ def test_deferred_stream(spark, tmp_path):
     assert got == [(1, "x", "resolved"), (2, "y", "dropped")]
 
 
+def test_register_resolvers_see_counted_entries(spark):
+    """A hot document's entries never meet in one frame; a resolver gets a row for each distinct value."""
+    ops = spark.range(6000).select(F.lit(7).alias("doc"), F.col("id").alias("pos"), (F.col("id") % 50).alias("ts"), F.when(F.col("id") < 2500, "b").when(F.col("id") < 5000, "a").otherwise("c").alias("value"))
+    ops = ops.union(spark.sql("SELECT 8, 1L, 5L, 'x'"))
+    told = A.resolve_registers(ops, lambda rows: f"{len(rows)}:{','.join(rows['value'])}:{rows['n'].sum() if 'n' in rows else 0}")
+    assert {tuple(r) for r in told.collect()} == {(7, "3:b,a,c:6000"), (8, "1:x:1")}
+    rule = A.resolve_registers(ops, F.min_by("value", F.struct(-F.col("n"), "value")))
+    assert {tuple(r) for r in rule.collect()} == {(7, "a"), (8, "x")} and "Pandas" not in rule._jdf.queryExecution().executedPlan().toString()
+
+
 def test_change_stream(spark, tmp_path):
     log = spark.createDataFrame([("a", 0, "upsert"), ("b", 1, "upsert"), ("a", 2, "delete"), ("c", 3, "upsert")], "id string, seq long, kind string")
     log.repartition(4, "id").write.parquet(str(tmp_path / "log"))
