@@ -58,20 +58,20 @@ def fold_latest(spark: SparkSession, path: str, schema: StructType, key: str, se
     return spark.createDataFrame([], StructType([f for f in schema if f.name in (key, seq)])) if done is None else done
 
 
-def hourly_counts(spark: SparkSession, path: str, schema: StructType, lateness: str = "400 days") -> DataFrame:
-    """Rows by hour and kind: a windowed aggregation whose changed counts are upserted. Rows later than ``lateness`` are not counted."""
+def hourly_counts(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Rows by hour and kind: each batch's own counts are added to those before. Rows of any age count; ``windowed`` is for bounded lateness."""
     folder = shared_folder(spark, "hourly")
     table = VersionedTable(spark, f"{folder}/table")
-    rows = stream(spark, path, schema).withColumn("at", F.col("ts").cast("timestamp"))
-    counts = rows.withWatermark("at", lateness).groupBy(F.window("at", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    start = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(w.start AS TIMESTAMP_NTZ))")
-    changed = counts.select(start.cast("long").alias("hour_s"), "event_type", "n")
+    keys = ["hour_s", "event_type"]
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(CAST(ts AS TIMESTAMP) AS TIMESTAMP_NTZ))")
+    hour = F.expr("(us - pmod(us, 3600000000)) div 1000000")
+    rows = stream(spark, path, schema).withColumn("us", micros).select(hour.alias("hour_s"), "event_type")
 
     def merge(old: DataFrame | None, batch: DataFrame) -> DataFrame:
-        keys = ["hour_s", "event_type"]
-        return batch if old is None else old.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
+        counts = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        return counts if old is None else old.unionByName(counts).groupBy(*keys).agg(F.sum("n").alias("n"))
 
-    _ran(into_table(changed, table, merge, f"{folder}/checkpoint", "update"))
+    _ran(into_table(rows, table, merge, f"{folder}/checkpoint"))
     done = table.read()
     return spark.createDataFrame([], "hour_s long, event_type string, n long") if done is None else done
 

@@ -156,6 +156,23 @@ def test_register_resolvers_see_counted_entries(spark):
     assert {tuple(r) for r in rule.collect()} == {(7, "a"), (8, "x")} and "Pandas" not in rule._jdf.queryExecution().executedPlan().toString()
 
 
+def test_hourly_counts_keep_old_rows_of_later_batches(spark, tmp_path, monkeypatch):
+    import os
+
+    whole = feeds.stream
+    monkeypatch.setattr(feeds, "stream", lambda spark, path, schema: whole(spark, path, schema, 1))
+    times = [["2025-03-01 10:59:59.999999", "2025-03-01 10:00:00"], ["2021-03-01 10:30:00", "1969-12-31 23:30:00", None], ["2025-03-01 10:10:00", "2021-03-01 10:31:00"], ["2021-03-01 10:32:00"]]
+    for k, at_times in enumerate(times):
+        df = spark.createDataFrame([(x, "view") for x in at_times], "ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+        for f in (tmp_path / "events").glob("*.parquet"):
+            if not f.name.startswith("done"):
+                os.utime(f.rename(f.with_name(f"done-{k}-{f.name}")), (1e9 + k, 1e9 + k))
+    got = {(r.hour_s, r.event_type, r.n) for r in feeds.hourly_counts(spark, str(tmp_path / "events"), df.schema).collect()}
+    hour = lambda text: at(text) // 1000
+    assert got == {(hour("2025-03-01T10:00"), "view", 3), (hour("2021-03-01T10:00"), "view", 3), (-3600, "view", 1), (None, "view", 1)}
+
+
 def test_change_stream(spark, tmp_path):
     log = spark.createDataFrame([("a", 0, "upsert"), ("b", 1, "upsert"), ("a", 2, "delete"), ("c", 3, "upsert")], "id string, seq long, kind string")
     log.repartition(4, "id").write.parquet(str(tmp_path / "log"))
