@@ -17,22 +17,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder below the one that the cluster names in ``spark.checkpoint.dir``; a temporary one where that is unset, as in tests."""
+    """A new folder below the one that the cluster names in ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session gets a temporary folder; on a cluster, whose
+    machines don't share their folders, that is an error.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = Path(tempfile.gettempdir(), "lodestrata-shared").as_uri()
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/lodestrata/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a written table in the shared folder, read again: later steps don't depend on the executors that made it."""
-    path = shared_dir(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a folder in whatever store it is."""
     jvm = spark.sparkContext._jvm
@@ -40,6 +39,55 @@ def removed(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Scratch:
+    """Written tables of one operator's run. On leaving, those that no result reads are deleted, also after a failure."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def written(self, df: DataFrame, tag: str) -> DataFrame:
+        """df as a written table in the shared folder, read again: later steps don't depend on the executors that made it."""
+        path = shared_dir(self.spark, tag)
+        self.paths[path] = None
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[path] = out
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete these tables now."""
+        for path in [p for p, df in self.paths.items() if any(df is t for t in tables)]:
+            removed(self.spark, path)
+            del self.paths[path]
+
+    def keep(self, *tables: DataFrame) -> None:
+        """These stay, as the operator's result reads them."""
+        self.paths = {p: df for p, df in self.paths.items() if not any(df is t for t in tables)}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for path in self.paths:
+            removed(self.spark, path)
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df as a written table that stays, for results that read it."""
+    with Scratch(df.sparkSession) as scratch:
+        out = scratch.written(df, tag)
+        scratch.keep(out)
+    return out
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The texts as UTF-8; null counts as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

@@ -16,11 +16,16 @@ the others are verified by an alignment within the band. No window within its bu
 missed. Edits count against each window's own budget, so a passage whose edits leave
 none of its windows within budget is none. Overlapping windows give a row each.
 
+Items shorter than a gram after normalising are found where they stand as whole words,
+without an edit, in the same scan.
+
 The benchmark is a stated query set: it is sent to the tasks in blocks of at most
 ``BLOCK_BYTES`` (measured first; further blocks scan the documents again). Documents
-are scanned where they lie, whole, and never shuffled. Null and empty documents leak
-nothing; items that hold no gram after normalising are skipped, null items too; equal
-items are reported each; repeated documents get their rows each.
+are scanned where they lie, whole, and never shuffled, very long ones in runs of
+``CHUNK`` bytes of grams. Null and empty documents leak nothing; null items and items
+without a letter or digit hold nothing to find; equal items are reported each; repeated
+documents get their rows each; other columns are ignored by ``find_leaks`` and kept by
+``keep_clean``; empty tables give no leaks.
 """
 
 from __future__ import annotations
@@ -120,12 +125,14 @@ class Index:
     place_of: np.ndarray
     bitmap: np.ndarray
     shift: int
+    #: Items without a gram, by length with a blank at either end: sorted hashes, their windows' numbers.
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
 
 def build_index(items: list[tuple[int, bytes]], q: int = Q, error: float = ERROR, width: int = WINDOW) -> Index | None:
     ids, starts, windows, first, hashes, owner, place = [], [], [], [0], [], [], []
-    for item, text in items:
-        text = normalised(text)
+    texts = [(item, normalised(text)) for item, text in items]
+    for item, text in texts:
         for start, w in windows_of(text, width):
             if edit_budget(len(w), q, error) >= 0:
                 ids.append(item)
@@ -138,21 +145,31 @@ def build_index(items: list[tuple[int, bytes]], q: int = Q, error: float = ERROR
         owner.append(np.full(len(h), len(first) - 1))
         place.append(np.arange(len(h)))
         first.append(len(windows))
+    short: dict[int, list[tuple[int, int]]] = {}
+    size = np.array([len(w) for w in windows], np.int64)
+    for item, text in texts:
+        if text and edit_budget(len(text), q, error) < 0:
+            padded = np.frombuffer(b" " + text + b" ", np.uint8)
+            short.setdefault(len(padded), []).append((int(gram_hashes(padded, len(padded))[0]), len(windows)))
+            ids.append(item)
+            starts.append(0)
+            windows.append(padded[1:-1])
     if not windows:
         return None
-    h, owner, place = map(np.concatenate, (hashes, owner, place))
+    empty = np.zeros(0, np.int64)
+    h, owner, place = (np.concatenate(x) if x else empty for x in (hashes, owner, place))
     order = np.argsort(h, kind="stable")
-    distinct, begin = np.unique(h[order], return_index=True)
-    size = np.array([len(w) for w in windows])
-    budget = np.array([edit_budget(n, q, error) for n in size.tolist()])
+    distinct, begin = np.unique(h[order].astype(np.uint64), return_index=True)
+    budget = np.array([edit_budget(n, q, error) for n in size.tolist()], np.int64)
     least = size - q + 1 - budget * q
     bits = max(16, min(26, int(len(distinct)).bit_length() + 5))
     bitmap = np.zeros(1 << bits, bool)
     shift = 64 - bits
     bitmap[_slot(distinct, shift)] = True
     return Index(
-        ids, starts, windows, budget, least, 1 << int(budget.max()).bit_length(), np.array(first), np.minimum.reduceat(least, first[:-1]),
+        ids, starts, windows, budget, least, 1 << int(budget.max(initial=0)).bit_length(), np.array(first), np.minimum.reduceat(least, first[:-1]) if len(least) else empty,
         distinct, np.append(begin, len(h)), owner[order], place[order], bitmap, shift,
+        {n: (np.array([x for x, _ in sorted(v)], np.uint64), np.array([w for _, w in sorted(v)])) for n, v in short.items()},
     )
 
 
@@ -179,6 +196,8 @@ def shared_grams(text: np.ndarray, x: Index, q: int = Q) -> tuple[np.ndarray, np
 
 def candidates(joined: np.ndarray, x: Index, q: int = Q) -> Iterator[tuple[int, int]]:
     """(window, first diagonal) of the bands that hold as many of a window's grams as its bound asks for."""
+    if not len(x.hashes):
+        return
     item, place, diagonal = shared_grams(joined, x, q)
     if not len(item):
         return
@@ -195,7 +214,8 @@ def candidates(joined: np.ndarray, x: Index, q: int = Q) -> Iterator[tuple[int,
     row = row[np.lexsort((place[row], group[row]))]
     key, place = key[row], place[row]
     edges = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
-    starts, size = np.array(x.starts), np.array([len(w) for w in x.windows])
+    size = x.least + q - 1 + x.budget * q
+    starts = np.array(x.starts[: len(size)])
     for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False):
         t, first = int(key[a]) // span, (int(key[a]) % span + lowest) * x.band
         ws = np.arange(x.first[t], x.first[t + 1])
@@ -204,11 +224,36 @@ def candidates(joined: np.ndarray, x: Index, q: int = Q) -> Iterator[tuple[int,
         yield from ((w, first + x.starts[w]) for w in ws[held >= x.least[ws]].tolist())
 
 
+def short_hits(texts: list[bytes], x: Index) -> Iterator[tuple[int, int, int]]:
+    """(text, window, end) of every place where an item without a gram stands as whole words."""
+    if not x.short:
+        return
+    ends = np.cumsum([len(t) + 3 for t in texts])
+    padded = np.frombuffer(b"".join(b" " + t + b" \0" for t in texts), np.uint8)
+    for n, (hashes, windows) in x.short.items():
+        for at in range(0, len(padded), CHUNK):
+            part = padded[at : at + CHUNK + n - 1]
+            if len(part) < n:
+                break
+            h = gram_hashes(part, n)
+            for i in np.flatnonzero(np.isin(h, hashes)).tolist():
+                t = int(np.searchsorted(ends, at + i, side="right"))
+                for k in range(int(np.searchsorted(hashes, h[i])), int(np.searchsorted(hashes, h[i], side="right"))):
+                    w = int(windows[k])
+                    if (part[i + 1 : i + n - 1] == x.windows[w]).all() and part[i] == part[i + n - 1] == 0x20:
+                        yield t, w, at + i + n - 2 - (int(ends[t]) - 3 - len(texts[t]))
+
+
 def leaks(texts: list[bytes], x: Index, q: int = Q, every: bool = True) -> Iterator[tuple[int, int, int, int]]:
     """(text, window, edits, end) of every window that a text leaks, or only of one, once each; texts are normalised."""
     ends = np.cumsum([len(t) + 1 for t in texts])
     joined = np.frombuffer(b"\0".join(texts), np.uint8)
     done = set()
+    for t, w, end in short_hits(texts, x):
+        one = (t, w) if every else t
+        if one not in done:
+            done.add(one)
+            yield t, w, 0, end
     for w, first in candidates(joined, x, q):
         pattern, most = x.windows[w], int(x.budget[w])
         low, high = first - most, first + 2 * x.band - 1 + most

@@ -8,18 +8,26 @@ forward algorithm gives it in one sweep over the word. A text's score is the sum
 its words; the language with the largest wins, all languages being equally likely at
 first.
 
-Words are runs of letters, are lower-cased, and get the vocabulary's word-start
-mark; stretches of over ``STRETCH`` characters are cut there. Characters that no piece
-covers count ``FLOOR`` in every language. Only the count table (pieces x languages)
-reaches the driver. Null texts and texts without a letter are ``und`` with score 0, as
-are all texts where nothing could be learned. Ties go to the first language by name.
+Texts are normalised (NFKC, small letters) alike for learning and scoring. Words are
+runs of letters and the marks on them, of any length, and get the vocabulary's
+word-start mark. Characters that no piece covers count ``FLOOR`` in every language.
+Sums are rescaled on the way, so no probability is too small for long words or large
+corpora. Only the count table (pieces x languages) reaches the driver.
+
+Null texts and texts without a letter (Unicode categories L*; numerals and marks alone
+are none) are ``und`` with score 0, as are all texts where nothing could be learned.
+Ties go to the first language by name. Repeated rows count as often as they stand and
+get a row each; very long texts are read whole, a word in time in proportion to its
+length; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,24 +37,42 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import narrowed
 
 MARK = "▁"
-STRETCH = 32
 FLOOR = 1e-7
 SMOOTHING = 0.1
-#: Distinct words a task remembers; it forgets all of them beyond that.
-MEMO = 300_000
+#: Distinct words, and their characters, that a task remembers; it forgets all of them beyond that.
+MEMO, MEMO_CHARS = 300_000, 4_000_000
+#: Words above this length are summed one by one, the others together by length; the sums are the same.
+TOGETHER = 32
+#: Characters after which sums are rescaled.
+RESCALE = 8
 #: Characters of text handled at once.
 BLOCK = 1 << 20
 
-_LETTER = re.compile(r"[^\W\d_]").search
-_WORDS = re.compile(r"[^\W\d_]+").findall
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _class(of: Callable[[str], bool]) -> str:
+    """The inside of a regular expression's class of all characters with a property."""
+    out, first = [], None
+    for c in range(sys.maxunicode + 2):
+        there = c <= sys.maxunicode and of(chr(c))
+        if there and first is None:
+            first = c
+        elif not there and first is not None:
+            out.append(f"\\U{first:08x}-\\U{c - 1:08x}")
+            first = None
+    return "".join(out)
+
+
+# Letters are what \w covers less digits, the low line and the numerals that aren't letters.
+_LETTERS = r"[^\W\d_" + _class(lambda c: c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]"
+_MARKS = _class(lambda c: unicodedata.category(c)[0] == "M")
+_LETTER = re.compile(_LETTERS).search
+_WORDS = re.compile(f"{_LETTERS}+(?:[{_MARKS}]+{_LETTERS}*)*").findall
+
+
 def word_list(text: str) -> list[str]:
-    out = _WORDS(text.lower())
-    if max(map(len, out), default=0) >= STRETCH:
-        out = [w[i : i + STRETCH - 1] for w in out for i in range(0, len(w), STRETCH - 1)]
-    return out
+    return _WORDS(unicodedata.normalize("NFKC", text).lower())
 
 
 def vocabulary(model_path: str) -> list[str]:
@@ -102,6 +128,7 @@ class Segmenter:
         self.bitmap = np.zeros(1 << 20, bool)
         self.bitmap[h >> np.uint64(44)] = True
         self.known: dict[str, int] = {}
+        self.chars = 0
         self.rows = np.zeros((1024, len(langs)))
 
     @staticmethod
@@ -111,30 +138,82 @@ class Segmenter:
             h = (h + ord(c) + 1) * int(_MULTIPLIER) % 2**64
         return h
 
+    def _found(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the hashes that are pieces, and the pieces."""
+        near = np.flatnonzero(self.bitmap[h >> np.uint64(44)])
+        k = np.minimum(np.searchsorted(self.hashes, h[near]), len(self.hashes) - 1)
+        same = self.hashes[k] == h[near]
+        return near[same], self.ids[k[same]]
+
+    @staticmethod
+    def _codes(text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+
+    def _together(self, words: list[str], m: int) -> np.ndarray:
+        """Marked words of m characters each."""
+        n = len(words)
+        codes = self._codes("".join(words)).reshape(n, m)
+        # alpha[j]: probability of the word's first j characters; complete once every start before j is done.
+        alpha, logs = np.zeros((m + 1, n, len(self.langs))), np.zeros((n, len(self.langs)))
+        alpha[0] = 1.0
+        for i in range(m):
+            if i and i % RESCALE == 0:
+                top = alpha[i : i + self.longest + 1].max(axis=0)
+                alpha[i : i + self.longest + 1] /= top
+                logs += np.log(top)
+            h = np.zeros(n, np.uint64)
+            for j in range(i + 1, min(m, i + self.longest) + 1):
+                h = (h + codes[:, j - 1]) * _MULTIPLIER
+                near, ids = self._found(h)
+                alpha[j, near] += alpha[i, near] * self.prob[ids]
+                if j == i + 1:
+                    bare = np.ones(n, bool)
+                    bare[near] = False
+                    alpha[j, bare] += alpha[i, bare] * FLOOR
+        return np.log(alpha[m]) + logs
+
+    def _alone(self, word: str) -> np.ndarray:
+        """A long marked word, its ends in stretches; each needs the sums of the ``longest`` ends before it only."""
+        m, most, n_langs = len(word), self.longest, len(self.langs)
+        step = max(most, (1 << 19) // (most * n_langs))
+        window, logs = np.zeros((most, n_langs)), np.zeros(n_langs)
+        window[-1] = 1.0
+        for first in range(0, m, step):
+            last = min(m, first + step)
+            begin = max(0, first - most + 1)
+            codes = self._codes(word[begin:last])
+            # share[e, k]: probabilities of the piece that ends after character first + e and is most - k long.
+            share = np.zeros((last - first, most, n_langs))
+            h = np.zeros(len(codes), np.uint64)
+            for size in range(1, min(most, len(codes)) + 1):
+                h = (h[: len(codes) - size + 1] + codes[size - 1 :]) * _MULTIPLIER
+                at, ids = self._found(h)
+                end = at + begin + size - 1 - first
+                share[end[end >= 0], most - size] = self.prob[ids[end >= 0]]
+                if size == 1:
+                    bare = np.ones(last - first, bool)
+                    bare[end[end >= 0]] = False
+                    share[bare, most - 1] = FLOOR
+            alpha = np.concatenate([window, np.zeros((last - first, n_langs))])
+            for e in range(last - first):
+                np.einsum("ks,ks->s", share[e], alpha[e : e + most], out=alpha[e + most])
+                if e % RESCALE == RESCALE - 1:
+                    top = alpha[e + 1 : e + most + 1].max(axis=0)
+                    alpha[e + 1 : e + most + 1] /= top
+                    logs += np.log(top)
+            window = alpha[len(alpha) - most :]
+        return np.log(window[-1]) + logs
+
     def log_probs(self, words: list[str]) -> np.ndarray:
         out, by_length = np.zeros((len(words), len(self.langs))), defaultdict(list)
         for k, w in enumerate(words):
             by_length[len(w) + 1].append(k)
         for m, at in by_length.items():
-            marked = "".join([MARK + words[k] for k in at])
-            codes = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(at), m).astype(np.uint64) + np.uint64(1)
-            # alpha[j]: probability of the word's first j characters; complete once every start before j is done.
-            alpha = np.zeros((m + 1, len(at), len(self.langs)))
-            alpha[0] = 1.0
-            for i in range(m):
-                h = np.zeros(len(at), np.uint64)
-                for j in range(i + 1, min(m, i + self.longest) + 1):
-                    h = (h + codes[:, j - 1]) * _MULTIPLIER
-                    near = np.flatnonzero(self.bitmap[h >> np.uint64(44)])
-                    k = np.minimum(np.searchsorted(self.hashes, h[near]), len(self.hashes) - 1)
-                    same = self.hashes[k] == h[near]
-                    near, k = near[same], k[same]
-                    alpha[j, near] += alpha[i, near] * self.prob[self.ids[k]]
-                    if j == i + 1:
-                        bare = np.ones(len(at), bool)
-                        bare[near] = False
-                        alpha[j, bare] += alpha[i, bare] * FLOOR
-            out[at] = np.log(alpha[m])
+            if m > TOGETHER:
+                for k in at:
+                    out[k] = self._alone(MARK + words[k])
+            else:
+                out[at] = self._together([MARK + words[k] for k in at], m)
         return out
 
     def of_texts(self, texts: list[str]) -> np.ndarray:
@@ -142,9 +221,12 @@ class Segmenter:
         lists = [word_list(t) for t in texts]
         new = [w for w in {w for x in lists for w in x} if w not in self.known]
         if new:
-            if len(self.known) + len(new) > MEMO:
+            chars = sum(map(len, new))
+            if len(self.known) + len(new) > MEMO or self.chars + chars > MEMO_CHARS:
                 self.known.clear()
                 new = list({w for x in lists for w in x})
+                self.chars, chars = 0, sum(map(len, new))
+            self.chars += chars
             at = len(self.known)
             need = at + len(new)
             if need > len(self.rows):
@@ -152,11 +234,12 @@ class Segmenter:
             for k in range(0, len(new), 20_000):
                 self.rows[at + k : at + k + len(new[k : k + 20_000])] = self.log_probs(new[k : k + 20_000])
             self.known.update(zip(new, range(at, need), strict=True))
-        sizes = [len(x) for x in lists]
-        flat = np.fromiter((self.known[w] for x in lists for w in x), np.int64, sum(sizes))
-        running = np.vstack([np.zeros((1, len(self.langs))), np.cumsum(self.rows[flat], axis=0)])
-        ends = np.cumsum(sizes, dtype=np.int64)
-        return running[ends] - running[ends - sizes]
+        sizes = np.array([len(x) for x in lists], np.int64)
+        flat = np.fromiter((self.known[w] for x in lists for w in x), np.int64, int(sizes.sum()))
+        out, some = np.zeros((len(lists), len(self.langs))), np.flatnonzero(sizes)
+        if len(some):
+            out[some] = np.add.reduceat(self.rows[flat], np.append(0, np.cumsum(sizes[some]))[:-1], axis=0)
+        return out
 
 
 def held_out(doc_id: Column) -> Column:

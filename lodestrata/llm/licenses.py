@@ -2,10 +2,12 @@
 
 A template is plain wording with markup: ``<<beginOptional>> .. <<endOptional>>``
 around wording that may be missing, and ``<<var;original="..";match="..">>`` for
-wording that may be replaced (by one or more words, ``MAX_REPLACED`` at most; by the
-original or one of ``match``'s ``|`` alternatives where match is not ``.+``).
-``compiled`` turns one into a nondeterministic automaton over words: a text is
-accepted where the mandatory words follow each other exactly.
+wording that may be replaced: by the original or one of ``match``'s ``|`` alternatives,
+or, where match is ``.+``, by any words, one or more. ``compiled`` turns one into a
+nondeterministic automaton over words: a text is accepted where the mandatory words
+follow each other exactly. Free wording of any length ends at the nearest place where
+the rest of the template follows; trailing optional wording is taken where it stands.
+Matches of one template don't overlap.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased, so
 case, spacing and ASCII punctuation never matter. Null and empty texts have no words
@@ -35,20 +37,61 @@ PHRASES = {
 # Notices and licence wordings, as published.
 TEMPLATES = {
     "apache-2.0": 'Licensed under the Apache License, Version 2.0<<beginOptional>> (the "License"); you may not use this file except in compliance with the License<<endOptional>>',
-    "gpl-2.0": 'licensed under the <<beginOptional>>terms of the <<endOptional>>GNU General Public License<<beginOptional>> as published by the Free Software Foundation;<<endOptional>><<beginOptional>> either<<endOptional>> version 2',
-    "gpl-3.0": 'licensed under the <<beginOptional>>terms of the <<endOptional>>GNU General Public License<<beginOptional>> as published by the Free Software Foundation;<<endOptional>><<beginOptional>> either<<endOptional>> version 3',
+    "gpl-2.0": '<<var;original="redistribute it and/or modify it";match="redistribute it and/or modify it|licensed|released|distributed">> under the <<beginOptional>>terms of the <<endOptional>>GNU General Public License<<beginOptional>> as published by the Free Software Foundation;<<endOptional>><<beginOptional>> either<<endOptional>> version 2',
+    "gpl-3.0": '<<var;original="redistribute it and/or modify it";match="redistribute it and/or modify it|licensed|released|distributed">> under the <<beginOptional>>terms of the <<endOptional>>GNU General Public License<<beginOptional>> as published by the Free Software Foundation;<<endOptional>><<beginOptional>> either<<endOptional>> version 3',
     "cc-by-4.0": "Licensed under <<beginOptional>>a <<endOptional>><<var;original=\"CC BY\";match=\"CC BY|Creative Commons Attribution\">> 4.0",
     "cc-by-nc-4.0": "Licensed under <<beginOptional>>a <<endOptional>><<var;original=\"CC BY-NC\";match=\"CC BY-NC|Creative Commons Attribution-NonCommercial\">> 4.0",
     "cc-by-sa-4.0": "Licensed under <<beginOptional>>a <<endOptional>><<var;original=\"CC BY-SA\";match=\"CC BY-SA|Creative Commons Attribution-ShareAlike\">> 4.0",
     "mit": '<<var;original="Released";match="Released|Licensed|Distributed">> under the <<beginOptional>>terms of the <<endOptional>>MIT License',
-    "mit-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of <<var;original="this software and associated documentation files (the Software)";match=".+">>, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph) <<endOptional>>shall be included in all copies or substantial portions of <<var;original="the Software";match=".+">>',
-    "isc": 'Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies',
-    "bsd": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <<beginOptional>>1. <<endOptional>>Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. <<beginOptional>>2. <<endOptional>>Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution',
+    "mit-text": """
+        Permission is hereby granted, free of charge, to any person obtaining a copy of
+        <<var;original="this software and associated documentation files (the Software)";match=".+">>, to deal
+        in the Software without restriction, including without limitation the rights
+        to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+        copies of the Software, and to permit persons to whom the Software is
+        furnished to do so, subject to the following conditions:
+        The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph) <<endOptional>>shall be included in all
+        copies or substantial portions of the Software.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+        IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+        FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL
+        <<var;original="THE AUTHORS OR COPYRIGHT HOLDERS";match=".+">> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+        LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+        OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "isc": """
+        Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any
+        purpose with or without fee is hereby granted, provided that the above
+        copyright notice and this permission notice appear in all copies.
+        THE SOFTWARE IS PROVIDED "AS IS" AND <<var;original="THE AUTHOR";match=".+">> DISCLAIMS ALL WARRANTIES
+        WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+        MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;original="THE AUTHOR";match=".+">> BE LIABLE FOR
+        ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+        WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+        ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF
+        OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "bsd": """
+        Redistribution and use in source and binary forms, with or without
+        modification, are permitted provided that the following conditions are met:
+        <<beginOptional>>1. <<endOptional>>Redistributions of source code must retain the above copyright notice, this
+        list of conditions and the following disclaimer.
+        <<beginOptional>>2. <<endOptional>>Redistributions in binary form must reproduce the above copyright notice,
+        this list of conditions and the following disclaimer in the documentation
+        and/or other materials provided with the distribution.
+        <<beginOptional>><<beginOptional>>3. <<endOptional>>Neither the name of <<var;original="the copyright holder";match=".+">> nor the names of <<beginOptional>>its <<endOptional>>
+        contributors may be used to endorse or promote products derived from
+        this software without specific prior written permission. <<endOptional>>
+        THIS SOFTWARE IS PROVIDED BY <<var;original="THE COPYRIGHT HOLDERS AND CONTRIBUTORS";match=".+">> "AS IS"
+        AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+        IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+        DISCLAIMED. IN NO EVENT SHALL <<var;original="THE COPYRIGHT HOLDER OR CONTRIBUTORS";match=".+">> BE LIABLE
+        FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+        DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+        SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+        CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+        OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+        OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
 }
 
-#: Words that a free replacement may have at most.
-MAX_REPLACED = 40
-
 _KEPT = {*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)}
 _TO_WORDS = bytes((c | 0x20 if 0x41 <= c <= 0x5A else c) if c in _KEPT else 0x20 for c in range(256))
 
@@ -59,16 +102,16 @@ def words_of(text: bytes) -> list[bytes]:
 
 @dataclass
 class Automaton:
-    """States are numbers. steps: word to next states; free: states that any word leads to; skips: moves without a word."""
+    """States are numbers. steps: word to next states; free: the state that any word leads to; skips: moves without a word."""
 
     steps: list[dict[bytes, list[int]]] = field(default_factory=list)
-    free: list[list[int]] = field(default_factory=list)
+    free: dict[int, int] = field(default_factory=dict)
     skips: list[list[int]] = field(default_factory=list)
     final: int = 0
 
     def state(self) -> int:
-        for x, empty in ((self.steps, {}), (self.free, []), (self.skips, [])):
-            x.append(empty)
+        self.steps.append({})
+        self.skips.append([])
         return len(self.steps) - 1
 
     def chain(self, at: int, words: list[bytes]) -> int:
@@ -78,6 +121,12 @@ class Automaton:
             at = to
         return at
 
+    def any_words(self, at: int) -> int:
+        """One or more words of any kind: a state that loops."""
+        loop = self.state()
+        self.free[at] = self.free[loop] = loop
+        return loop
+
     def closed(self, states: set[int]) -> set[int]:
         todo = list(states)
         while todo:
@@ -90,27 +139,41 @@ class Automaton:
     def first_words(self) -> set[bytes]:
         return {w for s in self.closed({0}) for w in self.steps[s]}
 
-    def accepted(self, words: list[bytes], at: int) -> int:
-        """The end of the longest accepted run of words that begins at word ``at``; -1 without one."""
-        states, end = self.closed({0}), -1
-        while states:
+    def accepted(self, words: list[bytes], at: int, dead: set[int] | None = None) -> int:
+        """The end of the accepted run of words that begins at word ``at``; -1 without one.
+
+        dead holds looping states from which an earlier run read all the words in vain;
+        what they lead to is the same for every later run, so it isn't tried again.
+        """
+        dead = set() if dead is None else dead
+        stepped, looping, end = {0}, set(), -1
+        while True:
+            states = self.closed(stepped | looping)
             if self.final in states:
-                end = at
-            if at >= len(words):
-                break
-            states = self.closed({y for s in states for y in (*self.steps[s].get(words[at], ()), *self.free[s])})
+                end, looping = at, set()  # the nearest end of free wording counts
+                states = self.closed(set(stepped))
+            if not states or at >= len(words):
+                if end < 0:
+                    dead.update(looping)
+                return end
+            w = words[at]
+            stepped = {y for s in states for y in self.steps[s].get(w, ())}
+            looping = {self.free[s] for s in states if s in self.free} - dead
             at += 1
-        return end
 
 
 _MARK = re.compile(r'<<(beginOptional|endOptional|var;original="([^"]*)";match="([^"]*)")>>')
+_PATTERN_SIGN = re.compile(r"[\\.^$*+?()\[\]{}]")
 
 
 def compiled(template: str) -> Automaton:
     a = Automaton()
     at, opened, done = a.state(), [], 0
     for m in [*_MARK.finditer(template), None]:
-        at = a.chain(at, words_of(template[done : m.start() if m else len(template)].encode()))
+        wording = template[done : m.start() if m else len(template)]
+        if "<<" in wording or ">>" in wording:
+            raise ValueError(f"unknown markup in {wording!r}")
+        at = a.chain(at, words_of(wording.encode()))
         if m is None:
             break
         done = m.end()
@@ -129,13 +192,11 @@ def compiled(template: str) -> Automaton:
         else:
             to = a.state()
             if m[3] == ".+":
-                for _ in range(MAX_REPLACED):
-                    y = a.state()
-                    a.free[at].append(y)
-                    a.skips[y].append(to)
-                    at = y
+                a.skips[a.any_words(at)].append(to)
+            elif _PATTERN_SIGN.search(m[3]):
+                raise ValueError(f"match is neither .+ nor a list of wordings: {m[3]!r}")
             else:
-                for choice in {m[2], *m[3].split("|")}:
+                for choice in sorted({m[2], *m[3].split("|")}):
                     a.skips[a.chain(at, words_of(choice.encode()))].append(to)
             at = to
     if opened:
@@ -169,12 +230,14 @@ class Scanner:
                 base.add(label)
                 at = joined.find(p, at + 1)
         matched, first, counted = [], 0, 0
+        ends, dead = [0] * len(self.templates), [set() for _ in self.templates]
         for m in self.start.finditer(joined) if self.start else ():
             first += joined.count(b" ", counted, m.start())
             counted = m.start()
             for k in self.starts[m[1]]:
                 label, a = self.templates[k]
-                if (end := a.accepted(words, first)) >= 0:
+                if first >= ends[k] and (end := a.accepted(words, first, dead[k])) >= 0:
+                    ends[k] = end
                     labels.add(label)
                     matched.append((first, end))
                     full += end - first

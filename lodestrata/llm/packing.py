@@ -7,8 +7,9 @@ a group the pieces are taken longest first and put into the first open sequence
 room, which a tournament tree over the sequences' free room finds in log time.
 
 Only (doc_id, start, length, checksum) rows are shuffled, never texts or ids. Null and
-empty texts have the end id alone; equal rows are packed one by one; doc_id may be
-null; other columns are ignored.
+empty texts have the end id alone; very long texts are encoded whole; equal rows are
+packed one by one; doc_id may be null; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -78,9 +79,13 @@ class Encoder:
 
     The same vocabulary as ranks is several times faster in ``tiktoken``. Where the two
     could part - a text with a special string, or with characters outside the blocks
-    whose classes all Unicode versions share - the text goes to ``tokenizers``.
+    whose classes all Unicode versions share - the text goes to ``tokenizers``, as do
+    texts with a run of ``RUN`` characters without, or of nothing but, white space, which
+    ``tiktoken``'s patterns have no stack for.
     """
 
+    RUN = 100_000
+    endless = re.compile(rf"\S{{{RUN}}}|\s{{{RUN}}}").search
     plain = re.compile("[^\x00-ɏ‐-‧‰-⁞€]").search
 
     def __init__(self, json_path: str, ranks_path: str | None, pattern: str | None):
@@ -97,7 +102,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if self.fast is None or self.plain(text) or any(s in text for s in self.special):
+        if self.fast is None or self.plain(text) or any(s in text for s in self.special) or (len(text) >= self.RUN and self.endless(text)):
             return self.slow.encode_batch_fast([text], add_special_tokens=False)[0].ids
         return self.fast.encode_ordinary(text)
 

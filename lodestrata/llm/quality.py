@@ -4,37 +4,36 @@ Each document has two histograms: character classes (small letters, capitals, di
 white space, punctuation, symbols, other) and the most common words of its language
 plus a rest. They are compared with its language's reference, the sum over all
 documents of that language, by Jensen-Shannon distance (square root of the divergence
-in bits, 0 to 1). A distance counts only for texts of a minimum length, as short
-texts stray by chance. Words are compared in small letters and without punctuation
-around them; their limit is a share of the distance that a text without any of the
-common words has from that reference, so it can be reached, and falls with the text's
-length, as chance moves the distance by about 1 / sqrt(words). A document whose language is unknown or has no reference is
-held against every reference and the nearest decides; without any reference nothing
-is rejected for its distances.
-
-The features are computed once, inside each row, and written to the shared folder;
-only sums per language (at most the languages of ``COMMON``) move. Null texts have no
-words, so they fail the base rule; repeated rows count as often as they stand; an
-empty table gives an empty result; other columns are ignored.
+in bits, 0 to 1). A language has a reference where its documents hold ``MIN_REFERENCE``
+code points or more; its common words are the ``N_COMMON`` words that stand in most of its
+documents (ties go by the word), learned from all of them. A distance counts only for
+texts of a minimum length, as short texts stray by chance. Words are compared in small
+letters and without punctuation around them; their limit is a share of the distance
+that a text without any of the common words has from that reference, so it can be
+reached, and falls with the text's length, as chance moves the distance by about
+1 / sqrt(words). A document whose language is null is held against every reference and
+the nearest decides; one whose language is too rare for a reference isn't rejected for
+its distances, and without any reference no document is.
+
+Words are counted for each language with a partial aggregation before the shuffle; the
+features are computed once, inside each row, and written to the shared folder; only
+``N_COMMON`` words and a row of sums for each language reach the driver. Null texts have no
+words, so they fail the base rule; very long texts are read whole; repeated rows count
+as often as they stand; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import narrowed, written
 from lodestrata.llm.native import let, total
 
-# Frequent words by language.
-COMMON = {
-    "de": ["der", "die", "das", "und", "in", "zu", "den", "ist", "mit", "nicht", "von", "auf"],
-    "en": ["the", "of", "and", "to", "in", "is", "that", "for", "it", "with", "was", "as"],
-    "es": ["de", "la", "que", "el", "en", "y", "los", "se", "del", "las", "un", "por"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "que", "est", "pour"],
-}
+#: Common words of a language, and the code points that its documents must hold for a reference.
+N_COMMON, MIN_REFERENCE = 12, 5_000
 CLASSES = 7
 WHITE = " \t\n\x0b\f\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -107,11 +106,34 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)))
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, base counts and histograms of every row; histograms for all languages where the row's isn't known."""
-    rows = narrowed(docs, "doc_id", "text", "lang").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
-    langs = F.when(F.col("lang").isin(*COMMON), F.array("lang")).otherwise(F.array(*map(F.lit, sorted(COMMON))))
-    lists = F.create_map(*[x for k, v in COMMON.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+def text_rows(docs: DataFrame) -> DataFrame:
+    rows = narrowed(docs, "doc_id", "text", "lang")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
+
+
+def common_words(rows: DataFrame) -> dict[str, list[str]]:
+    """The words in most documents of each language that has a reference."""
+    sizes = rows.where("lang IS NOT NULL").groupBy("lang").agg(F.sum(F.length("text").cast("long")).alias("n")).where(F.col("n") >= MIN_REFERENCE).collect()
+    langs = sorted(r["lang"] for r in sizes)
+    if not langs:
+        return {}
+    found = rows.where(F.col("lang").isin(langs)).select("lang", F.explode(F.array_distinct(F.transform(words(F.col("text")), bare))).alias("word"))
+    counts = found.where("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= N_COMMON)
+    out: dict[str, list[str]] = {k: [] for k in langs}
+    for r in ranked.orderBy("lang", "r").collect():
+        out[r["lang"]].append(r["word"])
+    return {k: v for k, v in out.items() if v}
+
+
+def _by_lang(values: dict[str, Column], kind: str) -> Column:
+    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]) if values else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(f"array<{kind}>"))
+
+
+def features(rows: DataFrame, common: dict[str, list[str]]) -> DataFrame:
+    """doc_id, lang, base counts and histograms of every row; word histograms for all references where the row's language is null."""
+    langs = F.when(F.col("lang").isNull(), F.array(*map(F.lit, sorted(common))).cast("array<string>")).when(F.col("lang").isin(list(common)), F.array("lang")).otherwise(F.array().cast("array<string>"))
+    lists = _by_lang({k: F.array(*map(F.lit, v)) for k, v in common.items()}, "array<string>")
 
     def of(w: Column) -> Column:
         return F.struct(
@@ -131,12 +153,13 @@ def features(docs: DataFrame) -> DataFrame:
     return wide.select("doc_id", "lang", "langs", "n_chars", "w.*", "n_symbols", "n_dup_lines", "classes")
 
 
-def references(feats: DataFrame) -> dict[str, tuple[list[int], list[int]]]:
-    """Class and word counts by language over all documents; a row for each language of COMMON at most."""
-    width = {k: len(v) + 1 for k, v in COMMON.items()}
-    known = feats.where(F.col("lang").isin(*COMMON))
-    sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(CLASSES)] + [F.sum(F.get(F.get("word_hists", F.lit(0)), F.lit(i))).alias(f"w{i}") for i in range(max(width.values()))]
-    return {r["lang"]: ([r[f"c{i}"] for i in range(CLASSES)], [r[f"w{i}"] for i in range(width[r["lang"]])]) for r in known.groupBy("lang").agg(*sums).collect()}
+def references(feats: DataFrame, common: dict[str, list[str]]) -> dict[str, tuple[list[int], list[int]]]:
+    """Class and word counts over all documents of each language that has common words; a row for each."""
+    if not common:
+        return {}
+    sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(CLASSES)] + [F.sum(F.get(F.get("word_hists", F.lit(0)), F.lit(i))).alias(f"w{i}") for i in range(N_COMMON + 1)]
+    rows = feats.where(F.col("lang").isin(list(common))).groupBy("lang").agg(*sums).collect()
+    return {r["lang"]: ([r[f"c{i}"] for i in range(CLASSES)], [r[f"w{i}"] for i in range(len(common[r["lang"]]) + 1)]) for r in rows}
 
 
 def farthest(counts: list[int]) -> float:
@@ -154,14 +177,16 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     base_failed: under 50 words, or more than half of the words in repeated windows.
     kept: not base_failed, and neither distance above its limit where its guard holds.
     """
-    feats = written(features(docs), "quality")
-    refs = references(feats)
+    rows = text_rows(docs)
+    common = common_words(rows)
+    feats = written(features(rows, common), "quality")
+    refs = references(feats, common)
     n, base = F.col("n_words"), (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     if refs:
         longs = lambda v: F.array(*[F.lit(x).cast("long") for x in v])
-        classes, common = (F.create_map(*[x for k, v in refs.items() for x in (F.lit(k), longs(v[i]))]) for i in (0, 1))
+        classes, listed = (F.create_map(*[x for k, v in refs.items() for x in (F.lit(k), longs(v[i]))]) for i in (0, 1))
         most = F.create_map(*[F.lit(x) for k, v in refs.items() for x in (k, farthest(v[1]))])
-        both = F.transform("langs", lambda k, i: F.struct(js_distance(F.col("classes"), F.element_at(classes, k)).alias("c"), js_distance(F.get("word_hists", i), F.element_at(common, k)).alias("d"), F.element_at(most, k).alias("f")))
+        both = F.transform("langs", lambda k, i: F.struct(js_distance(F.col("classes"), F.element_at(classes, k)).alias("c"), js_distance(F.get("word_hists", i), F.element_at(listed, k)).alias("d"), F.element_at(most, k).alias("f")))
         known = F.filter(both, lambda x: x["c"].isNotNull())
         near = F.get(F.array_sort(F.transform(known, lambda x: F.struct((x["c"] + x["d"]).alias("s"), x["c"].alias("c"), x["d"].alias("d"), x["f"].alias("f")))), F.lit(0))
     else:

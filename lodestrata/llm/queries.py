@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import shared_dir, table
+from lodestrata.llm.common import free_name, shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Session setting that names the folder of the token counts that runs share; each call starts a new one where it is unset.
+TOKEN_CACHE = "spark.lodestrata.tokenCache"
+
 
 def _tokenizer(name: str) -> str:
     import public_tokenizers
@@ -30,7 +33,8 @@ def op2_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     store = ShardStore(spark, shared_dir(spark, "shards"), target_bytes=64 << 20)
     docs = table(spark, sf_dir, "documents")
-    store.append(docs.withColumn("_arrival", F.pmod(F.xxhash64("doc_id"), F.lit(16))), by="_arrival")
+    arrival = free_name(docs, "arrival")
+    store.append(docs.withColumn(arrival, F.pmod(F.xxhash64("doc_id"), F.lit(16))), by=arrival)
     store.compact()
     store.vacuum()
     return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
@@ -54,7 +58,8 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrata.llm.tokencount import TokenCache, token_counts
 
-    return token_counts(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), TokenCache(spark, shared_dir(spark, "token-cache")))
+    place = spark.conf.get(TOKEN_CACHE, None) or shared_dir(spark, "token-cache")
+    return token_counts(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), TokenCache(spark, place))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

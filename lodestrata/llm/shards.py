@@ -3,9 +3,12 @@
 A store is a folder: ``data/`` holds immutable Parquet shards, ``manifest/`` a JSON
 file for each version, which lists that version's shards (path, bytes, rows). Only
 what the newest manifest lists belongs to the table. A commit writes a whole new
-manifest under a hidden name and renames it to the next version's number; the rename
-fails where that number exists, so of two writers one wins and the other starts again
-from the newer version. Files of a failed job are never listed.
+manifest under a hidden name and gives it the next version's number in one step that
+fails where that number exists: a hard link on local and mounted file systems, a rename
+without overwriting on HDFS. So of two writers one wins and the other starts again from
+the newer version, and no reader sees part of a manifest. Stores whose rename isn't
+atomic and exclusive, as object stores without such a step, don't qualify. Files of a
+failed job are never listed.
 
 Appending writes arrivals as small shards. Compaction sorts shards into tiers by size,
 each ``fan_in`` times the one below; where a tier has ``fan_in`` shards or more, they are
@@ -26,6 +29,7 @@ import uuid
 from collections import defaultdict
 from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -88,12 +92,26 @@ class ShardStore:
             stream.write(bytearray(json.dumps(asdict(new)).encode()))
         finally:
             stream.close()
-        # POSIX renames replace their target, so a version that is there is looked for first as well.
-        if self._fs.exists(final) or not self._fs.rename(hidden, final):
+        try:
+            self._publish(hidden, final)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                raise Conflict(f"version {new.version} is there") from e
+            raise
+        finally:
             self._fs.delete(hidden, False)
-            raise Conflict(f"version {new.version} is there")
         return new
 
+    def _publish(self, hidden, final) -> None:
+        """Make a whole file visible under its final name; raises Java's FileAlreadyExists exceptions where that is taken."""
+        if self._fs.getUri().getScheme() == "file":
+            at = lambda p: self._jvm.java.nio.file.Path.of(self._jvm.java.net.URI.create(self._fs.makeQualified(p).toUri().toString()))
+            self._jvm.java.nio.file.Files.createLink(at(final), at(hidden))
+        else:
+            conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+            none = self.spark.sparkContext._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+            self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf).rename(hidden, final, none)
+
     # Shards
 
     def _listed(self, folder: str) -> list[tuple[str, int]]:

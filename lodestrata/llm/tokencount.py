@@ -4,12 +4,15 @@ A text is normalised (runs of ASCII white space become one blank, none at the en
 the tokenizer drops white space, so no count changes), digested with SHA-256, and
 looked up by (text digest, tokenizer digest) in a stored table of counts. One text of
 each digest that is missing is encoded and its count is appended to the table; then
-every row gets its count by its digest.
+every row gets its count by its digest. Where the cache holds anything for the
+tokenizer, digests alone are held against it first, and only the texts of missing ones
+move.
 
 The digests of copies are brought together by a partial aggregation before the
 shuffle, so a group of copies sends one row a partition; the way back is a plain join
 that adaptive execution splits where a digest is hot. Null texts are empty texts with
-no tokens; rows with equal doc_ids get a row each; other columns are ignored.
+no tokens; rows with equal doc_ids get a row each; very long texts are counted whole,
+word by word; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,11 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import narrowed, text_bytes, written
+from lodestrata.llm.common import Scratch, narrowed, text_bytes, written
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 #: Distinct words, and distinct pieces of words, whose counts a task remembers; it forgets all of them beyond that.
 MEMO = 150_000
+#: Bytes of the longest word, and characters of the longest piece, worth remembering.
+REMEMBERED = 64
+#: Digests that are sent to all tasks; beyond these, texts and missing digests are brought together by a shuffle.
+BROADCAST = 500_000
 
 
 def tokenizer_digest(path: str) -> str:
@@ -65,7 +72,9 @@ class WordCounter:
             if len(self.pieces) >= self.memo:
                 self.pieces.clear()
             shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
-            n = self.pieces[piece] = len(self.model.tokenize(shown))
+            n = len(self.model.tokenize(shown))
+            if len(piece) <= REMEMBERED:
+                self.pieces[piece] = n
         return n
 
     def _word(self, word: str) -> int:
@@ -82,7 +91,9 @@ class WordCounter:
                 if k is None:
                     if len(known) >= self.memo:
                         known.clear()
-                    k = known[w] = self._word(w.decode())
+                    k = self._word(w.decode())
+                    if len(w) <= REMEMBERED:
+                        known[w] = k
                 n += k
             out.append(n)
         return out
@@ -118,9 +129,16 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache: TokenCache, limit:
     version = tokenizer_digest(tokenizer_path)
     rows = narrowed(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("norm", _normalised(F.col("text"))).withColumn("digest", F.unhex(F.sha2("norm", 256)))
-    distinct = rows.groupBy("digest").agg(F.first("norm").alias("norm"))
     known = cache.read().where(F.col("tokenizer") == version).select("digest", "n_tokens")
-    misses = distinct.join(known.select("digest").distinct(), "digest", "left_anti")
+    scratch = Scratch(docs.sparkSession)
+    if known.isEmpty():
+        misses = rows.groupBy("digest").agg(F.first("norm").alias("norm"))
+    else:
+        missing = scratch.written(rows.select("digest").distinct().join(known.select("digest"), "digest", "left_anti"), "token-misses")
+        if missing.count() <= BROADCAST:  # 32 bytes each
+            misses = rows.join(F.broadcast(missing), "digest", "left_semi").groupBy("digest").agg(F.first("norm").alias("norm"))
+        else:  # one text of each digest a partition, so copies of a text don't meet in one task
+            misses = rows.groupBy("digest").agg(F.first("norm").alias("norm")).join(missing, "digest", "left_semi")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = WordCounter(tokenizer_path)
@@ -128,7 +146,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache: TokenCache, limit:
             n = count(text_bytes(b.column("norm")))
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], names=["digest", "tokenizer", "n_tokens"])
 
-    cache.append(misses.mapInArrow(encode, CACHE_SCHEMA))
+    with scratch:
+        cache.append(misses.mapInArrow(encode, CACHE_SCHEMA))
     # Written, so that the join below has a plain exchange on either side and a hot digest's rows can be split.
     counts = written(cache.read().where(F.col("tokenizer") == version).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens")), "token-counts")
     light = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")

@@ -10,10 +10,11 @@ gets its share of ``max_features`` by chi-square; the driver holds those feature
 and the sample's sparse rows (at most max_rows x max_features bits) and fits there.
 Scoring reads every whole text once, where it lies, with no shuffle.
 
-A null text is empty. Labels that are null or whose document is missing don't count;
+A null text is empty; a very long one is read whole. Labels that are null or whose document is missing don't count;
 a doc_id labelled twice counts once, with its largest labels; repeated rows get a row
 each. With no labels, or one class only, a category's probability is its share among
-the labels (0 without any) and nothing is rejected for it.
+the labels (0 without any) and nothing is rejected for it. Other columns are ignored
+when scoring and kept by ``keep_clean``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import narrowed, text_bytes, written
+from lodestrata.llm.common import Scratch, narrowed, text_bytes
 
 _WORD = {*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)}
 _TO_WORDS = bytes((c | 0x20 if 0x41 <= c <= 0x5A else c) if c in _WORD else 0x20 for c in range(256))
@@ -133,23 +134,24 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], max_row
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[b.column(c) for c in categories], words, dense], names=["doc_id", *categories, "words", "dense"])
 
     kinds = ", ".join(f"{c} int" for c in categories)
-    sample = written(texts.mapInArrow(split, f"doc_id long, {kinds}, words array<binary>, dense array<double>").dropDuplicates(["doc_id"]), "toxicity-sample")
-    sums = sample.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
-    n = sums["n"]
-    # Chi-square of each word against each category; each category brings in the words with its largest.
-    with_word = sample.select(*categories, F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("a"), *[F.sum(c).alias(c) for c in categories]).where("a >= 3").persist()
-    best: dict[bytes, int] = {}
-    for c in reversed(categories):
-        share = (sums[c] or 0) / max(n, 1)
-        chi = F.pow(F.col(c) - F.col("a") * share, 2) / (F.col("a") * max(share * (1 - share), 1e-9))
-        for r in with_word.select("word", chi.alias("chi")).orderBy(F.desc("chi"), "word").limit(max_features // len(categories)).collect():
-            best.setdefault(bytes(r["word"]), len(best))
-    with_word.unpersist()
-    chain = Chain(categories, best, [], [])
-    known = F.array(*[F.lit(w) for w in chain.vocabulary]) if chain.vocabulary else F.array().cast("array<binary>")
-    rows = sample.select("doc_id", *categories, F.array_intersect("words", known).alias("words"), "dense").orderBy("doc_id").collect()
-    x = chain.matrix([([chain.vocabulary[bytes(w)] for w in r["words"]], r["dense"]) for r in rows])
-    ys = np.array([[r[c] for c in categories] for r in rows], dtype=float).reshape(len(rows), len(categories))
+    with Scratch(docs.sparkSession) as scratch:
+        sample = scratch.written(texts.mapInArrow(split, f"doc_id long, {kinds}, words array<binary>, dense array<double>").dropDuplicates(["doc_id"]), "toxicity-sample")
+        sums = sample.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
+        n = sums["n"]
+        # Chi-square of each word against each category; each category brings in the words with its largest.
+        with_word = sample.select(*categories, F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("a"), *[F.sum(c).alias(c) for c in categories]).where("a >= 3").persist()
+        best: dict[bytes, int] = {}
+        for c in reversed(categories):
+            share = (sums[c] or 0) / max(n, 1)
+            chi = F.pow(F.col(c) - F.col("a") * share, 2) / (F.col("a") * max(share * (1 - share), 1e-9))
+            for r in with_word.select("word", chi.alias("chi")).orderBy(F.desc("chi"), "word").limit(max_features // len(categories)).collect():
+                best.setdefault(bytes(r["word"]), len(best))
+        with_word.unpersist()
+        chain = Chain(categories, best, [], [])
+        known = F.array(*[F.lit(w) for w in chain.vocabulary]) if chain.vocabulary else F.array().cast("array<binary>")
+        rows = sample.select("doc_id", *categories, F.array_intersect("words", known).alias("words"), "dense").orderBy("doc_id").collect()
+        x = chain.matrix([([chain.vocabulary[bytes(w)] for w in r["words"]], r["dense"]) for r in rows])
+        ys = np.array([[r[c] for c in categories] for r in rows], dtype=float).reshape(len(rows), len(categories))
     chain.weights, chain.shares = fit_chain(x, ys, np.arange(len(rows)) % folds)
     return chain
 

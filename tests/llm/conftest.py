@@ -28,12 +28,31 @@ def tricky_rows():
     return rows
 
 
+#: Names that operators use for columns of their own.
+CLASHING = "source n score digest norm bucket kind run local text_hash set_id data key grp part arrival kept_id kept_hash _kept_id _kept_hash _arrival held_out toxic langs classes w near item words known root".split()
+SHAPE = "doc_id long, text string, lang string, " + ", ".join(f"{c} string" for c in CLASHING)
+
+
 @pytest.fixture
 def tricky(spark, tricky_rows):
     """The rows with extra columns whose names operators use inside."""
-    return spark.createDataFrame([(*r, "s", 1, 2.0) for r in tricky_rows], "doc_id long, text string, lang string, source string, n int, score double").repartition(3)
+    return spark.createDataFrame([(*r, *["s"] * len(CLASHING)) for r in tricky_rows], SHAPE).repartition(3)
 
 
 @pytest.fixture
 def empty(spark):
-    return spark.createDataFrame([], "doc_id long, text string, lang string, source string, n int, score double")
+    return spark.createDataFrame([], SHAPE)
+
+
+@pytest.fixture(scope="session")
+def long_rows():
+    """Texts of a megabyte and more: ordinary words, one word, blanks, repeated lines; and copies of the first."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(1, 9))) for _ in range(5000)]
+    text = " ".join(rng.choices(words, k=200_000))
+    return [(1, text, "en"), (2, "x" * 1_000_000, "en"), (3, " \n" * 500_000, "en"), (4, "the same line, 4111 1111 1111 1111\n" * 30_000, "en"), (5, text, "de"), (6, text[:-3000] + " other end", None)]
+
+
+@pytest.fixture
+def long(spark, long_rows):
+    return spark.createDataFrame(long_rows, "doc_id long, text string, lang string").repartition(2)

@@ -1,16 +1,20 @@
 """Each operator against a plain version, on rows with nulls, empties, repeats and clashing columns, and on an empty table."""
 
+import math
 import random
+import re
+import threading
 import time
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.llm import common, decontaminate, jaccard, langid, licenses, packing, pii, quality, shards, tokencount, toxicity
+from lodestrata.llm import common, decontaminate, jaccard, langid, licenses, packing, pii, quality, queries, shards, tokencount, toxicity
 from tests.llm import plain
 
 
@@ -39,11 +43,52 @@ def test_license_templates():
     a = licenses.compiled('one <<beginOptional>>two <<beginOptional>>three <<endOptional>><<endOptional>><<var;original="x";match=".+">> four')
     accepts = lambda text: a.accepted(licenses.words_of(text.encode()), 0) == len(text.split())
     assert all(map(accepts, ["one two x four", "one two three y z four", "one q four"])) and not accepts("one four") and not accepts("two x four")
-    for bad in ("<<endOptional>>", "<<beginOptional>>x"):
+    for bad in ("<<endOptional>>", "<<beginOptional>>x", '<<var;original="x";match="[a-z]+">>', "<<alt;x>>"):
         with pytest.raises(ValueError):
             licenses.compiled(bad)
 
 
+def original(template):
+    return re.sub(r'<<var;original="([^"]*)".*?>>|<<[a-zA-Z]+>>', lambda m: m[1] or "", template)
+
+
+def test_published_wordings_and_long_replacements():
+    scan = licenses.Scanner(licenses.PHRASES, licenses.TEMPLATES)
+    labels = lambda text: scan(text.encode())[5].split(",")
+    for label, template in licenses.TEMPLATES.items():
+        text = original(template)
+        assert label in labels(f"before {text} after")
+        less = text.rsplit(None, 1)[0] if label in ("isc", "mit-text", "bsd") else text.split(None, 1)[1]
+        assert label == "mit" or label not in labels(less)
+    mit = original(licenses.TEMPLATES["mit-text"])
+    for n in (1, 41, 500):
+        assert "mit-text" in labels(mit.replace("THE AUTHORS OR COPYRIGHT HOLDERS", "someone " * n))
+    assert "mit-text" not in labels(mit.replace("THE AUTHORS OR COPYRIGHT HOLDERS", "")) and "mit-text" not in labels(mit.replace("MERCHANTABILITY", "quality"))
+    assert "bsd" not in labels(original(licenses.TEMPLATES["bsd"]).replace("DATA, OR PROFITS", "DATA"))
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"
+    assert labels(gpl) == ["gpl", "gpl-2.0"]
+    spans = scan(f"{mit} between {mit}".encode())[8].split(",")
+    n = len(licenses.words_of(mit.encode()))
+    assert spans == [f"0:{n}", f"{n + 1}:{2 * n + 1}"]
+
+
+def test_automaton_against_regular_expressions():
+    """Random texts over a small alphabet: what a template accepts at a place is what the same pattern matches there."""
+    rng = random.Random(12)
+    for template, pattern in [
+        ('a <<var;original="x";match=".+">> b<<beginOptional>> c<<endOptional>>', "a (?:[abcd] )+?b (?:c )?"),
+        ('<<beginOptional>>a <<endOptional>>b <<var;original="d";match="d|c d">> a', "(?:a )?b (?:d |c d )a "),
+        ('a <<var;original="x";match=".+">> b <<var;original="x";match=".+">> c d', "a (?:[abcd] )+?b (?:[abcd] )+?c d "),
+    ]:
+        a = licenses.compiled(template)
+        for _ in range(400):
+            words = rng.choices("abcd", k=rng.randint(0, 14))
+            text = "".join(w + " " for w in words)
+            for i in range(len(words) + 1):
+                m = re.compile(pattern).match(text, 2 * i)
+                assert a.accepted([w.encode() for w in words], i) == (m.end() // 2 if m else -1)
+
+
 def test_license_scan_of_a_long_text():
     """Start words all over a long text: places are right, and finding them takes linear time."""
     text = b"licensed released " * 300_000 + b"under the MIT License. " + b"permission " * 300_000
@@ -81,9 +126,54 @@ def test_commits_conflict(spark, empty, tmp_path):
         store.append(empty.drop("lang"))
 
 
+def test_two_writers(spark, tmp_path):
+    """Writers that commit at once: every append is in the table, each version once."""
+    path = (tmp_path / "s").as_uri()
+    frames = [spark.createDataFrame([(10 * w + k,) for k in range(3)], "x long") for w in range(4)]
+    failed = []
+
+    def write(df):
+        try:
+            store = shards.ShardStore(spark, path)
+            for _ in range(4):
+                store.append(df)
+        except Exception as e:  # noqa: BLE001
+            failed.append(e)
+
+    threads = [threading.Thread(target=write, args=(df,)) for df in frames]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    store = shards.ShardStore(spark, path)
+    assert not failed and store.versions() == list(range(1, 17))
+    assert Counter(r.x for r in store.read().collect()) == Counter({10 * w + k: 4 for w in range(4) for k in range(3)})
+
+
+def test_compaction_query(spark, tricky, empty, tmp_path):
+    """The registered query's rows from any table, also with its own column names, and from an empty one."""
+    for name, df in (("full", tricky), ("none", empty)):
+        df.withColumn("n_chars", F.length("text")).write.parquet(str(tmp_path / name / "documents.parquet"))
+    key = lambda df: Counter(map(tuple, df.collect()))
+    want = tricky.select("doc_id", "lang", "source", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("h"))
+    assert key(queries.op2_compaction(spark, str(tmp_path / "full"))) == key(want)
+    assert queries.op2_compaction(spark, str(tmp_path / "none")).collect() == []
+    store = shards.ShardStore(spark, (tmp_path / "c").as_uri())
+    store.append(tricky)
+    assert key(store.read()) == key(tricky)
+
+
 # 3
 
 
+def test_short_items(spark):
+    """Items without a gram are found as whole words, and only so."""
+    docs = [(1, "We say: Abc, DE there"), (2, "xabc de"), (3, "abc de"), (4, "abc  dez zz"), (5, None), (6, "nothing")]
+    items = [(1, "abc de"), (2, "zz"), (3, "!!"), (4, "abc de!"), (5, ""), (6, None)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.edits, r.doc_end) for r in decontaminate.find_leaks(df, bench).collect()}
+    assert got == {(1, 1, 0, 13), (1, 4, 0, 13), (3, 1, 0, 6), (3, 4, 0, 6), (4, 2, 0, 10)}
+    assert {r.doc_id for r in decontaminate.keep_clean(df, bench).collect()} == {2, 5, 6}
+
+
 def test_leaks(spark):
     rng = random.Random(3)
     letters = "abcdefgh  "
@@ -102,7 +192,10 @@ def test_leaks(spark):
         for k, text in items:
             for start, w in decontaminate.windows_of(decontaminate.normalised((text or "").encode())):
                 most = int(decontaminate.ERROR * len(w))
-                if len(w) - decontaminate.Q + 1 - most * decontaminate.Q >= 1 and t and plain.best_edits(w, decontaminate.normalised(t.encode())) <= most:
+                if len(w) < decontaminate.Q:
+                    hit = w and b" " + w + b" " in b" " + decontaminate.normalised((t or "").encode()) + b" "
+                    want |= {(d, k, start)} if hit else set()
+                elif len(w) - decontaminate.Q + 1 - most * decontaminate.Q >= 1 and t and plain.best_edits(w, decontaminate.normalised(t.encode())) <= most:
                     want.add((d, k, start))
     got = {(r.doc_id, r.item_id, r.window_start) for r in decontaminate.find_leaks(df, bench).collect()}
     assert got == want and want
@@ -168,6 +261,28 @@ def test_token_counts(spark, tricky, tricky_rows, empty, tmp_path):
     assert tokencount.token_counts(empty, path, cache).collect() == []
 
 
+def test_second_call_encodes_nothing(spark, tricky, long, tmp_path, monkeypatch):
+    """The cache's place comes from the session; with it warm no text is encoded, and only new texts are appended."""
+    (tmp_path / "sf").mkdir()
+    tricky.write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    place = (tmp_path / "cache").as_uri()
+    spark.conf.set(queries.TOKEN_CACHE, place)
+    try:
+        first = Counter(map(tuple, queries.op5_token_counts(spark, str(tmp_path / "sf")).collect()))
+        cache = tokencount.TokenCache(spark, place)
+        n = cache.read().count()
+        assert Counter(map(tuple, queries.op5_token_counts(spark, str(tmp_path / "sf")).collect())) == first and cache.read().count() == n
+    finally:
+        spark.conf.unset(queries.TOKEN_CACHE)
+    for most in (tokencount.BROADCAST, 0):
+        monkeypatch.setattr(tokencount, "BROADCAST", most)
+        both = tricky.select("doc_id", "text").union(spark.createDataFrame([(70 + k, f"new text {most}") for k in range(5)], "doc_id long, text string"))
+        got = tokencount.token_counts(both, P.path("word_bpe_49k.json"), cache)
+        assert got.count() == both.count() and got.where("n_tokens = 0 AND n_bytes > 9").count() == 0
+        n += 1
+        assert cache.read().count() == n
+
+
 def test_word_counter_forgets():
     t = tokenizer("word_bpe_49k.json")
     texts = ["It's <|startoftext|>x 12,5% Ünï İ", "don't we'll I'D " * 50, "ΑΣ 日本", "a" * 5000]
@@ -229,7 +344,7 @@ def test_pii_is_linear(spark):
 
 
 def test_native_plans(tricky):
-    for df in (pii.find_pii(tricky), quality.features(tricky), tricky.select(pii.masked(F.col("text")))):
+    for df in (pii.find_pii(tricky), quality.features(quality.text_rows(tricky), {"en": ["the"]}), tricky.select(pii.masked(F.col("text")))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
 
@@ -242,16 +357,31 @@ def test_quality(tricky, tricky_rows, empty):
     assert quality.quality_rules(empty).collect() == []
 
 
+def test_quality_verdict(spark, tricky, tricky_rows):
+    """The plain version's verdicts, over a real table and over the tricky rows."""
+    settings = {k: getattr(quality, k) for k in ("MOST_SHARE", "LEAST_SHARE", "CHANCE", "MIN_CHARS", "MAX_CLASS_DISTANCE", "MIN_WORDS")}
+    table = common.table(spark, "/root/testdata/sf0.001", "documents")
+    other = table.withColumn("lang", F.when(F.col("doc_id") % 7 == 0, None).when(F.col("doc_id") % 11 == 0, "rare").otherwise(F.col("lang")))
+    for df in (table, other, tricky):
+        rows = [tuple(r) for r in df.select("doc_id", "text", "lang").collect()]
+        assert quality.common_words(quality.text_rows(df)) == plain.common_words(rows, quality.N_COMMON, quality.MIN_REFERENCE)
+        want = plain.kept(rows, quality.N_COMMON, quality.MIN_REFERENCE, settings)
+        assert Counter((r.doc_id, r.kept) for r in quality.quality_rules(df).collect()) == Counter((i, k) for (i, *_), k in zip(rows, want, strict=True))
+
+
 def test_quality_rejects_texts_without_their_languages_common_words(spark):
     rng = random.Random(6)
-    rare = {k: ["".join(rng.choices("abcdefghiklmnoprstu", k=rng.randint(3, 9))) for _ in range(600)] for k in quality.COMMON}
-    text = lambda k, n, share=0.17: " ".join(rng.choice(quality.COMMON[k]) if rng.random() < share else rng.choice(rare[k]) for _ in range(n))
-    rows = [(len(quality.COMMON) * i + j, text(k, rng.choice([100, 150, 400, 1500])), k) for i in range(60) for j, k in enumerate(sorted(quality.COMMON))]
-    good = {i for i, *_ in rows} | {1000, 1001}
-    rows += [(1000, text("en", 300).title(), "en"), (1001, text("de", 300), None)]
-    rows += [(2000 + i, text(k, n, 0), k) for i, (k, n) in enumerate((k, n) for k in quality.COMMON for n in (110, 300, 2000))]
-    rows += [(3000, text("en", 300), "de"), (3001, text("de", 300), "fr"), (3002, text("fr", 3000), "es"), (3003, text("de", 400, 0), None), (3004, text("en", 400, 1), "en")]
-    kept = {r.doc_id for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect() if r.kept}
+    often = {k: [f"{k}{c}" for c in "abcdefghijkl"] for k in ("de", "en", "es", "fi")}
+    rare = {k: ["".join(rng.choices("abcdefghiklmnoprstu", k=rng.randint(3, 9))) for _ in range(600)] for k in often}
+    text = lambda k, n, share=0.17: " ".join(rng.choice(often[k]) if rng.random() < share else rng.choice(rare[k]) for _ in range(n))
+    rows = [(len(often) * i + j, text(k, rng.choice([100, 150, 400, 1500])), k) for i in range(60) for j, k in enumerate(sorted(often))]
+    good = {i for i, *_ in rows} | {1000, 1001, 1002}
+    rows += [(1000, text("en", 300).title(), "en"), (1001, text("de", 300), None), (1002, text("de", 120), "xx")]
+    rows += [(2000 + i, text(k, n, 0), k) for i, (k, n) in enumerate((k, n) for k in often for n in (110, 300, 2000))]
+    rows += [(3000, text("en", 300), "de"), (3001, text("de", 300), "fi"), (3002, text("fi", 3000), "es"), (3003, text("de", 400, 0), None), (3004, text("en", 400, 1), "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {k: sorted(v) for k, v in quality.common_words(quality.text_rows(df)).items()} == often
+    kept = {r.doc_id for r in quality.quality_rules(df).collect() if r.kept}
     assert kept == good
     assert abs(quality.farthest([10, 7, 83]) - spark.range(1).select(quality.js_distance(F.array(*map(F.lit, [10, 7, 83])), F.array(*map(F.lit, [0, 0, 5])))).first()[0]) < 1e-12
     assert quality.farthest([0, 5]) == 0 and 0.99 < quality.farthest([5, 0]) <= 1
@@ -293,6 +423,17 @@ def test_toxicity(spark, empty):
     assert toxicity.flagged(empty.select("doc_id", "text"), marks).collect() == []
 
 
+def test_toxicity_scores_against_a_plain_chain(spark):
+    """Features, chi-square choice, folds and chain by other means, on a real table's labelled documents."""
+    d = "/root/testdata/sf0.001"
+    docs, labels = common.table(spark, d, "documents"), toxicity.label_categories(common.table(spark, d, "labels"))
+    asked = [(r.doc_id, r.low_quality, r.toxic) for r in labels.join(docs, "doc_id", "left_semi").orderBy("doc_id").collect()]
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = {i: p for (i, _), p in zip(rows, plain.toxicity_scores(rows, asked, max_features=40), strict=True)}
+    got = toxicity.score(docs, toxicity.fit(docs, labels, toxicity.CATEGORIES, max_features=40)).collect()
+    assert len(got) == len(rows) and all(abs(r.p_low_quality - want[r.doc_id][0]) < 1e-3 and abs(r.p_toxic - want[r.doc_id][1]) < 1e-3 for r in got)
+
+
 def test_chain_uses_out_of_fold_predictions():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 3))
@@ -376,6 +517,71 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(row, [np.log(total("▁" + w, k)) for k in (0, 1)])
 
 
+def forward(s, word, k, pieces):
+    """Log of the sum over all segmentations, in exact fractions."""
+    prob = [Fraction(float(p)) for p in s.prob[:, k]]
+    sums = [Fraction(1)]
+    for j in range(1, len(word) + 1):
+        x = sum((sums[j - len(p)] * prob[i] for i, p in enumerate(pieces) if p and j >= len(p) and word[j - len(p) : j] == p), Fraction(0))
+        sums.append(x + (sums[j - 1] * Fraction(langid.FLOOR) if word[j - 1] not in pieces else 0))
+    return math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+
+
+def test_long_words_are_summed_whole():
+    """Words of any length, with pieces far less likely than doubles could hold as a product."""
+    pieces = ["", "▁", "▁a", "a", "b", "ab", "▁ab", "ba"]
+    rng = random.Random(3)
+    for counts in (np.arange(16, dtype=float).reshape(8, 2), np.array([[0.0, 0.0]] * 7 + [[1e14, 1e15]])):
+        s = langid.Segmenter(pieces, ["x", "y"], counts)
+        for n in (30, 31, 32, 33, 60, 200):
+            w = "".join(rng.choices("abq", weights=[6, 6, 1], k=n))
+            assert np.allclose(s.log_probs([w])[0], [forward(s, "▁" + w, k, pieces) for k in (0, 1)])
+            assert np.allclose(s._alone("▁" + w), s._together(["▁" + w], n + 1)[0])
+    assert np.isfinite(s.of_texts(["ab " * 10, "", "q" * 5000, "a"])).all() and np.allclose(s.of_texts(["ab ba"]), s.of_texts(["ab"]) + s.of_texts(["ba"]))
+
+
+def test_letters_and_normal_forms(spark):
+    """Numerals and marks alone are no letters; full-width and composed forms are one for learning and scoring."""
+    none = ["½ ² ①", "Ⅷ", "٣", "\u0301", "_1", "!?", "", None]
+    some = ["ª", "ʰ", "中", "ไ", "ß", "\u01c5"]
+    rows = [(3 * i, t, "en") for i, t in enumerate(none + some)]
+    rows += [(1000 + i, "the thing and that", "en") for i in range(40)] + [(2000 + i, "der schein und einung", "de") for i in range(40)]
+    rows += [(5000, "ＴＨＥ ｔｈｉｎｇ ＡＮＤ ｔｈａｔ", None), (5001, "DER SCHEIN UND EINUNG", None)]
+    got = {r.doc_id: r for r in langid.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string"), P.path("piece_bpe_32k.model")).collect()}
+    assert [got[3 * i].lang_pred == "und" for i in range(len(none + some))] == [True] * len(none) + [False] * len(some)
+    assert all(got[3 * i].score == 0 for i in range(len(none))) and got[5000].lang_pred == "en" and got[5001].lang_pred == "de"
+    assert langid.word_list("Hé\u0301lo ＷＩＤＥ x²y हिन्दी") == ["hé\u0301lo", "wide", "x", "y", "हिन्दी"]
+
+
+# Very long texts
+
+
+def test_long_texts(spark, long, long_rows):
+    """Every operator on texts of a megabyte, against plain versions where these are quick enough."""
+    licence = {r.doc_id: r for r in licenses.license_scan(long).collect()}
+    assert all(licence[i].n_words == len(re.findall("[a-z0-9]+", t)) for i, t, _ in long_rows)
+    item = long_rows[0][1][600_000:600_300]
+    bench = spark.createDataFrame([(1, item), (2, "same line"), (3, "nowhere " * 30)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(long, bench).collect()} == {(1, 1), (5, 1), (6, 1), (4, 2)}
+    assert {r.doc_id for r in decontaminate.keep_clean(long, bench).collect()} == {2, 3}
+    copies = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_copies(long).collect()}
+    assert copies == {i: (len(plain.shingles(t)), {5: 1, 6: 1}.get(i, i)) for i, t, _ in long_rows}
+    assert {r.doc_id for r in jaccard.one_of_each(long).collect()} == {1, 2, 3, 4}
+    counts = {r.doc_id: r.n_tokens for r in tokencount.token_counts(long, P.path("word_bpe_49k.json"), tokencount.TokenCache(spark, common.shared_dir(spark, "t"))).collect()}
+    t = tokenizer("word_bpe_49k.json")
+    assert counts == {i: sum(len(t.encode(w, add_special_tokens=False).ids) for w in x.split()) for i, x, _ in long_rows if i != 1 and i < 5} | {i: sum(n * len(t.encode(w, add_special_tokens=False).ids) for w, n in Counter(x.split()).items()) for i, x, _ in long_rows if i in (1, 5, 6)}
+    assert {r.doc_id: r.n_card for r in pii.find_pii(long).collect()} == {i: t.count("4111") for i, t, _ in long_rows}
+    assert all(not (m := r.m) or "4111" not in m for r in long.select(pii.masked(F.col("text")).alias("m")).collect())
+    scored = toxicity.flagged(long, spark.createDataFrame([(1, 1, 0), (4, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")).collect()
+    assert len(scored) == len(long_rows)
+    rows = {r.doc_id: (r.n_words, r.n_repeat_words, r.n_dup_lines) for r in quality.quality_rules(long).collect()}
+    assert rows == {i: (q[0], q[4], q[3]) for i, t, _ in long_rows for q in [plain.quality_row(t)]}
+    packed = packing.pack(long, P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    sizes = {r.doc_id: (r.n, r.m) for r in packed.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()}
+    assert all(a == b for a, b in sizes.values()) and len(sizes) == len(long_rows)
+    assert len(langid.language_id(long, P.path("piece_bpe_32k.model")).collect()) == len(long_rows)
+
+
 # The pipeline
 
 
