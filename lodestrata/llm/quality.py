@@ -5,8 +5,9 @@ white space, punctuation, symbols, other) and the most common words of its langu
 plus a rest. They are compared with its language's reference, the sum over all
 documents of that language, by Jensen-Shannon distance (square root of the divergence
 in bits, 0 to 1). A language has a reference where its documents hold ``MIN_REFERENCE``
-code points or more; its common words are the ``N_COMMON`` words that stand in most of its
-documents (ties go by the word), learned from all of them. A distance counts only for
+code points or more; its common words are the ``N_COMMON`` words of at most ``SHORT``
+characters that stand in most of its documents (ties go by the word), learned from all
+of them: function words are short, and names and topics aren't wanted. A distance counts only for
 texts of a minimum length, as short texts stray by chance. Words are compared in small
 letters and without punctuation around them; their limit is a share of the distance
 that a text without any of the common words has from that reference, so it can be
@@ -34,6 +35,7 @@ from lodestrata.llm.native import let, total
 
 #: Common words of a language, and the code points that its documents must hold for a reference.
 N_COMMON, MIN_REFERENCE = 12, 5_000
+SHORT = 6
 CLASSES = 7
 WHITE = " \t\n\x0b\f\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -117,8 +119,10 @@ def common_words(rows: DataFrame) -> dict[str, list[str]]:
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
         return {}
-    found = rows.where(F.col("lang").isin(langs)).select("lang", F.explode(F.array_distinct(F.transform(words(F.col("text")), bare))).alias("word"))
-    counts = found.where("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    bared = F.transform(F.array_distinct(words(F.col("text"))), bare)
+    short = F.array_distinct(F.filter(bared, lambda x: (F.length(x) <= SHORT) & (x != "")))
+    found = rows.where(F.col("lang").isin(langs)).select("lang", F.explode(short).alias("word"))
+    counts = found.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= N_COMMON)
     out: dict[str, list[str]] = {k: [] for k in langs}
     for r in ranked.orderBy("lang", "r").collect():
@@ -138,7 +142,6 @@ def features(rows: DataFrame, common: dict[str, list[str]]) -> DataFrame:
     def of(w: Column) -> Column:
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
-            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
             repeated_window_words(w).alias("n_repeat_words"),
             let(F.transform(w, bare), lambda b: F.transform(langs, lambda k: let(F.element_at(lists, k), lambda listed: word_histogram(b, listed)))).alias("word_hists"),
         )
@@ -150,7 +153,8 @@ def features(rows: DataFrame, common: dict[str, list[str]]) -> DataFrame:
         duplicate_lines(F.col("text")).alias("n_dup_lines"),
         class_histogram(F.col("text")).alias("classes"),
     )
-    return wide.select("doc_id", "lang", "langs", "n_chars", "w.*", "n_symbols", "n_dup_lines", "classes")
+    inside = (F.col("n_chars") - F.get("classes", F.lit(1))).alias("word_chars")  # all but white space
+    return wide.select("doc_id", "lang", "langs", "n_chars", "w.*", inside, "n_symbols", "n_dup_lines", "classes")
 
 
 def references(feats: DataFrame, common: dict[str, list[str]]) -> dict[str, tuple[list[int], list[int]]]:
