@@ -228,6 +228,13 @@ def test_jaccard_groups(tricky, tricky_rows, boundary):
     assert got == Counter((i, len(plain.shingles(t)), g) for (i, t, _), g in zip(tricky_rows, ids, strict=True))
 
 
+def test_jaccard_groups_through_two_levels(tricky, tricky_rows):
+    """More ranges than a run is divided into at once."""
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_copies(tricky, fan=4, range_size=200).collect())
+    ids = plain.groups([(i, t) for i, t, _ in tricky_rows])
+    assert got == Counter((i, len(plain.shingles(t)), g) for (i, t, _), g in zip(tricky_rows, ids, strict=True))
+
+
 def test_one_of_each(tricky, tricky_rows, empty):
     ids = plain.groups([(i, t) for i, t, _ in tricky_rows])
     want = {i for (i, t, _), g in zip(tricky_rows, ids, strict=True) if not plain.shingles(t) or i == g}
@@ -240,7 +247,7 @@ def test_one_of_each(tricky, tricky_rows, empty):
 
 def test_packed_runs():
     rng = np.random.default_rng(1)
-    h = np.sort(rng.integers(0, 1 << jaccard.HASH_BITS, 500).astype(np.uint64))
+    h = np.sort(rng.integers(0, 2**64 - 1, 500, dtype=np.uint64))
     a, b = rng.integers(0, 60000, 500).astype(np.uint16), rng.integers(0, 200, 500).astype(np.uint8)
     for x, y in zip((h, a, b), jaccard.unpacked(jaccard.packed(h, a, b), np.uint16, np.uint8), strict=True):
         assert (x == y).all()
