@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet
 and read again as the next stage's docs. All but the last keep the columns of
-``documents``.
+``documents``, with extra columns of any name. Null texts are kept and packed as empty
+ones, repeated rows are near copies of each other (rows without words aren't), ties go
+to the smallest doc_id, very long texts are read whole, and from an empty table nothing
+comes out.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import decontaminate, jaccard, packing, pii, toxicity
-from lodestrata.llm.common import table, written
+from lodestrata.llm.common import Scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn; each stage's table is deleted once the next one is written, but for the last, which the result reads."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    with Scratch(spark) as scratch:
+        for name, stage in STAGES[:-1]:
+            before, docs = docs, scratch.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            scratch.drop(before)
+        scratch.keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
