@@ -7,36 +7,71 @@ from pyspark.sql import functions as F
 
 from lodestrata.operators.windows import first_claimable
 
-# A queue row: id, identity, state (pending, processing, blocked), owner, lease_expires, creation_time.
+# A queue row: id, identity, state (pending, processing, blocked; null is pending), owner, started, lease_expires, blocked_reason, creation_time.
 
 
-def claimable(now: Column, alive: Column | None = None) -> Column:
-    """Pending rows; processing rows whose lease has run out or whose owner is gone."""
-    stale = F.coalesce(F.col("lease_expires") <= now, F.lit(True))
-    if alive is not None:
-        stale = stale | ~F.coalesce(alive, F.lit(False))
-    return (F.col("state") == "pending") | ((F.col("state") == "processing") & stale)
+def stale_owner(now: Column, stale_ms: int) -> Column:
+    """Of rows joined with processors (``seen``: when the owner was last seen): an owner that isn't known or hasn't been seen for so long. Rows without owner have none to lose."""
+    return F.col("owner").isNotNull() & F.coalesce(F.col("seen") <= now - F.lit(stale_ms), F.lit(True))
 
 
-def claim(queue: DataFrame, now: Column, owner: str, lease_ms: int = 30_000, alive: Column | None = None) -> DataFrame:
-    """The first claimable row of each identity, as claimed. First in, first out: a blocked or running head doesn't hold up the rows behind it."""
-    head = first_claimable(queue, ["identity"], claimable(now, alive), [F.col("creation_time").asc(), F.col("id").asc()])
-    return head.withColumn("state", F.lit("processing")).withColumn("owner", F.lit(owner)).withColumn("lease_expires", now + F.lit(lease_ms))
+def claimable(now: Column, gone: Column | None = None) -> Column:
+    """Pending rows; processing rows with a lease that has run out, or, where it is known, whose owner is gone. No lease never runs out."""
+    free = F.coalesce(F.col("lease_expires") <= now, F.lit(False))
+    if gone is not None:
+        free = free | F.coalesce(gone, F.lit(False))
+    state = F.coalesce("state", F.lit("pending"))
+    return (state == "pending") | ((state == "processing") & free)
 
 
-def renew(queue: DataFrame, id_: object, owner: str, now: Column, lease_ms: int = 30_000) -> DataFrame:
-    mine = (F.col("id") == F.lit(id_)) & (F.col("owner") == owner) & (F.col("state") == "processing")
-    return queue.withColumn("lease_expires", F.when(mine, now + F.lit(lease_ms)).otherwise(F.col("lease_expires")))
+def claim(queue: DataFrame, now: Column, owner: str, lease_ms: int = 30_000, processors: DataFrame | None = None, stale_ms: int | None = None) -> DataFrame:
+    """The first claimable row of each identity, as claimed. First in, first out: a blocked or running head doesn't hold up the rows behind it.
+
+    processors: (identity, owner, seen), a row each; stale_ms is the lease's length where it isn't given.
+    """
+    rows, gone = queue, None
+    if processors is not None:
+        p = processors.select(F.col("identity").alias("_identity"), F.col("owner").alias("_owner"), "seen")
+        rows = queue.join(p, F.col("identity").eqNullSafe(F.col("_identity")) & (F.col("owner") == F.col("_owner")), "left")
+        gone = stale_owner(now, lease_ms if stale_ms is None else stale_ms)
+    head = first_claimable(rows, ["identity"], claimable(now, gone), [F.col("creation_time").asc(), F.col("id").asc()])
+    return _with(head, F.lit(True), {"state": F.lit("processing"), "owner": F.lit(owner), "started": now, "lease_expires": now + F.lit(lease_ms), "blocked_reason": None}).select(*queue.columns)
+
+
+def _with(queue: DataFrame, which: Column, values: dict[str, Column | None]) -> DataFrame:
+    """The queue with values in the rows of ``which``; columns that the queue lacks are left out."""
+    hit = F.coalesce(which, F.lit(False))
+    new = lambda c: F.when(~hit, F.col(c)) if values[c] is None else F.when(hit, values[c]).otherwise(F.col(c))
+    return queue.select(*[new(c).alias(c) if c in values else F.col(c) for c in queue.columns])
+
+
+def _owned(which: Column, owner: str | None) -> Column:
+    return which if owner is None else which & (F.col("owner") == owner)
+
+
+def renew(queue: DataFrame, which: Column, owner: str, now: Column, lease_ms: int = 30_000) -> DataFrame:
+    """A new lease for the owner's running rows, and for pending ones that nobody owns, which start to run."""
+    free = F.col("owner").isNull() & (F.coalesce("state", F.lit("pending")) == "pending")
+    mine = which & (((F.col("owner") == owner) & (F.col("state") == "processing")) | free)
+    return _with(queue, mine, {"state": F.lit("processing"), "owner": F.lit(owner), "lease_expires": now + F.lit(lease_ms)})
+
+
+def release(queue: DataFrame, which: Column, owner: str | None = None) -> DataFrame:
+    """Back to pending, without owner, lease and reason; only the owner's rows where one is given."""
+    return _with(queue, _owned(which, owner), {"state": F.lit("pending"), "owner": None, "started": None, "lease_expires": None, "blocked_reason": None})
 
 
-def release(queue: DataFrame, id_: object) -> DataFrame:
-    mine = F.col("id") == F.lit(id_)
-    return queue.withColumn("state", F.when(mine, "pending").otherwise(F.col("state"))).withColumn("owner", F.when(~mine, F.col("owner"))).withColumn("lease_expires", F.when(~mine, F.col("lease_expires")))
+def remove(queue: DataFrame, which: Column, owner: str | None = None) -> DataFrame:
+    return queue.where(~F.coalesce(_owned(which, owner), F.lit(False)))
 
 
-def block(queue: DataFrame, id_: object, reason: str) -> DataFrame:
-    mine = F.col("id") == F.lit(id_)
-    return queue.withColumn("state", F.when(mine, "blocked").otherwise(F.col("state"))).withColumn("blocked_reason", F.when(mine, reason).otherwise(F.col("blocked_reason")))
+def block(queue: DataFrame, which: Column, reason: str | Column) -> DataFrame:
+    return _with(queue, which, {"state": F.lit("blocked"), "owner": None, "started": None, "lease_expires": None, "blocked_reason": F.lit(reason) if isinstance(reason, str) else reason})
+
+
+def unblock(queue: DataFrame, identity: Column) -> DataFrame:
+    """All of an identity's rows pending again; null is the identity of those who aren't signed in."""
+    return release(queue, F.col("identity").eqNullSafe(identity))
 
 
 def compact(queue: DataFrame) -> DataFrame:
@@ -55,11 +90,32 @@ def compact(queue: DataFrame) -> DataFrame:
     return joined.where(~cancelled & ~repeated).select(*queue.columns)
 
 
-def after_error(code: Column, attempts: Column, most: int = 5) -> Column:
-    """What becomes of a row whose replay failed: block on lost sign-in, denial or scope; drop what was applied before; else retry, and at last dead-letter."""
+# Error codes, and parts of messages, in small letters, that name a lost sign-in, a denial, a changed scope.
+SIGN_IN = ("unauthenticated", "invalid token", "expired token", "authentication required")
+DENIED = ("forbidden", "not authorized", "permission denied", "access denied")
+SCOPE = ("scope changed", "scope mismatch", "invalid scope")
+GONE = "delete on nonexistent document id"
+
+
+def error_reason(code: Column, message: Column) -> Column:
+    """Why a replay failed: reauthRequired, authorizationDenied, scopeChanged or unknown; codes go before messages."""
+    says = lambda words: F.coalesce(F.lower(message), F.lit("")).rlike("|".join(words))
+    return (
+        F.when(code == "UNAUTHENTICATED", "reauthRequired").when(code == "FORBIDDEN", "authorizationDenied").when(says(SIGN_IN), "reauthRequired")
+        .when(says(DENIED), "authorizationDenied").when(says(SCOPE), "scopeChanged").otherwise("unknown")
+    )
+
+
+def already_applied(ref: Column, code: Column, message: Column) -> Column:
+    """A remove whose document is gone has had its effect."""
+    return ref.endswith(":remove") & (F.coalesce(code == "DOCUMENT_NOT_FOUND", F.lit(False)) | F.coalesce(message.contains(GONE), F.lit(False)))
+
+
+def after_error(ref: Column, code: Column, message: Column, attempts: Column, most: int = 5) -> Column:
+    """What becomes of a row whose replay failed: drop what was applied before, block on a known reason, else retry, and at last dead-letter."""
     return (
-        F.when(code.isNull(), "done").when(code.isin("unauthenticated", "reauth", "denied", "forbidden", "scope"), "block")
-        .when(code == "already_applied", "drop").when(attempts < most, "retry").otherwise("dead_letter")
+        F.when(already_applied(ref, code, message), "drop").when(error_reason(code, message) != "unknown", "block")
+        .when(attempts < most, "retry").otherwise("dead_letter")
     )
 
 

@@ -91,23 +91,66 @@ def redundant_pull(spark, d):
 
 
 _QUEUE = (
-    "(SELECT event_id AS id, user_id AS identity, CASE event_type WHEN 'click' THEN 'processing' WHEN 'error' THEN 'blocked' WHEN 'view' THEN 'processing' ELSE 'pending' END AS state, CASE WHEN event_type = 'click' THEN event_id * 10 END AS lease_expires, "
+    "(SELECT event_id AS id, CASE WHEN user_id % 9 > 0 THEN user_id END AS identity, CASE event_type WHEN 'click' THEN 'processing' WHEN 'error' THEN 'blocked' WHEN 'view' THEN 'processing' WHEN 'signup' THEN NULL ELSE 'pending' END AS state, "
+    "CASE WHEN event_type IN ('click', 'view') AND event_id % 3 > 0 THEN 'p' || event_id % 5 END AS owner, CASE WHEN event_type = 'click' AND event_id % 7 > 0 THEN event_id * 10 END AS lease_expires, "
+    "CASE WHEN event_type = 'error' THEN 'scopeChanged' END AS blocked_reason, "
     "event_id % 1000 AS creation_time, user_id * 1000 + event_id % 4 AS target, CASE event_type WHEN 'signup' THEN 'create' WHEN 'purchase' THEN 'remove' ELSE 'patch' END AS op FROM events)"
 )
+_PROCESSORS = "(SELECT DISTINCT CASE WHEN user_id % 9 > 0 THEN user_id END AS identity, 'p' || k AS owner, CASE WHEN k <> 1 THEN 10000 * k END AS seen FROM events, (VALUES (0), (1), (2), (3)) ks(k))"
 
 
 def _queue(spark, d):
-    kind = F.col("event_type")
+    kind, i = F.col("event_type"), F.col("event_id")
+    running = kind.isin("click", "view")
     return t(spark, d, "events").select(
-        F.col("event_id").alias("id"), F.col("user_id").alias("identity"), F.when(kind.isin("click", "view"), "processing").when(kind == "error", "blocked").otherwise("pending").alias("state"), F.lit(None).cast("string").alias("owner"),
-        F.when(kind == "click", F.col("event_id") * 10).alias("lease_expires"), (F.col("event_id") % 1000).alias("creation_time"), (F.col("user_id") * 1000 + F.col("event_id") % 4).alias("target"),
+        i.alias("id"), F.when(F.col("user_id") % 9 > 0, F.col("user_id")).alias("identity"),
+        F.when(running, "processing").when(kind == "error", "blocked").when(kind == "signup", None).otherwise("pending").alias("state"),
+        F.when(running & (i % 3 > 0), F.concat(F.lit("p"), (i % 5).cast("string"))).alias("owner"), F.when((kind == "click") & (i % 7 > 0), i * 10).alias("lease_expires"),
+        F.when(kind == "error", "scopeChanged").alias("blocked_reason"), (i % 1000).alias("creation_time"), (F.col("user_id") * 1000 + i % 4).alias("target"),
         F.when(kind == "signup", "create").when(kind == "purchase", "remove").otherwise("patch").alias("op"),
     )
 
 
-@query(f"SELECT id, identity, 80000 AS lease_expires FROM {_QUEUE} WHERE state = 'pending' OR (state = 'processing' AND coalesce(lease_expires <= 50000, true)) QUALIFY row_number() OVER (PARTITION BY identity ORDER BY creation_time, id) = 1")
+def _processors(spark, d):
+    seen = F.explode(F.array(*[F.struct(F.lit(f"p{k}").alias("owner"), F.lit(None if k == 1 else 10_000 * k).cast("long").alias("seen")) for k in range(4)])).alias("p")
+    return _queue(spark, d).select("identity").distinct().select("identity", seen).select("identity", "p.*")
+
+
+@query(
+    f"SELECT q.id, q.identity, 80000 AS lease_expires FROM {_QUEUE} q LEFT JOIN {_PROCESSORS} p ON q.identity IS NOT DISTINCT FROM p.identity AND q.owner = p.owner WHERE coalesce(state, 'pending') = 'pending' OR (state = 'processing' AND "
+    "((lease_expires IS NOT NULL AND lease_expires <= 50000) OR (q.owner IS NOT NULL AND (p.owner IS NULL OR p.seen IS NULL OR p.seen <= 20000)))) QUALIFY row_number() OVER (PARTITION BY q.identity ORDER BY creation_time, q.id) = 1"
+)
 def queue_claim(spark, d):
-    return K.claim(_queue(spark, d), F.lit(50000), "me").select("id", "identity", "lease_expires")
+    return K.claim(_queue(spark, d), F.lit(50000), "me", processors=_processors(spark, d)).select("id", "identity", "lease_expires")
+
+
+_STATE = ["id", "state", "owner", "lease_expires", "blocked_reason"]
+
+
+@query(
+    f"SELECT id, CASE WHEN hit THEN 'processing' ELSE state END AS state, CASE WHEN hit THEN 'p2' ELSE owner END AS owner, CASE WHEN hit THEN 80000 ELSE lease_expires END AS lease_expires, blocked_reason FROM "
+    f"(SELECT *, id % 2 = 0 AND coalesce((owner = 'p2' AND state = 'processing') OR (owner IS NULL AND coalesce(state, 'pending') = 'pending'), false) AS hit FROM {_QUEUE})"
+)
+def queue_renew(spark, d):
+    return K.renew(_queue(spark, d), F.col("id") % 2 == 0, "p2", F.lit(50000)).select(*_STATE)
+
+
+@query(
+    f"SELECT id, CASE WHEN hit THEN 'pending' ELSE state END AS state, CASE WHEN NOT hit THEN owner END AS owner, CASE WHEN NOT hit THEN lease_expires END AS lease_expires, CASE WHEN NOT hit THEN blocked_reason END AS blocked_reason "
+    f"FROM (SELECT *, coalesce(id % 2 = 0 AND owner = 'p1', false) AS hit FROM {_QUEUE}) WHERE NOT coalesce(id % 11 = 0 AND owner = 'p3', false)"
+)
+def queue_release(spark, d):
+    """Half of an owner's rows are given back; some of another owner's are done and go."""
+    return K.remove(K.release(_queue(spark, d), F.col("id") % 2 == 0, "p1"), F.col("id") % 11 == 0, "p3").select(*_STATE)
+
+
+@query(
+    f"SELECT id, CASE WHEN u THEN 'pending' WHEN hit THEN 'blocked' ELSE state END AS state, CASE WHEN NOT hit AND NOT u THEN owner END AS owner, CASE WHEN NOT hit AND NOT u THEN lease_expires END AS lease_expires, "
+    f"CASE WHEN u THEN NULL WHEN hit THEN 'authorizationDenied' ELSE blocked_reason END AS blocked_reason FROM (SELECT *, id % 6 = 0 AS hit, identity IS NULL AS u FROM {_QUEUE})"
+)
+def queue_block(spark, d):
+    """Rows are blocked for a denial; then all rows of those who aren't signed in are freed."""
+    return K.unblock(K.block(_queue(spark, d), F.col("id") % 6 == 0, "authorizationDenied"), F.lit(None)).select(*_STATE)
 
 
 @query(
@@ -119,11 +162,24 @@ def queue_compact(spark, d):
     return K.compact(_queue(spark, d)).select("id", "op")
 
 
-@query("SELECT event_id, CASE event_type WHEN 'error' THEN 'block' WHEN 'view' THEN 'drop' WHEN 'click' THEN CASE WHEN event_id % 8 < 5 THEN 'retry' ELSE 'dead_letter' END ELSE 'done' END AS outcome, CAST(least(1000, 25 * 2 ** (event_id % 8)) AS BIGINT) AS wait_ms FROM events")
+_ERRORS = (
+    "(SELECT event_id, event_id % 8 AS attempts, CASE WHEN event_id % 2 = 0 THEN 'issues:remove' ELSE 'issues:update' END AS ref, CASE event_id % 11 WHEN 0 THEN 'UNAUTHENTICATED' WHEN 1 THEN 'FORBIDDEN' WHEN 2 THEN 'DOCUMENT_NOT_FOUND' END AS code, "
+    "CASE event_type WHEN 'view' THEN 'Expired TOKEN' WHEN 'error' THEN 'you are Not Authorized' WHEN 'signup' THEN 'scope mismatch' WHEN 'purchase' THEN 'delete on nonexistent document id 7' END AS message FROM events)"
+)
+
+
+@query(
+    f"SELECT event_id, CASE WHEN ref LIKE '%:remove' AND (coalesce(code = 'DOCUMENT_NOT_FOUND', false) OR coalesce(contains(message, 'delete on nonexistent document id'), false)) THEN 'drop' WHEN reason <> 'unknown' THEN 'block' WHEN attempts < 5 THEN 'retry' ELSE 'dead_letter' END AS outcome, reason, wait_ms FROM "
+    "(SELECT *, CASE WHEN code = 'UNAUTHENTICATED' THEN 'reauthRequired' WHEN code = 'FORBIDDEN' THEN 'authorizationDenied' WHEN regexp_matches(lower(message), 'unauthenticated|invalid token|expired token|authentication required') THEN 'reauthRequired' "
+    "WHEN regexp_matches(lower(message), 'forbidden|not authorized|permission denied|access denied') THEN 'authorizationDenied' WHEN regexp_matches(lower(message), 'scope changed|scope mismatch|invalid scope') THEN 'scopeChanged' ELSE 'unknown' END AS reason, "
+    f"CAST(least(1000, 25 * 2 ** attempts) AS BIGINT) AS wait_ms FROM {_ERRORS})"
+)
 def replay_classify(spark, d):
-    kind, attempts = F.col("event_type"), F.col("event_id") % 8
-    code = F.when(kind == "error", "denied").when(kind == "view", "already_applied").when(kind == "click", "timeout")
-    return t(spark, d, "events").select("event_id", K.after_error(code, attempts).alias("outcome"), K.backoff_ms(attempts).alias("wait_ms"))
+    kind, i = F.col("event_type"), F.col("event_id")
+    code = F.when(i % 11 == 0, "UNAUTHENTICATED").when(i % 11 == 1, "FORBIDDEN").when(i % 11 == 2, "DOCUMENT_NOT_FOUND")
+    message = F.when(kind == "view", "Expired TOKEN").when(kind == "error", "you are Not Authorized").when(kind == "signup", "scope mismatch").when(kind == "purchase", "delete on nonexistent document id 7")
+    ref = F.when(i % 2 == 0, "issues:remove").otherwise("issues:update")
+    return t(spark, d, "events").select("event_id", K.after_error(ref, code, message, i % 8).alias("outcome"), K.error_reason(code, message).alias("reason"), K.backoff_ms(i % 8).alias("wait_ms"))
 
 
 @query("SELECT event_id FROM events WHERE (user_id BETWEEN 10 AND 20) OR (user_id + 5 BETWEEN 10 AND 20)")

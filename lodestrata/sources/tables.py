@@ -16,8 +16,12 @@ FORMATS = ("parquet", "json", "orc", "csv")
 
 
 def shared_folder(spark: SparkSession, tag: str) -> str:
-    """A new folder where the session keeps checkpoints, which all executors share; a temporary one where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.gettempdir(), "lodestrata-tables").as_uri()
+    """A new folder where the session keeps checkpoints, which all executors share; a local session without that setting gets a temporary one."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = Path(tempfile.gettempdir(), "lodestrata-tables").as_uri()
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
