@@ -7,21 +7,26 @@ groups or more 0.2 over the shortest span that holds them all. Results are order
 score, then newest, then id.
 
 Statistics (number of documents, mean length, documents per group) cover the whole
-table; filters and visibility apply to the results. Only the query's own words are
-exploded and shuffled: the scan keeps the matching positions of each document, so a
-query moves a few rows for each matching document, never the corpus. Everything is
-Column functions.
+table; filters and visibility apply to results. Texts are normalised (NFKC) and cut
+into words once, when they go into an index: a folder of segments with one row for
+each document (its length) and one for each word of a document (its positions), sorted
+by word. A query reads the words it asks for, by filters that the Parquet reader gets,
+and shuffles those rows alone.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.functions.scalars import query_tokens, tokens
+from lodestrata.functions.scalars import nfkc, query_tokens, tokens
+from lodestrata.sources.tables import shared_folder
 from lodestrata.types import TableSpec
 
 # Fixed values of the scoring rule.
@@ -73,62 +78,134 @@ def min_span(places: Column, groups: int) -> Column:
     return F.aggregate(places, start, step, lambda a: a["best"])
 
 
-def matches(df: DataFrame, plan: SearchPlan, id_column: str) -> DataFrame:
-    """Every row with its length and the places of the query's groups (a word may be in an exact group and the prefix group)."""
-    hit = [F.lit(t) for t in plan.exact]
-    groups_of = lambda t: F.concat(
-        F.filter(F.array(*[F.when(t == h, F.lit(k)) for k, h in enumerate(hit)]), lambda k: k.isNotNull()) if hit else F.array().cast("array<int>"),
-        F.when(t.startswith(plan.prefix), F.array(F.lit(len(hit)))).otherwise(F.array().cast("array<int>")),
-    )
-    words = df.withColumn("_tokens", tokens(F.col(plan.field)))
-    # Groups are looked up for the words that are in one only; most words of a text aren't.
-    wanted = lambda t: t.startswith(plan.prefix) | t.isin(*plan.exact) if plan.exact else t.startswith(plan.prefix)
-    hits = F.filter(F.transform("_tokens", lambda t, pos: F.struct(t.alias("t"), pos.alias("pos"))), lambda x: wanted(x["t"]))
-    flat = F.flatten(F.transform(hits, lambda x: F.transform(groups_of(x["t"]), lambda g: F.struct(x["pos"].alias("pos"), g.alias("g")))))
-    return words.withColumn("_len", F.size("_tokens")).withColumn("_places", F.when(F.size("_tokens") > 0, flat).otherwise(F.array().cast("array<struct<pos:int,g:int>>"))).drop("_tokens")
+# Postings
 
 
-def search(df: DataFrame, plan: SearchPlan | None, id_column: str, creation: str, visible: Column | None = None, limit: int | None = 1024, digits: int | None = None) -> DataFrame:
-    """The table's rows with ``_score``, best first. digits rounds scores before ranking, for comparison with other engines."""
+def postings(df: DataFrame, field: str, id_column: str) -> DataFrame:
+    """(term, id, tf, positions) for every word of every document. Words are grouped by word and document, so a common word is in no one task."""
+    words = df.select(id_column, F.posexplode(tokens(F.col(field))).alias("pos", "term"))
+    return words.groupBy("term", id_column).agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+
+
+class SearchIndex:
+    """A stored index of one text column: numbered segments that are added and never changed.
+
+    ``add`` writes the postings of new and changed documents, ``remove`` the ids of
+    documents that go; a document counts as its newest segment has it. ``compact`` writes
+    all live rows as one segment. One writer at a time; a segment without its mark of
+    success isn't there.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, field: str, id_column: str):
+        self.spark, self.path, self.field, self.id_column = spark, path.rstrip("/"), field, id_column
+
+    def segments(self) -> list[int]:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = at.getFileSystem(conf)
+        if not fs.exists(at):
+            return []
+        there = lambda n: fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/docs/_SUCCESS"))
+        return sorted(int(n[1:]) for n in (x.getPath().getName() for x in fs.listStatus(at)) if n.startswith("s") and n[1:].isdigit() and there(n))
+
+    def _write(self, post: DataFrame, docs: DataFrame) -> SearchIndex:
+        at = f"{self.path}/s{max(self.segments(), default=-1) + 1}"
+        post.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{at}/postings")
+        docs.write.mode("overwrite").parquet(f"{at}/docs")  # last: its mark makes the segment count
+        return self
+
+    def add(self, df: DataFrame, normalised: bool = False) -> SearchIndex:
+        """Documents to add, or to replace where their ids are there; null texts count as empty. normalised: the texts are in NFKC already."""
+        text = F.col(self.field) if normalised else nfkc(F.col(self.field))
+        split = df.select(F.col(self.id_column), tokens(text).alias("words"))
+        kept = split.select(self.id_column, F.size("words").cast("long").alias("len"), "words").persist(StorageLevel.DISK_ONLY)
+        words = kept.select(self.id_column, F.posexplode("words").alias("pos", "term")).groupBy("term", self.id_column)
+        post = words.agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+        try:
+            return self._write(post, kept.select(self.id_column, "len", F.lit(True).alias("live")))
+        finally:
+            kept.unpersist()
+
+    def remove(self, ids: DataFrame) -> SearchIndex:
+        gone = ids.select(F.col(self.id_column), F.lit(0).cast("long").alias("len"), F.lit(False).alias("live"))
+        return self._write(self.spark.createDataFrame([], self._shape(ids)), gone)
+
+    def _shape(self, ids: DataFrame) -> str:
+        return f"term string, {self.id_column} {ids.schema[self.id_column].dataType.simpleString()}, tf long, positions array<int>"
+
+    def _all(self, part: str) -> DataFrame:
+        segments = [self.spark.read.parquet(f"{self.path}/s{n}/{part}").withColumn("segment", F.lit(n)) for n in self.segments()]
+        if not segments:
+            raise ValueError("the index is empty")
+        return reduce(DataFrame.unionByName, segments)
+
+    def docs(self) -> DataFrame:
+        """id, len, segment of every live document."""
+        rows = self._all("docs")
+        if len(self.segments()) > 1:
+            newest = F.max_by(F.struct("len", "live", "segment"), "segment").alias("d")
+            rows = rows.groupBy(self.id_column).agg(newest).select(self.id_column, "d.*")
+        return rows.where("live").drop("live")
+
+    def postings(self, condition: Column | None = None) -> DataFrame:
+        """term, id, tf, positions of live documents' words."""
+        rows = self._all("postings")
+        if condition is not None:
+            rows = rows.where(condition)
+        return rows.drop("segment") if len(self.segments()) == 1 else rows.join(self.docs().select(self.id_column, "segment"), [self.id_column, "segment"]).drop("segment")
+
+    def compact(self) -> SearchIndex:
+        """All live rows as a new folder's only segment."""
+        out = SearchIndex(self.spark, f"{self.path}-{uuid.uuid4().hex}", self.field, self.id_column)
+        return out._write(self.postings(), self.docs().select(self.id_column, "len", F.lit(True).alias("live")))
+
+
+def search_index(df: DataFrame, index: SearchIndex, plan: SearchPlan | None, creation: str, visible: Column | None = None, limit: int | None = 1024, digits: int | None = None) -> DataFrame:
+    """The rows of df that the plan finds in the index, with ``_score``, best first. digits rounds scores before ranking, for comparison with other engines."""
     if plan is None:
         return df.withColumn("_score", F.lit(0.0)).where("false")
-    n_groups = plan.groups
-    found = matches(df, plan, id_column)
-    found = found.select("*", *[_count_group(k).alias(f"_tf{k}") for k in range(n_groups)])
-    stats = found.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *[F.sum((F.col(f"_tf{k}") > 0).cast("long")).alias(f"_df{k}") for k in range(n_groups)])
-    candidates = found.where(" AND ".join(f"_tf{k} > 0" for k in range(n_groups)))
-    for name, value in plan.filters:
-        candidates = candidates.where(F.col(name).eqNullSafe(F.lit(value)))
-    if visible is not None:
-        candidates = candidates.where(visible)
-    row = stats.first()  # a few numbers, over the whole table
-    n, mean = row["_n"], row["_avg"] or 0.0
+    n_groups, key = plan.groups, index.id_column
+    term = F.col("term")
+    wanted = reduce(lambda a, b: a | b, [term.startswith(plan.prefix), *([term.isin(*plan.exact)] if plan.exact else [])])
+    # A word may be in an exact group and in the prefix group.
+    groups = F.array_compact(F.array(*[F.when(term == w, F.lit(k)) for k, w in enumerate(plan.exact)], F.when(term.startswith(plan.prefix), F.lit(n_groups - 1))))
+    places = F.transform("positions", lambda p: F.struct(p.alias("pos"), F.col("g").alias("g")))
+    rows = index.postings(wanted).select(key, "tf", "positions", F.explode(groups).alias("g"))
+    hits = rows.groupBy(key).agg(*[F.sum(F.when(F.col("g") == k, F.col("tf")).otherwise(0)).alias(f"_tf{k}") for k in range(n_groups)], *([F.array_sort(F.flatten(F.collect_list(places))).alias("_places")] if n_groups > 1 else []))
+    size = index.docs().agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).first()  # two numbers, over the whole table
+    holding = index.postings(wanted).select(key, F.explode(groups).alias("g")).groupBy("g").agg(F.count_distinct(key).alias("df")).collect()  # one for each group
+    df_of = {r["g"]: r["df"] for r in holding}
+    found = hits.where(" AND ".join(f"_tf{k} > 0" for k in range(n_groups))).join(index.docs().select(key, F.col("len").alias("_len")), key)
+    n, mean = size["n"], size["mean"] or 0.0
     norm = F.when(F.col("_len") == 0, 1.0).otherwise(1 - B + B * F.col("_len") / F.lit(mean)) if mean else F.lit(1.0)
     score = F.lit(0.0)
     for k in range(n_groups):
-        df_k = row[f"_df{k}"] or 0
+        df_k = df_of.get(k, 0)
         idf = F.lit(math.log(1 + (n - df_k + 0.5) / (df_k + 0.5)))
         score = score + idf * (F.col(f"_tf{k}") * (K1 + 1)) / (F.col(f"_tf{k}") + K1 * norm)
         if k < n_groups - 1:
             score = score + EXACT_BONUS * F.col(f"_tf{k}")
     if n_groups > 1:
         score = score + NEAR_BONUS / min_span(F.col("_places"), n_groups)
-    scored = candidates.withColumn("_score", score if digits is None else F.round(score, digits)).select(*df.columns, "_score")
-    ranked = scored.orderBy(F.col("_score").desc(), F.col(creation).desc_nulls_last(), F.col(id_column).asc())
+    scored = found.select(key, (score if digits is None else F.round(score, digits)).alias("_score"))
+    asked = df
+    for name, value in plan.filters:
+        asked = asked.where(F.col(name).eqNullSafe(F.lit(value)))
+    if visible is not None:
+        asked = asked.where(visible)
+    ranked = asked.join(scored, key).select(*df.columns, "_score").orderBy(F.col("_score").desc(), F.col(creation).desc_nulls_last(), F.col(key).asc())
     return ranked if limit is None else ranked.limit(limit)
 
 
-def _count_group(k: int) -> Column:
-    return F.size(F.filter(F.col("_places"), lambda x: x["g"] == F.lit(k)))
-
-
-# The parts of an index, as tables
+def search(df: DataFrame, plan: SearchPlan | None, id_column: str, creation: str, visible: Column | None = None, limit: int | None = 1024, digits: int | None = None) -> DataFrame:
+    """A search over rows without an index, through one made for it."""
+    if plan is None:
+        return df.withColumn("_score", F.lit(0.0)).where("false")
+    index = SearchIndex(df.sparkSession, shared_folder(df.sparkSession, "search"), plan.field, id_column).add(df)
+    return search_index(df, index, plan, creation, visible, limit, digits)
 
 
-def postings(df: DataFrame, field: str, id_column: str) -> DataFrame:
-    """(term, id, tf, positions) for every word of every document."""
-    words = df.select(id_column, F.posexplode(tokens(F.col(field))).alias("pos", "term"))
-    return words.groupBy("term", id_column).agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+# Other readings of a text column
 
 
 def corpus_stats(df: DataFrame, field: str) -> DataFrame:
@@ -152,20 +229,3 @@ def combined(df: DataFrame, field: str, id_column: str, words: list[str], prefix
     t = tokens(F.col(field))
     every = F.forall(F.array(*map(F.lit, words)), lambda w: F.array_contains(t, w)) if words else F.lit(True)
     return df.where(every & F.exists(t, lambda x: x.startswith(prefix))).select(id_column)
-
-
-class SearchIndex:
-    """Scored tables kept per version: rebuilt when the table's version moves."""
-
-    def __init__(self) -> None:
-        self._kept: dict[str, tuple[int, DataFrame]] = {}
-
-    def postings(self, name: str, version: int, df: DataFrame, field: str, id_column: str) -> DataFrame:
-        have = self._kept.get(name)
-        if have and have[0] == version:
-            return have[1]
-        if have:
-            have[1].unpersist()
-        built = postings(df, field, id_column).persist()
-        self._kept[name] = (version, built)
-        return built

@@ -9,6 +9,7 @@ from lodestrata.operators import joins as J
 from lodestrata.operators import search as T
 from lodestrata.operators import vector as V
 from lodestrata.queries.registry import query, t
+from lodestrata.sources.tables import shared_folder
 from lodestrata.types import TableSpec
 
 DOCS = TableSpec("documents", creation="n_chars", id="doc_id").search_index("by_text", "text", "lang", "source")
@@ -39,37 +40,74 @@ def bm25_sql(words: list[str], prefix: str, where: str = "true", table: str = "d
     )
 
 
-def _search(df, text: str, filters: dict | None = None, limit: int = 20):
+_INDEXES: dict[tuple, T.SearchIndex] = {}
+
+
+def _index(spark, d) -> T.SearchIndex:
+    """The documents' index, made once in a session for each state of their files."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    key = (spark.sparkContext.applicationId, str(d), status.getModificationTime(), status.getLen())
+    if key not in _INDEXES:
+        _INDEXES[key] = T.SearchIndex(spark, shared_folder(spark, "search-index"), "text", "doc_id").add(t(spark, d, "documents"))
+    return _INDEXES[key]
+
+
+def _search(df, index: T.SearchIndex, text: str, filters: dict | None = None, limit: int = 20, visible=None):
     plan = T.plan_search(DOCS, "by_text", "text", text, filters)
-    return T.search(df, plan, "doc_id", "n_chars", limit=limit, digits=5).select("doc_id", F.col("_score").alias("score"))
+    return T.search_index(df, index, plan, "n_chars", visible, limit=limit, digits=5).select("doc_id", F.col("_score").alias("score"))
 
 
 @query(bm25_sql([], "pathetic"))
 def search_single(spark, d):
-    return _search(t(spark, d, "documents"), "Pathetic")
+    return _search(t(spark, d, "documents"), _index(spark, d), "Pathetic")
 
 
 @query(bm25_sql([], "lic"))
 def search_prefix(spark, d):
-    return _search(t(spark, d, "documents"), "lic")
+    return _search(t(spark, d, "documents"), _index(spark, d), "lic")
 
 
 @query(bm25_sql(["the"], "an", "lang = 'en' AND source = 'src0'"))
 def search_multi_filter(spark, d):
-    return _search(t(spark, d, "documents"), "the an", {"lang": "en", "source": "src0"})
+    return _search(t(spark, d, "documents"), _index(spark, d), "the an", {"lang": "en", "source": "src0"})
 
 
 @query(bm25_sql(["of", "the"], "th"))
 def search_proximity(spark, d):
-    return _search(t(spark, d, "documents"), "of THE th")
+    return _search(t(spark, d, "documents"), _index(spark, d), "of THE th")
 
 
-@query(bm25_sql(["the"], "wor", table="(SELECT doc_id, CASE WHEN lang = 'de' THEN 'the worth of ' || source ELSE text END AS text, lang, source, n_chars FROM documents WHERE lang <> 'fr')"))
-def search_overlay(spark, d):
+@query(bm25_sql(["the"], "an", "lang = 'en' AND n_chars % 3 <> 0"))
+def search_visible(spark, d):
+    """Of what is found, what a reader may see."""
+    return _search(t(spark, d, "documents"), _index(spark, d), "the an", visible=(F.col("lang") == "en") & (F.col("n_chars") % 3 != 0))
+
+
+_OVERLAID = "(SELECT doc_id, CASE WHEN lang = 'de' THEN 'the worth of ' || source ELSE text END AS text, lang, source, n_chars FROM documents WHERE lang <> 'fr')"
+
+
+def _overlaid(spark, d):
+    """Documents, pending writes over them, and both together."""
     docs = t(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     text = F.concat(F.lit("the worth of "), F.col("source"))
     pending = docs.where("lang IN ('de', 'fr')").withColumn("_deleted", F.col("lang") == "fr").withColumn("text", text)
-    return _search(J.overlay(docs, pending, "doc_id"), "the wor")
+    return docs, pending, J.overlay(docs, pending, "doc_id")
+
+
+@query(bm25_sql(["the"], "wor", table=_OVERLAID))
+def search_overlay(spark, d):
+    plan = T.plan_search(DOCS, "by_text", "text", "the wor")
+    return T.search(_overlaid(spark, d)[2], plan, "doc_id", "n_chars", limit=20, digits=5).select("doc_id", F.col("_score").alias("score"))
+
+
+@query(bm25_sql(["the"], "wor", table=_OVERLAID))
+def search_index_delta(spark, d):
+    """The same from an index of the first state, to which changed documents were added and from which others were removed."""
+    docs, pending, now = _overlaid(spark, d)
+    index = T.SearchIndex(spark, shared_folder(spark, "search-delta"), "text", "doc_id").add(docs)
+    index.add(pending.where("NOT _deleted")).remove(pending.where("_deleted"))
+    return _search(now, index, "the wor")
 
 
 @query(f"SELECT doc_id, len({_TOKENS}) AS n, array_to_string({_TOKENS}[1:5], ' ') AS head FROM documents")
