@@ -15,7 +15,8 @@ from pyspark.sql.types import StringType
 
 #: A token's longest length, and how many tokens of a query count.
 TOKEN_CHARS, QUERY_TOKENS = 32, 16
-TOKEN = r"[\p{L}\p{N}]+"
+#: A token, of which the first group keeps what counts.
+TOKEN = rf"([\p{{L}}\p{{N}}]{{1,{TOKEN_CHARS}}})[\p{{L}}\p{{N}}]*"
 
 
 @F.pandas_udf(StringType())
@@ -26,8 +27,7 @@ def nfkc(texts: pd.Series) -> pd.Series:
 
 def tokens(text: Column) -> Column:
     """Runs of letters and digits, lower-cased, cut to TOKEN_CHARS; none for null."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
-    return F.transform(found, lambda t: F.substring(t, 1, TOKEN_CHARS))
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(1))
 
 
 def query_tokens(text: str) -> list[str]:

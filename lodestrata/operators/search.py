@@ -8,9 +8,9 @@ score, then newest, then id.
 
 Statistics (number of documents, mean length, documents per group) cover the whole
 table; filters and visibility apply to results. Texts are normalised (NFKC) and cut
-into words once, when they go into an index: a folder of segments with one row for
-each document (its length) and one for each word of a document (its positions), sorted
-by word. A query reads the words it asks for, by filters that the Parquet reader gets,
+into words once, when they go into an index: a folder of segments with a row for each
+word's place in each document, sorted by word within each file; building one takes no
+shuffle. A query reads the words it asks for, by filters that the Parquet reader gets,
 and shuffles those rows alone.
 """
 
@@ -21,7 +21,6 @@ import uuid
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,10 +89,11 @@ def postings(df: DataFrame, field: str, id_column: str) -> DataFrame:
 class SearchIndex:
     """A stored index of one text column: numbered segments that are added and never changed.
 
-    ``add`` writes the postings of new and changed documents, ``remove`` the ids of
+    ``add`` writes the words of new and changed documents, ``remove`` the ids of
     documents that go; a document counts as its newest segment has it. ``compact`` writes
     all live rows as one segment. One writer at a time; a segment without its mark of
-    success isn't there.
+    success isn't there. The word "", which no text has, stands for a document's end: its
+    place is the document's length, or -1 for a document that goes.
     """
 
     def __init__(self, spark: SparkSession, path: str, field: str, id_column: str):
@@ -105,59 +105,43 @@ class SearchIndex:
         fs = at.getFileSystem(conf)
         if not fs.exists(at):
             return []
-        there = lambda n: fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/docs/_SUCCESS"))
+        there = lambda n: fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))
         return sorted(int(n[1:]) for n in (x.getPath().getName() for x in fs.listStatus(at)) if n.startswith("s") and n[1:].isdigit() and there(n))
 
-    def _write(self, post: DataFrame, docs: DataFrame) -> SearchIndex:
-        at = f"{self.path}/s{max(self.segments(), default=-1) + 1}"
-        post.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{at}/postings")
-        docs.write.mode("overwrite").parquet(f"{at}/docs")  # last: its mark makes the segment count
+    def _write(self, rows: DataFrame) -> SearchIndex:
+        rows.select("term", self.id_column, "pos").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.path}/s{max(self.segments(), default=-1) + 1}")
         return self
 
     def add(self, df: DataFrame, normalised: bool = False) -> SearchIndex:
         """Documents to add, or to replace where their ids are there; null texts count as empty. normalised: the texts are in NFKC already."""
         text = F.col(self.field) if normalised else nfkc(F.col(self.field))
-        split = df.select(F.col(self.id_column), tokens(text).alias("words"))
-        kept = split.select(self.id_column, F.size("words").cast("long").alias("len"), "words").persist(StorageLevel.DISK_ONLY)
-        words = kept.select(self.id_column, F.posexplode("words").alias("pos", "term")).groupBy("term", self.id_column)
-        post = words.agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-        try:
-            return self._write(post, kept.select(self.id_column, "len", F.lit(True).alias("live")))
-        finally:
-            kept.unpersist()
+        return self._write(df.select(self.id_column, F.posexplode(F.concat(tokens(text), F.array(F.lit("")))).alias("pos", "term")))
 
     def remove(self, ids: DataFrame) -> SearchIndex:
-        gone = ids.select(F.col(self.id_column), F.lit(0).cast("long").alias("len"), F.lit(False).alias("live"))
-        return self._write(self.spark.createDataFrame([], self._shape(ids)), gone)
+        return self._write(ids.select(self.id_column, F.lit(-1).alias("pos"), F.lit("").alias("term")))
 
-    def _shape(self, ids: DataFrame) -> str:
-        return f"term string, {self.id_column} {ids.schema[self.id_column].dataType.simpleString()}, tf long, positions array<int>"
-
-    def _all(self, part: str) -> DataFrame:
-        segments = [self.spark.read.parquet(f"{self.path}/s{n}/{part}").withColumn("segment", F.lit(n)) for n in self.segments()]
+    def _rows(self, condition: Column) -> DataFrame:
+        segments = [self.spark.read.parquet(f"{self.path}/s{n}").where(condition).withColumn("segment", F.lit(n)) for n in self.segments()]
         if not segments:
             raise ValueError("the index is empty")
         return reduce(DataFrame.unionByName, segments)
 
     def docs(self) -> DataFrame:
         """id, len, segment of every live document."""
-        rows = self._all("docs")
+        rows = self._rows(F.col("term") == "")
         if len(self.segments()) > 1:
-            newest = F.max_by(F.struct("len", "live", "segment"), "segment").alias("d")
-            rows = rows.groupBy(self.id_column).agg(newest).select(self.id_column, "d.*")
-        return rows.where("live").drop("live")
+            rows = rows.groupBy(self.id_column).agg(F.max_by(F.struct("pos", "segment"), "segment").alias("d")).select(self.id_column, "d.*")
+        return rows.where("pos >= 0").select(self.id_column, F.col("pos").cast("long").alias("len"), "segment")
 
     def postings(self, condition: Column | None = None) -> DataFrame:
-        """term, id, tf, positions of live documents' words."""
-        rows = self._all("postings")
-        if condition is not None:
-            rows = rows.where(condition)
+        """term, id, pos of live documents' words."""
+        rows = self._rows((F.col("term") != "") if condition is None else (F.col("term") != "") & condition)
         return rows.drop("segment") if len(self.segments()) == 1 else rows.join(self.docs().select(self.id_column, "segment"), [self.id_column, "segment"]).drop("segment")
 
     def compact(self) -> SearchIndex:
         """All live rows as a new folder's only segment."""
         out = SearchIndex(self.spark, f"{self.path}-{uuid.uuid4().hex}", self.field, self.id_column)
-        return out._write(self.postings(), self.docs().select(self.id_column, "len", F.lit(True).alias("live")))
+        return out._write(self.postings().unionByName(self.docs().select(self.id_column, F.col("len").cast("int").alias("pos"), F.lit("").alias("term"))))
 
 
 def search_index(df: DataFrame, index: SearchIndex, plan: SearchPlan | None, creation: str, visible: Column | None = None, limit: int | None = 1024, digits: int | None = None) -> DataFrame:
@@ -169,11 +153,11 @@ def search_index(df: DataFrame, index: SearchIndex, plan: SearchPlan | None, cre
     wanted = reduce(lambda a, b: a | b, [term.startswith(plan.prefix), *([term.isin(*plan.exact)] if plan.exact else [])])
     # A word may be in an exact group and in the prefix group.
     groups = F.array_compact(F.array(*[F.when(term == w, F.lit(k)) for k, w in enumerate(plan.exact)], F.when(term.startswith(plan.prefix), F.lit(n_groups - 1))))
-    places = F.transform("positions", lambda p: F.struct(p.alias("pos"), F.col("g").alias("g")))
-    rows = index.postings(wanted).select(key, "tf", "positions", F.explode(groups).alias("g"))
-    hits = rows.groupBy(key).agg(*[F.sum(F.when(F.col("g") == k, F.col("tf")).otherwise(0)).alias(f"_tf{k}") for k in range(n_groups)], *([F.array_sort(F.flatten(F.collect_list(places))).alias("_places")] if n_groups > 1 else []))
+    rows = index.postings(wanted).select(key, "pos", F.explode(groups).alias("g"))
+    places = [F.array_sort(F.collect_list(F.struct("pos", "g"))).alias("_places")] if n_groups > 1 else []
+    hits = rows.groupBy(key).agg(*[F.count_if(F.col("g") == k).alias(f"_tf{k}") for k in range(n_groups)], *places)
     size = index.docs().agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).first()  # two numbers, over the whole table
-    holding = index.postings(wanted).select(key, F.explode(groups).alias("g")).groupBy("g").agg(F.count_distinct(key).alias("df")).collect()  # one for each group
+    holding = rows.select(key, "g").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("df")).collect()  # one for each group
     df_of = {r["g"]: r["df"] for r in holding}
     found = hits.where(" AND ".join(f"_tf{k} > 0" for k in range(n_groups))).join(index.docs().select(key, F.col("len").alias("_len")), key)
     n, mean = size["n"], size["mean"] or 0.0
