@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def percentile_at(sorted_values: Column, p: float) -> Column:
@@ -15,20 +16,26 @@ def percentile_at(sorted_values: Column, p: float) -> Column:
     return F.element_at(sorted_values, F.least(n - 1, F.floor(n * F.lit(p)).cast("int")) + 1)
 
 
-def exact_percentiles(df: DataFrame, kind: str, value: str, ps: dict[str, float]) -> DataFrame:
+def exact_percentiles(df: DataFrame, kind: str, value: str, ps: dict[str, float], bins: int = 1024) -> DataFrame:
     """Count, mean and percentiles of each kind.
 
     Values are counted first, so that a hot kind sends each distinct value once a
-    partition; ranks come from running counts, never from one group's array of all rows.
+    partition. A histogram of equal bins between each kind's ends tells which bin holds
+    a percentile; only that bin's values are ranked, so no task orders a whole kind.
     """
-    from pyspark.sql.window import Window
-
+    v, inf = F.col(value).cast("double"), float("inf")
     counted = df.where(F.col(value).isNotNull()).groupBy(kind, value).agg(F.count(F.lit(1)).alias("c"))
-    stats = counted.groupBy(kind).agg(F.sum("c").alias("n"), (F.sum(F.col(value) * F.col("c")) / F.sum("c")).alias("mean"))
-    running = counted.withColumn("upto", F.sum("c").over(Window.partitionBy(kind).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-    ranked = running.join(F.broadcast(stats) if stats.limit(10_001).count() <= 10_000 else stats, kind)
-    picks = [F.min(F.when(F.col("upto") > F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(p))), F.col(value))).alias(name) for name, p in ps.items()]
-    return ranked.groupBy(kind).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), *picks)
+    finite = F.when(~F.isnan(v) & (F.abs(v) < inf), v)
+    stats = counted.groupBy(kind).agg(F.sum("c").alias("n"), (F.sum(F.col(value) * F.col("c")) / F.sum("c")).alias("mean"), F.min(finite).alias("low"), F.max(finite).alias("high"))
+    inside = F.when(F.col("high") > F.col("low"), F.least(F.lit(bins - 1), F.floor((v - F.col("low")) / (F.col("high") - F.col("low")) * bins))).otherwise(0)
+    binned = counted.join(stats.select(kind, "low", "high"), kind).withColumn("bin", F.when(F.isnan(v), bins + 1).when(v == inf, bins).when(v == -inf, -1).otherwise(inside).cast("int"))
+    full = binned.groupBy(kind, "bin").agg(F.sum("c").alias("c"))
+    below = full.withColumn("below", F.sum("c").over(Window.partitionBy(kind).orderBy("bin")) - F.col("c"))  # bins + 3 rows a kind at most
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(p))).alias("rank")) for name, p in ps.items()])).alias("a")
+    found = below.join(stats.select(kind, asked).select(kind, "a.*"), kind).where((F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("c"))).select(kind, "bin", "name", "rank", "below")
+    upto = F.sum("c").over(Window.partitionBy(kind, "name").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) + F.col("below")
+    picks = binned.join(found, [kind, "bin"]).withColumn("upto", upto).where(F.col("upto") > F.col("rank")).groupBy(kind).agg(*[F.min(F.when(F.col("name") == name, F.col(value))).alias(name) for name in ps])
+    return stats.select(kind, "n", "mean").join(picks, kind)
 
 
 # Operation logs: a row for each operation on a document's field.

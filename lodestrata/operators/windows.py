@@ -34,6 +34,24 @@ def gaps(df: DataFrame, key: list[str], seq: str) -> DataFrame:
     return df.withColumn("before", before).where(F.col(seq) > F.col("before") + 1).select(*key, "before", F.col(seq).alias("after"))
 
 
+def numbered_all(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Numbers from 0 over all rows in that order: rows are dealt by ranges, numbered in each, and moved on by the sizes of the ranges before (a number for each partition).
+
+    The dealt rows are a written table, as ranges are drawn from a sample and would differ if they were dealt again.
+    """
+    from lodestrata.sources.tables import shared_folder
+
+    n, path = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), shared_folder(df.sparkSession, "dealt")
+    df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    dealt = df.sparkSession.read.parquet(path)
+    sizes, before, total = {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().collect()}, [], 0
+    for k in range(n):
+        before.append(total)
+        total += sizes.get(k, 0)
+    offset = F.get(F.array(*map(F.lit, before)), F.col("_part"))
+    return dealt.withColumn(name, F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + offset).drop("_part")
+
+
 def first_claimable(df: DataFrame, key: list[str], claimable: Column, order: list[Column]) -> DataFrame:
     """The first row of each key that may be claimed."""
     ready = df.where(claimable)

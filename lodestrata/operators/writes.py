@@ -13,14 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestrata.operators.windows import numbered_all
+
 
 def insert(df: DataFrame, rows: DataFrame, id_column: str, creation: str, now_ms: float, order: list[Column]) -> DataFrame:
     """df and rows, each with a new id and rising creation times after the newest there."""
     newest = df.agg(F.max(creation)).first()[0]
     start = now_ms if newest is None or now_ms > newest else newest + 0.001
-    # Times within one insert need a number for each of its rows; an insert is a batch of the application's size.
-    k = F.row_number().over(Window.orderBy(*order)) - 1
-    return df.unionByName(rows.withColumn(id_column, F.uuid()).withColumn(creation, F.lit(float(start)) + k * 0.001), allowMissingColumns=True)
+    timed = numbered_all(rows, order, "_k").withColumn(id_column, F.uuid()).withColumn(creation, F.lit(float(start)) + F.col("_k") * 0.001)
+    return df.unionByName(timed.drop("_k"), allowMissingColumns=True)
 
 
 def patch(df: DataFrame, changes: DataFrame, key: str, fields: list[str], unset: str | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.functions.expr import path_column
+from lodestrata.operators.windows import numbered_all
 from lodestrata.plans.query import Query
 
 # A cursor's prefix, and the cursor that ends the last page.
@@ -101,6 +102,10 @@ def page_plan(query: Query, cursor: str | None = None, end_cursor: str | None =
     return rows.orderBy(*query.sort())
 
 
+#: Rows that a pinned page may bring to the driver.
+PINNED_ROWS = 16_384
+
+
 def split_index(n: int) -> int:
     """The middle row of a page, which ends its first half."""
     return (n - 1) // 2
@@ -128,13 +133,13 @@ def within_bytes(rows: list[tuple[Row, int]], most: int) -> list[Row]:
 
 
 def paginate(query: Query, size: int, cursor: str | None = None, end_cursor: str | None = None, max_rows: int | None = None, max_bytes: int | None = None) -> Page:
-    """One page. A pinned page holds all rows up to its end; budgets cut it short and ask for a split."""
+    """One page. A pinned page holds all rows up to its end; budgets, ``PINNED_ROWS`` where no other is given, cut it short and ask for a split."""
     fields = query.order_key
     rows = page_plan(query, cursor, end_cursor)
     key_of = lambda r: encode_cursor([_at(r, f) for f in fields])
     pinned = end_cursor is not None
     target = None if pinned else max(size, 0)
-    most = min(x for x in (target, max_rows, (1 << 31) - 2) if x is not None)
+    most = min(x for x in (target, max_rows, PINNED_ROWS if pinned and max_rows is None else None) if x is not None)
     taken = rows.limit(most + 1)
     if max_bytes is None:
         got, sizes = taken.collect(), None
@@ -166,12 +171,12 @@ def _at(row: Row, path: str) -> object:
 def ranked_page(ranked: DataFrame, order: list[Column], id_column: str, size: int, cursor: object = None) -> DataFrame:
     """A page of ranked results after the row with id ``cursor``; an unknown cursor starts from the beginning.
 
-    Ranks are numbered over the whole result, which a search has already bounded.
+    Ranks are numbered over the whole result, range by range.
     """
-    numbered = ranked.withColumn("_rank", F.row_number().over(Window.orderBy(*order)))
+    numbered = numbered_all(ranked, [*order, F.col(id_column).asc()], "_rank")
     if cursor is not None:
-        at = numbered.where(F.col(id_column) == F.lit(cursor)).agg(F.max("_rank")).first()[0] or 0
-        numbered = numbered.where(F.col("_rank") > at)
+        at = numbered.where(F.col(id_column) == F.lit(cursor)).agg(F.max("_rank")).first()[0]
+        numbered = numbered if at is None else numbered.where(F.col("_rank") > at)
     return numbered.orderBy("_rank").limit(size).drop("_rank")
 
 

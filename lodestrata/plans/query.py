@@ -181,6 +181,18 @@ def point_get(df: DataFrame, spec: TableSpec, value: object, identity: object =
     return rows.limit(1)
 
 
+def normalize_ids(ids: DataFrame, column: str, table: DataFrame, spec: TableSpec) -> DataFrame:
+    """ids with their column ``id``: the id where the table holds it, null for another table's id, for one that isn't there, and for null."""
+    known = table.select(F.col(spec.id).alias("_known")).distinct()
+    return ids.join(known, F.col(column) == F.col("_known"), "left").withColumn("id", F.col("_known")).drop("_known")
+
+
+def ordinal(value: Column, order: list[str]) -> Column:
+    """A value's place in a list of values, for sorting; values that aren't listed come last."""
+    at = F.array_position(F.array(*map(F.lit, order)), value)
+    return F.when(F.coalesce(at, F.lit(0)) == 0, F.lit(len(order))).otherwise(at - 1)
+
+
 def probe_tables(tables: dict[str, tuple[DataFrame, str]], value: object) -> DataFrame:
     """The first table, in the given order, that holds the id: a column ``table`` with one row at most."""
     parts = [df.where(F.col(key) == F.lit(value)).select(F.lit(k).alias("rank"), F.lit(name).alias("table")).limit(1) for k, (name, (df, key)) in enumerate(tables.items())]

@@ -186,3 +186,26 @@ def has_any(spark, d):
 @query("SELECT 'customer' AS name, count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'part', count(*) FROM part")
 def catalog_counts(spark, d):
     return Q.list_tables({n: t(spark, d, n).agg(F.count(F.lit(1)).alias("n")) for n in ("customer", "orders", "part")}).select(F.col("table").alias("name"), "n")
+
+
+@query("SELECT event_id, CASE WHEN user_id IN (SELECT s_suppkey FROM supplier) THEN user_id END AS id FROM events")
+def normalize_id(spark, d):
+    """Ids of which some belong to another table."""
+    spec = TableSpec("supplier", creation="s_suppkey", id="s_suppkey")
+    return Q.normalize_ids(t(spark, d, "events").select("event_id", "user_id"), "user_id", t(spark, d, "supplier"), spec).select("event_id", "id")
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY CASE o_orderpriority WHEN '3-MEDIUM' THEN 0 WHEN '1-URGENT' THEN 1 WHEN '5-LOW' THEN 2 ELSE 3 END, o_orderdate DESC, o_orderkey LIMIT 100")
+def ordinal_sort(spark, d):
+    """The first orders by a list of priorities; those that aren't listed come last."""
+    rank = Q.ordinal(F.col("o_orderpriority"), ["3-MEDIUM", "1-URGENT", "5-LOW"])
+    return t(spark, d, "orders").orderBy(rank, F.col("o_orderdate").desc(), "o_orderkey").limit(100).select("o_orderkey")
+
+
+@query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS k FROM documents WHERE lang = 'en') SELECT doc_id FROM r WHERE k > (SELECT k FROM r ORDER BY doc_id LIMIT 1) ORDER BY k LIMIT 25")
+def ranked_page(spark, d):
+    """The page after the row whose id the cursor names."""
+    from lodestrata.plans.paginate import ranked_page as page
+
+    rows = t(spark, d, "documents").where("lang = 'en'")
+    return page(rows, [F.col("n_chars").desc()], "doc_id", 25, rows.agg(F.min("doc_id")).first()[0]).select("doc_id")

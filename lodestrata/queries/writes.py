@@ -139,3 +139,19 @@ def backfill(spark, d):
     there = part.select("p_partkey", F.when(F.col("p_brand") != "Brand#11", F.col("p_name")).alias("p_name"), "p_size")
     partial = part.where("p_partkey % 3 = 0").select("p_partkey", F.lit(99).alias("p_size"))
     return W.backfill(there, partial, "p_partkey", ["p_name", "p_size"], ["p_name"])
+
+
+@query("WITH e AS (SELECT user_id, event_type, row_number() OVER (ORDER BY event_id) - 1 AS k FROM events WHERE event_type = 'signup') SELECT user_id, event_type, round(1000000 + k * 0.001, 3) AS created FROM e UNION ALL SELECT user_id, event_type, CAST(event_id AS DOUBLE) FROM events WHERE event_type = 'error'")
+def insert(spark, d):
+    """Rows get new ids and times that rise in their order, after all that is there."""
+    e = t(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), "event_id", "user_id", "event_type", F.col("event_id").cast("double").alias("created"))
+    rows = e.where("event_type = 'signup'").select("event_id", "user_id", "event_type")
+    out = W.insert(e.where("event_type = 'error'"), rows, "id", "created", 1_000_000.0, [F.col("event_id")])
+    return out.select("user_id", "event_type", F.round("created", 3).alias("created"))
+
+
+@query("SELECT n_name AS \"table\", CASE WHEN n_regionkey IN (1, 3) THEN n_nationkey + 1 ELSE n_nationkey END AS version FROM nation")
+def stamp_version(spark, d):
+    n = t(spark, d, "nation")
+    wrote = [r["n_name"] for r in n.where("n_regionkey IN (1, 3)").select("n_name").collect()]
+    return W.stamp_version(n.select(F.col("n_name").alias("table"), F.col("n_nationkey").alias("version")), wrote)
