@@ -180,3 +180,53 @@ def test_change_stream(spark, tmp_path):
     rows = feeds.stream(spark, str(tmp_path / "log"), log.schema, 1)
     feeds.into_table(rows, table, feeds.change_sink(table, "id"), str(tmp_path / "cp")).awaitTermination()
     assert {r.id for r in table.read().collect()} == {"b", "c"}
+
+
+def test_percentiles_of_odd_values(spark):
+    """Infinities, NaN, one value, nulls, negative numbers: the element at floor(p * n) of the sorted values."""
+    import random
+
+    from lodestrata.operators.aggregates import exact_percentiles
+
+    rng = random.Random(7)
+    inf = float("inf")
+    kinds = {"a": [rng.gauss(0, 100) for _ in range(3000)], "b": [5.0] * 40, "c": [inf, -inf, 1.0, 2.0, float("nan")], "d": [0.0] * 99 + [1e9], "e": [-3.0], "f": [inf, inf]}
+    rows = [(k, v) for k, vs in kinds.items() for v in vs] + [("a", None), ("g", None)]
+    ps = {"p0": 0.0, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    out = {r.k: r for r in exact_percentiles(spark.createDataFrame(rows, "k string, v double"), "k", "v", ps, bins=16).collect()}
+    assert set(out) == set(kinds)
+    for k, vs in kinds.items():
+        ordered = sorted(vs, key=lambda x: (x != x, x))
+        for name, p in ps.items():
+            want, got = ordered[min(len(vs) - 1, int(len(vs) * p))], out[k][name]
+            assert got == want or (got != got and want != want)
+        assert out[k].n == len(vs)
+
+
+def test_touched_ranges_against_all_pairs(spark):
+    import random
+
+    from lodestrata.operators.changes import touched_ranges
+
+    rng = random.Random(4)
+    value = lambda: rng.choice([None, rng.randint(-50, 50), rng.randint(-10**9, 10**9), 0])
+    changes = [(i, rng.choice("xy"), value(), value()) for i in range(200)]
+    ranges = [(i, rng.choice("xy"), lo, lo + rng.choice([0, 1, 7, 8, 1000, 2 * 10**9])) for i in range(60) for lo in [rng.choice([rng.randint(-60, 50), rng.randint(-10**9, 10**9)])]] + [(99, "x", 5, 1)]
+    got = touched_ranges(spark.createDataFrame(changes, "change long, tbl string, before long, after long"), spark.createDataFrame(ranges, "sub long, tbl string, lo long, hi long"), "v").collect()
+    want = [(c, s) for c, t, b, a in changes for s, u, lo, hi in ranges if t == u and ((b is not None and lo <= b <= hi) or (a is not None and lo <= a <= hi))]
+    assert sorted(map(tuple, got)) == sorted(want) and want
+
+
+def test_search_index_follows_adds_removes_and_normal_forms(spark, tmp_path):
+    from lodestrata.operators.search import SearchIndex
+
+    df = spark.createDataFrame([(1, "the ﬁle"), (2, "Ｆｉｌｅ two"), (3, None), (4, "other")], "doc_id long, text string")
+    index = SearchIndex(spark, (tmp_path / "ix").as_uri(), "text", "doc_id").add(df)
+    words = lambda x: {(r.term, r.doc_id, r.pos) for r in x.postings().collect()}
+    assert words(index) == {("the", 1, 0), ("file", 1, 1), ("file", 2, 0), ("two", 2, 1), ("other", 4, 0)}
+    index.add(spark.createDataFrame([(2, "new"), (5, "")], df.schema)).remove(spark.createDataFrame([(4,)], "doc_id long"))
+    lengths = lambda x: {(r.doc_id, r.len) for r in x.docs().collect()}
+    assert words(index) == {("the", 1, 0), ("file", 1, 1), ("new", 2, 0)} and lengths(index) == {(1, 2), (2, 1), (3, 0), (5, 0)}
+    index.add(spark.createDataFrame([(4, "back again")], df.schema))
+    whole = index.compact()
+    assert words(whole) == words(index) and lengths(whole) == lengths(index) and len(whole.segments()) == 1
