@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from functools import lru_cache
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 UTC = dt.timezone.utc
 # Names in the fourth and fifth field, and shorthands.
@@ -66,6 +71,21 @@ class Cron:
         return None
 
 
+@lru_cache(maxsize=4096)
+def _parsed(text: str) -> Cron:
+    return Cron(text)
+
+
+def next_fire(schedule: Column, now_ms: Column) -> Column:
+    """The first fire after now of each row's schedule, in milliseconds; null without either, or without a fire within a year."""
+
+    @F.pandas_udf("long")
+    def after(texts: pd.Series, nows: pd.Series) -> pd.Series:
+        return pd.Series([None if text is None or pd.isna(now) else _parsed(text).after(int(now)) for text, now in zip(texts, nows, strict=True)], dtype="Int64")
+
+    return after(schedule, now_ms.cast("long"))
+
+
 def interval_after(anchor_ms: int, every_ms: int, now_ms: float) -> int:
     """Ticks are anchored; missed ones are skipped."""
     if every_ms <= 0:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -70,6 +71,52 @@ def materialise(ops: DataFrame, fields: dict[str, str], doc: str = "doc") -> Dat
     return ops.groupBy(doc).agg(*folds)
 
 
+def _text(x: Column, kind: T.DataType) -> Column:
+    """A value as an operation holds it: strings as they are, nested values as JSON."""
+    if isinstance(kind, T.StringType):
+        return x
+    return F.to_json(x) if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)) else x.cast("string")
+
+
+def encode_rows(rows: DataFrame, fields: dict[str, str], doc: str, seq: Column | None = None, prose: bool = True) -> DataFrame:
+    """Rows as the log that ``materialise`` folds back: (doc, field, client, value, delta, member, ts, pos), in one pass.
+
+    Registers (and prose, unless left out) have one entry each, null or not; a counter has
+    one where it is neither null nor 0; a set has one for each distinct member, a null
+    member being the text null. Other kinds have none. The client is ``_init``, the time is seq.
+    """
+    none = F.lit(None).cast("string")
+
+    def entry(name: str, value: Column = none, delta: Column = none, member: Column = none) -> Column:
+        return F.struct(F.lit(name).alias("field"), value.alias("value"), delta.alias("delta"), member.alias("member"))
+
+    def added(name: str, of: T.DataType) -> Callable[[Column], Column]:
+        return lambda x: entry(name, member=F.coalesce(_text(x, of), F.lit("null")))
+
+    parts = []
+    for name, kind in fields.items():
+        c, of = F.col(name), rows.schema[name].dataType
+        if kind == "register" or (kind == "prose" and prose):
+            parts.append(F.array(entry(name, value=_text(c, of))))
+        elif kind == "counter":
+            parts.append(F.filter(F.array(entry(name, delta=F.when(c != 0, c.cast("string")))), lambda x: x["delta"].isNotNull()))
+        elif kind == "set":
+            listed = F.array_distinct(F.coalesce(c, F.array().cast(of)))
+            parts.append(F.transform(listed, added(name, of.elementType)))
+    stamp = F.lit(0) if seq is None else seq
+    log = rows.select(F.col(doc).alias("doc"), stamp.cast("long").alias("ts"), F.explode(F.flatten(F.array(*parts))).alias("e"))
+    return log.select("doc", "e.field", F.lit("_init").alias("client"), "e.value", "e.delta", "e.member", "ts", F.lit(0).cast("long").alias("pos"))
+
+
+def merge_folded(local: DataFrame, folded: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Local documents with the folded fields of those that have a log: its values count, null ones too. Other documents and fields stay."""
+    new = folded.select(key, F.struct(*fields).alias("_folded"))
+    old = lambda c: F.col(c) if c in local.columns else F.lit(None)
+    merged = lambda c: F.when(F.col("_folded").isNotNull(), F.col(f"_folded.{c}")).otherwise(old(c)).alias(c)
+    names = [*local.columns, *[c for c in fields if c not in local.columns]]
+    return local.join(new, key, "left").select(*[merged(c) if c in fields else F.col(c) for c in names])
+
+
 def counted_entries(ops: DataFrame, doc: str = "doc", by: tuple[str, ...] = ("value",)) -> DataFrame:
     """A row for each document and distinct value: its entries' number ``n``, ``first`` and ``last`` place and latest ``ts``. ``by`` may name more, as the client."""
     return ops.groupBy(doc, *by).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.max("ts").alias("ts"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.expr import as_true
+from lodestrata.operators.aggregates import materialise
 from lodestrata.operators.windows import keep_newest, keep_within, numbered
 from lodestrata.plans.query import Bound
 
@@ -51,6 +52,15 @@ def states_by_id(requested: DataFrame, states: DataFrame, key: str) -> DataFrame
     return requested.join(states, key, "left")
 
 
+def materialised_states(states: DataFrame, documents: DataFrame, ops: DataFrame, fields: dict[str, str], key: str = "doc", in_scope: Column | None = None) -> DataFrame:
+    """States (key, seq) with their documents; where a document is gone, with the fold of its operations. Only the logs of those are read into the fold."""
+    live = states.join(documents, key)
+    gone = states.join(documents.select(key), key, "left_anti")
+    folded = materialise(gone.select(key).distinct().join(ops, key, "left"), fields, key)
+    both = live.unionByName(gone.join(folded, key), allowMissingColumns=True)
+    return both if in_scope is None else both.where(in_scope)
+
+
 def pull_incremental(known: DataFrame, log: DataFrame, states: DataFrame, since: int, in_scope: Column | None = None) -> DataFrame:
     """What a reader that knows documents (doc, seq) must do: noop, delete, replace, or upsert for one it doesn't know.
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,3 +130,31 @@ def projection(remote: DataFrame, local: DataFrame, dirty: DataFrame, key: str)
     """A remote snapshot as a reader with unsent changes sees it: dirty rows come from local, once, whatever remote has."""
     clean = remote.join(dirty.select(key), key, "left_anti")
     return clean.unionByName(local.join(dirty.select(key), key, "left_semi").dropDuplicates([key]))
+
+
+#: Rewrites the JSON texts (arguments, local result) of a queued call by one version.
+PayloadStep = Callable[[Column, Column], tuple[Column, Column]]
+
+
+def migrate_payloads(entries: DataFrame, plans: dict[str, tuple[int, dict[int, PayloadStep]]]) -> DataFrame:
+    """Queued calls (ref, args, local_result, payload_version, ..) at the version that their ref has now.
+
+    plans: for each ref its version and its steps, by the version that they lead to; a
+    version without a step changes nothing. A ref without a plan is at version 1, as is an
+    entry without a number. Entries that lack a ref, arguments or a result stay as they
+    are. One that is ahead of its ref fails the job when it is read.
+    """
+    ref, start = F.col("ref"), F.coalesce(F.col("payload_version"), F.lit(1))
+    whole = reduce(lambda a, b: a & b, [F.coalesce(F.col(c) != "", F.lit(False)) for c in ("ref", "args", "local_result")])
+    target = reduce(lambda rest, p: F.when(ref == p[0], p[1][0]).otherwise(rest), plans.items(), F.lit(1))
+    ahead = F.raise_error(F.concat(ref, F.lit(" has a payload of version "), start.cast("string"), F.lit(", newer than "), target.cast("string")))
+    out = entries.withColumns({"_start": start, "_to": F.when(whole, F.when(start > target, ahead.cast("int")).otherwise(target))})
+    for version in sorted({v for _, steps in plans.values() for v in steps}):
+        args, result = F.col("args"), F.col("local_result")
+        due = (F.col("_start") < version) & (F.lit(version) <= F.col("_to"))
+        for name, (_, steps) in plans.items():
+            if version in steps:
+                new_args, new_result = steps[version](F.col("args"), F.col("local_result"))
+                args, result = F.when(due & (ref == name), new_args).otherwise(args), F.when(due & (ref == name), new_result).otherwise(result)
+        out = out.withColumns({"args": args, "local_result": result})
+    return out.withColumn("payload_version", F.coalesce("_to", "payload_version")).drop("_start", "_to")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.scalars import nfkc, query_tokens, tokens
-from lodestrata.sources.tables import shared_folder
+from lodestrata.sources.tables import Segments, shared_folder
 from lodestrata.types import TableSpec
 
 # Fixed values of the scoring rule.
@@ -86,30 +86,21 @@ def postings(df: DataFrame, field: str, id_column: str) -> DataFrame:
     return words.groupBy("term", id_column).agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
-class SearchIndex:
-    """A stored index of one text column: numbered segments that are added and never changed.
+class SearchIndex(Segments):
+    """A stored index of one text column.
 
     ``add`` writes the words of new and changed documents, ``remove`` the ids of
     documents that go; a document counts as its newest segment has it. ``compact`` writes
-    all live rows as one segment. One writer at a time; a segment without its mark of
-    success isn't there. The word "", which no text has, stands for a document's end: its
+    all live rows as one segment. The word "", which no text has, stands for a document's end: its
     place is the document's length, or -1 for a document that goes.
     """
 
     def __init__(self, spark: SparkSession, path: str, field: str, id_column: str):
-        self.spark, self.path, self.field, self.id_column = spark, path.rstrip("/"), field, id_column
-
-    def segments(self) -> list[int]:
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        at = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = at.getFileSystem(conf)
-        if not fs.exists(at):
-            return []
-        there = lambda n: fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))
-        return sorted(int(n[1:]) for n in (x.getPath().getName() for x in fs.listStatus(at)) if n.startswith("s") and n[1:].isdigit() and there(n))
+        super().__init__(spark, path)
+        self.field, self.id_column = field, id_column
 
     def _write(self, rows: DataFrame) -> SearchIndex:
-        rows.select("term", self.id_column, "pos").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.path}/s{max(self.segments(), default=-1) + 1}")
+        self.append(rows.select("term", self.id_column, "pos").sortWithinPartitions("term"))
         return self
 
     def add(self, df: DataFrame, normalised: bool = False) -> SearchIndex:
@@ -120,22 +111,16 @@ class SearchIndex:
     def remove(self, ids: DataFrame) -> SearchIndex:
         return self._write(ids.select(self.id_column, F.lit(-1).alias("pos"), F.lit("").alias("term")))
 
-    def _rows(self, condition: Column) -> DataFrame:
-        segments = [self.spark.read.parquet(f"{self.path}/s{n}").where(condition).withColumn("segment", F.lit(n)) for n in self.segments()]
-        if not segments:
-            raise ValueError("the index is empty")
-        return reduce(DataFrame.unionByName, segments)
-
     def docs(self) -> DataFrame:
         """id, len, segment of every live document."""
-        rows = self._rows(F.col("term") == "")
+        rows = self.rows(F.col("term") == "")
         if len(self.segments()) > 1:
             rows = rows.groupBy(self.id_column).agg(F.max_by(F.struct("pos", "segment"), "segment").alias("d")).select(self.id_column, "d.*")
         return rows.where("pos >= 0").select(self.id_column, F.col("pos").cast("long").alias("len"), "segment")
 
     def postings(self, condition: Column | None = None) -> DataFrame:
         """term, id, pos of live documents' words."""
-        rows = self._rows((F.col("term") != "") if condition is None else (F.col("term") != "") & condition)
+        rows = self.rows((F.col("term") != "") if condition is None else (F.col("term") != "") & condition)
         return rows.drop("segment") if len(self.segments()) == 1 else rows.join(self.docs().select(self.id_column, "segment"), [self.id_column, "segment"]).drop("segment")
 
     def compact(self) -> SearchIndex:

@@ -6,12 +6,14 @@ the index. A zero vector stays zero and scores 0. Order: score descending, id.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.expr import Node, and_, as_true, eq, field, lit, or_
+from lodestrata.sources.tables import Segments
 from lodestrata.types import TableSpec
 
 MOST, DEFAULT = 256, 10
@@ -83,11 +85,57 @@ def vector_search(df: DataFrame, plan: VectorPlan, id_column: str, visible: Colu
         rows = rows.where(as_true(plan.condition))
     if visible is not None:
         rows = rows.where(visible)
-    query = unit(F.array(*[F.lit(x).cast("float") for x in plan.vector]))
-    score = dot(unit(v), query)
+    return _ranked(rows, unit(v), plan, id_column, digits)
+
+
+def _ranked(rows: DataFrame, units: Column, plan: VectorPlan, id_column: str, digits: int | None) -> DataFrame:
+    score = dot(units, unit(F.array(*[F.lit(x).cast("float") for x in plan.vector])))
     scored = rows.withColumn("_score", score if digits is None else F.round(score, digits))
     return scored.orderBy(F.col("_score").desc(), F.col(id_column).asc()).limit(plan.limit)
 
 
+class VectorIndex(Segments):
+    """A stored index of unit vectors with the filter fields beside them.
+
+    ``add`` writes new and changed rows, ``remove`` the ids of rows that go; a row counts
+    as its newest segment has it. A row whose vector isn't indexable is kept without one,
+    so that it hides the vector it had before. ``compact`` writes all live rows as one segment.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, spec: TableSpec, index: str):
+        super().__init__(spark, path)
+        self.spec, self.index = spec, index
+        self.field, self.dimensions, self.filters = spec.vectors[index]
+
+    def _write(self, rows: DataFrame) -> VectorIndex:
+        self.append(rows.select(self.spec.id, *self.filters, self.field))
+        return self
+
+    def add(self, df: DataFrame) -> VectorIndex:
+        v = F.col(self.field)
+        return self._write(df.withColumn(self.field, F.when(indexable(v, self.dimensions), unit(v))))
+
+    def remove(self, ids: DataFrame) -> VectorIndex:
+        have = self.spark.read.parquet(f"{self.path}/s{self.segments()[0]}").schema
+        return self._write(ids.select(self.spec.id, *[F.lit(None).cast(have[c].dataType).alias(c) for c in (*self.filters, self.field)]))
+
+    def live(self, condition: Column | None = None) -> DataFrame:
+        """Id, filter fields and unit vector of the rows that count. The newest segment of each id is found from ids alone."""
+        rows = self.rows(condition)
+        if len(self.segments()) > 1:
+            newest = self.rows().groupBy(self.spec.id).agg(F.max("segment").alias("segment"))
+            rows = rows.join(newest, [self.spec.id, "segment"])
+        return rows.drop("segment").where(F.col(self.field).isNotNull())
+
+    def search(self, vector: list[float], limit: int = DEFAULT, condition: Node | None = None, digits: int | None = None) -> DataFrame:
+        """The nearest live rows with ``_score``."""
+        plan = plan_vector(self.spec, self.index, vector, limit, condition)
+        return _ranked(self.live(None if condition is None else as_true(condition)), F.col(self.field), plan, self.spec.id, digits)
+
+    def compact(self) -> VectorIndex:
+        """All live rows as a new folder's only segment."""
+        return VectorIndex(self.spark, f"{self.path}-{uuid.uuid4().hex}", self.spec, self.index)._write(self.live())
+
+
 any_of = or_
-__all__ = ["VectorPlan", "and_", "any_of", "dot", "eq", "field", "indexable", "lit", "norm", "plan_vector", "unit", "vector_search"]
+__all__ = ["VectorIndex", "VectorPlan", "and_", "any_of", "dot", "eq", "field", "indexable", "lit", "norm", "plan_vector", "unit", "vector_search"]

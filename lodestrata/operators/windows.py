@@ -28,6 +28,14 @@ def keep_within(df: DataFrame, key: list[str], seq: str, bytes_: str, n: int, bu
     return df.withColumn("_k", F.row_number().over(newest)).withColumn("_s", running).where((F.col("_k") <= n) & (F.col("_s") <= budget)).drop("_k", "_s")
 
 
+def tail_counters(df: DataFrame, key: list[str], seq: str, bytes_: str, n: int, budget: int) -> DataFrame:
+    """What ``keep_within`` would do to each key: rows kept, rows deleted and bytes retained."""
+    newest = Window.partitionBy(*key).orderBy(F.col(seq).desc())
+    running = F.sum(bytes_).over(newest.rowsBetween(Window.unboundedPreceding, 0))
+    stays = F.lit(True) if n <= 0 else (F.row_number().over(newest) <= n) & (running <= budget)
+    return df.withColumn("_stays", stays).groupBy(*key).agg(F.count_if("_stays").alias("kept"), F.count_if(~F.col("_stays")).alias("deleted"), F.coalesce(F.sum(F.when(F.col("_stays"), F.col(bytes_))), F.lit(0)).alias("retained_bytes"))
+
+
 def gaps(df: DataFrame, key: list[str], seq: str) -> DataFrame:
     """Places where a key's sequence jumps: the last number before and the first after."""
     before = F.lag(seq).over(Window.partitionBy(*key).orderBy(seq))

@@ -118,3 +118,44 @@ def metric_histograms(spark, d):
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS total FROM orders GROUP BY ALL")
 def metric_counters(spark, d):
     return A.counters(t(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"])
+
+
+_ROWS = "(SELECT *, CASE WHEN c_nationkey = 3 THEN 0 ELSE c_acctbal END AS balance FROM customer)"
+_FOLDED = {"c_mktsegment": "register", "balance": "counter", "tags": "set"}
+
+
+def _rows(spark, d):
+    c = t(spark, d, "customer")
+    return c.withColumn("balance", F.when(F.col("c_nationkey") == 3, 0.0).otherwise(F.col("c_acctbal"))).withColumn("tags", F.array("c_mktsegment", F.col("c_nationkey").cast("string")))
+
+
+@query(
+    f"SELECT c_custkey AS doc, 'c_mktsegment' AS field, c_mktsegment AS value, NULL::DOUBLE AS delta, NULL AS member, CAST(c_nationkey AS BIGINT) AS ts FROM {_ROWS} UNION ALL "
+    f"SELECT c_custkey, 'balance', NULL, balance, NULL, c_nationkey FROM {_ROWS} WHERE balance <> 0 UNION ALL "
+    f"SELECT c_custkey, 'tags', NULL, NULL, unnest([c_mktsegment, CAST(c_nationkey AS VARCHAR)]), c_nationkey FROM {_ROWS}"
+)
+def crdt_encode(spark, d):
+    ops = A.encode_rows(_rows(spark, d), _FOLDED, "c_custkey", F.col("c_nationkey"))
+    return ops.select("doc", "field", "value", F.col("delta").cast("double").alias("delta"), "member", "ts")
+
+
+@query(
+    f"WITH f AS (SELECT doc, arg_max(value, pos) FILTER (delta <> 'x') AS status, coalesce(sum(TRY_CAST(delta AS DOUBLE)), 0) AS votes FROM {_OPS} GROUP BY doc) "
+    "SELECT c_custkey, c_name, CASE WHEN doc IS NULL THEN c_mktsegment ELSE status END AS status, CASE WHEN doc IS NULL THEN c_acctbal ELSE votes END AS votes FROM customer LEFT JOIN f ON doc = c_custkey"
+)
+def crdt_merge_plain(spark, d):
+    """Folded fields laid over plain ones."""
+    ops = _ops(spark, d)
+    status = F.max_by(F.when(F.col("delta") != "x", F.col("value")), F.when(F.col("delta") != "x", F.col("pos")))
+    folded = ops.groupBy("doc").agg(status.alias("status"), A.counter(F.col("delta")).alias("votes")).withColumnRenamed("doc", "c_custkey")
+    local = t(spark, d, "customer").select("c_custkey", "c_name", F.col("c_mktsegment").alias("status"), F.col("c_acctbal").alias("votes"))
+    return A.merge_folded(local, folded, "c_custkey", ["status", "votes"])
+
+
+@query(
+    "SELECT conv_id, count(*) FILTER (k <= 5 AND s <= 900) AS kept, count(*) FILTER (NOT (k <= 5 AND s <= 900)) AS deleted, coalesce(sum(bytes) FILTER (k <= 5 AND s <= 900), 0) AS retained_bytes FROM "
+    "(SELECT conv_id, strlen(text) AS bytes, sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) GROUP BY conv_id"
+)
+def tail_counters(spark, d):
+    rows = t(spark, d, "conversations").select("conv_id", "turn", F.octet_length("text").cast("long").alias("bytes"))
+    return W.tail_counters(rows, ["conv_id"], "turn", "bytes", 5, 900)

@@ -209,3 +209,54 @@ def remote_projection(spark, d):
     remote = o.where("o_orderstatus <> 'F' OR o_orderpriority = '5-LOW'").select("o_orderkey", F.col("o_totalprice").alias("price"))
     local = o.select("o_orderkey", F.lit(-1.0).alias("price"))
     return K.projection(remote, local.union(local), o.where("o_orderstatus = 'P'"), "o_orderkey")
+
+
+_MERGED = "(SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq FROM conversations)"
+
+
+@query(
+    f"SELECT 'log' AS part, conv_id AS doc, seq, CASE WHEN role = 'system' THEN 'delete' ELSE 'upsert' END AS kind FROM {_MERGED} UNION ALL "
+    f"SELECT 'state', conv_id, max(seq), 'upsert' FROM {_MERGED} GROUP BY conv_id HAVING arg_max(role, seq) <> 'system'"
+)
+def record(spark, d):
+    """A log of first turns and its states, after the other turns are recorded."""
+    c = t(spark, d, "conversations").select((F.col("conv_id")).alias("collection"), F.col("conv_id").alias("doc"), F.when(F.col("role") == "system", "delete").otherwise("upsert").alias("kind"), F.col("role").alias("update"), "turn")
+    first = c.join(c.groupBy("doc").agg(F.min("turn").alias("turn")), ["doc", "turn"], "left_semi")
+    log = first.select("collection", F.lit(0).cast("long").alias("seq"), "doc", "kind")
+    states = first.where("kind = 'upsert'").select("collection", "doc", "update", F.lit(0).cast("long").alias("seq"))
+    changes = c.join(first.select("doc", "turn"), ["doc", "turn"], "left_anti")
+    states, log = C.record(states, log, changes, [F.col("turn")])
+    return log.select(F.lit("log").alias("part"), "doc", "seq", "kind").unionByName(states.select(F.lit("state").alias("part"), "doc", "seq", F.lit("upsert").alias("kind")))
+
+
+_OPS = "(SELECT user_id AS doc, event_id AS pos, event_type AS value, value AS amount FROM events)"
+
+
+@query(
+    f"WITH f AS (SELECT doc, max(pos) AS seq, arg_max(value, pos) AS status, round(sum(amount), 4) AS votes FROM {_OPS} GROUP BY doc) SELECT doc, seq, CASE WHEN c_custkey IS NULL THEN status ELSE c_mktsegment END AS status, "
+    "CASE WHEN c_custkey IS NULL THEN votes ELSE round(c_acctbal, 4) END AS votes FROM f LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON c_custkey = doc"
+)
+def materialised_states(spark, d):
+    """States with their documents; those of every third customer are gone and come from the log."""
+    e = t(spark, d, "events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("pos"), "event_type", F.col("value").alias("amount"))
+    none = F.lit(None).cast("string")
+    shape = lambda field, value, delta: e.select("doc", F.lit(field).alias("field"), value.alias("value"), delta.alias("delta"), none.alias("member"), F.col("pos").alias("ts"), "pos")
+    ops = shape("status", F.col("event_type"), none).union(shape("votes", none, F.col("amount").cast("string")))
+    documents = t(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("doc"), F.col("c_mktsegment").alias("status"), F.col("c_acctbal").alias("votes"))
+    states = e.groupBy("doc").agg(F.max("pos").alias("seq"))
+    return C.materialised_states(states, documents, ops, {"status": "register", "votes": "counter"}).withColumn("votes", F.round("votes", 4))
+
+
+@query(
+    "SELECT event_id, CASE WHEN event_type = 'click' AND event_id % 3 < 1 THEN '{\"key\":' || (props::JSON->>'k') || '}' ELSE props END AS args, "
+    "CASE WHEN event_type = 'click' AND event_id % 3 < 2 THEN '{\"v\":3,\"was\":\"' || user_id || '\"}' WHEN event_type = 'view' THEN NULL ELSE CAST(user_id AS VARCHAR) END AS local_result, "
+    "CASE WHEN event_type = 'click' THEN 4 WHEN event_type = 'view' THEN NULL ELSE 1 END AS payload_version FROM events"
+)
+def payload_migrate(spark, d):
+    """Clicks have version 4 (2 and 3 rewrite, 4 changes nothing), other calls version 1; views have no result and stay."""
+    click = F.col("event_type") == "click"
+    result = F.when(F.col("event_type") != "view", F.col("user_id").cast("string"))
+    queued = t(spark, d, "events").select("event_id", F.col("event_type").alias("ref"), F.col("props").alias("args"), result.alias("local_result"), F.when(click, F.col("event_id") % 3 + 1).cast("int").alias("payload_version"))
+    key = lambda args, result: (F.to_json(F.struct(F.get_json_object(args, "$.k").cast("int").alias("key"))), result)
+    was = lambda args, result: (args, F.to_json(F.struct(F.lit(3).alias("v"), result.alias("was"))))
+    return K.migrate_payloads(queued, {"click": (4, {2: key, 3: was})}).drop("ref")

@@ -8,10 +8,12 @@ from pyspark.sql.window import Window
 
 from lodestrata.functions import expr as E
 from lodestrata.operators import windows as W
+from lodestrata.operators.views import IDENTITY, known_fields, stripped
 from lodestrata.plans import paginate as P
 from lodestrata.plans import query as Q
 from lodestrata.plans.query import Query
 from lodestrata.queries.registry import query, t
+from lodestrata.sources.tables import delete_blobs, put_blobs
 from lodestrata.types import TableSpec
 
 EVENTS = TableSpec("events", {"by_user": ("user_id",), "by_type_user": ("event_type", "user_id")}, creation="ts", id="event_id")
@@ -209,3 +211,18 @@ def ranked_page(spark, d):
 
     rows = t(spark, d, "documents").where("lang = 'en'")
     return page(rows, [F.col("n_chars").desc()], "doc_id", 25, rows.agg(F.min("doc_id")).first()[0]).select("doc_id")
+
+
+@query("SELECT doc_id, strlen(text) AS size, to_base64(unhex(sha256(text))) AS sha256 FROM documents WHERE lang <> 'fr'")
+def blob_metadata(spark, d):
+    """Texts put as blobs with size and digest; French ones are deleted again."""
+    docs = t(spark, d, "documents")
+    blobs = put_blobs(docs.select("doc_id", "lang", F.col("text").cast("binary").alias("content")), "content").withColumn("storage_id", F.col("doc_id"))
+    return delete_blobs(blobs, blobs.where("lang = 'fr'")).select("doc_id", "size", "sha256")
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def strip_fields(spark, d):
+    """Without the owner column, an omitted field and fields that aren't declared."""
+    c = t(spark, d, "customer").withColumn(IDENTITY, F.col("c_nationkey"))
+    return known_fields(stripped(c, "c_acctbal"), ["c_custkey", "c_name", "c_mktsegment", "gone"])

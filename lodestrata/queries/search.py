@@ -190,7 +190,19 @@ def vector_zero(spark, d):
     return _nearest(t(spark, d, "embeddings"), [0.0] * 64)
 
 
-@query(cosine_sql(_QUERY, table="(SELECT vec_id, CASE WHEN label = 2 THEN [CAST(-x AS FLOAT) FOR x IN embedding] ELSE embedding END AS embedding FROM embeddings WHERE label <> 5)"))
+_REPLACED = "(SELECT vec_id, CASE WHEN label = 2 THEN [CAST(-x AS FLOAT) FOR x IN embedding] ELSE embedding END AS embedding FROM embeddings WHERE label <> 5)"
+
+
+@query(cosine_sql(_QUERY, table=_REPLACED))
+def vector_index_delta(spark, d):
+    """From an index of the first state, to which changed vectors were added and from which others were removed."""
+    e = t(spark, d, "embeddings")
+    index = V.VectorIndex(spark, shared_folder(spark, "vector-delta"), VECTORS, "by_embedding").add(e)
+    index.add(e.where("label = 2").withColumn("embedding", F.transform("embedding", lambda x: -x))).remove(e.where("label = 5"))
+    return index.search(_QUERY, digits=5).select("vec_id", F.col("_score").alias("score"))
+
+
+@query(cosine_sql(_QUERY, table=_REPLACED))
 def vector_overlay(spark, d):
     e = t(spark, d, "embeddings")
     pending = e.where("label IN (2, 5)").withColumn("_deleted", F.col("label") == 5).withColumn("embedding", F.transform("embedding", lambda x: -x))

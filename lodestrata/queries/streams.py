@@ -17,3 +17,18 @@ def stream_latest_seq(spark, d):
 @query("SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) // 1000000 AS hour_s, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_hourly_counts(spark, d):
     return feeds.hourly_counts(spark, f"{d}/events.parquet", t(spark, d, "events").schema)
+
+
+@query("SELECT (epoch_us(ts) // 10800000000 - k) * 10800 AS start_s, event_type, count(*) AS n FROM events, (VALUES (0), (1)) AS w(k) GROUP BY 1, 2")
+def stream_sliding_counts(spark, d):
+    """Counts in windows of six hours that slide by three."""
+    return feeds.window_counts(spark, f"{d}/events.parquet", t(spark, d, "events").schema, "6 hours", "3 hours")
+
+
+@query(
+    "SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM "
+    "(SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s"
+)
+def stream_sessions(spark, d):
+    """Each user's sessions, which end after two hours without an event."""
+    return feeds.session_counts(spark, f"{d}/events.parquet", t(spark, d, "events").schema, "2 hours")

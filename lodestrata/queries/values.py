@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.functions import scalars as S
-from lodestrata.functions.cron import Cron
+from lodestrata.functions.cron import next_fire
 from lodestrata.queries.registry import query, t
 
 
@@ -60,11 +60,17 @@ def uuid_det(spark, d):
     return t(spark, d, "orders").select("o_orderkey", S.uuid_of(F.col("o_orderkey")).alias("id"))
 
 
-@query()
+@query(
+    "WITH o AS (SELECT o_orderkey, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS day, (o_orderkey * 37) % 1440 AS now, (o_orderkey % 24) * 60 + o_orderkey % 60 AS fire, o_orderkey % 7 AS dow, o_orderkey % 2 AS daily FROM orders), "
+    "f AS (SELECT *, CASE WHEN daily = 1 THEN 0 ELSE (dow - (day + 4) % 7 + 7) % 7 END AS ahead FROM o) "
+    "SELECT o_orderkey, CAST(((day + ahead) * 1440 + fire + CASE WHEN ahead * 1440 + fire > now THEN 0 WHEN daily = 1 THEN 1440 ELSE 10080 END) * 60000 AS BIGINT) AS next_ms FROM f"
+)
 def cron_next(spark, d):
-    """The next fire of a few schedules after one moment."""
-    texts = ["*/15 * * * *", "0 9 * * mon-fri", "30 2 1 * *", "0 0 13 * fri", "@yearly"]
-    return spark.createDataFrame([(x, Cron(x).after(1_700_000_000_000)) for x in texts], "schedule string, next_ms long")
+    """The next fire of each order's schedule, daily for odd keys and weekly for even ones, after a minute of its date."""
+    k = F.col("o_orderkey")
+    text = F.concat_ws(" ", (k % 60).cast("string"), (k % 24).cast("string"), F.lit("*"), F.lit("*"), F.when(k % 2 == 1, "*").otherwise((k % 7).cast("string")))
+    now = (F.datediff("o_orderdate", F.lit("1970-01-01")).cast("long") * 1440 + (k * 37) % 1440) * 60000
+    return t(spark, d, "orders").select("o_orderkey", next_fire(text, now).alias("next_ms"))
 
 
 @query("SELECT event_id, user_id * 1000 + 30000 AS lease_expires FROM events")

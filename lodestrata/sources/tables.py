@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,6 +82,32 @@ class VersionedTable:
             fs.delete(at, True)
 
 
+class Segments:
+    """A folder of numbered segments that are added and never changed. One writer at a time; a segment without its mark of success isn't there."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def segments(self) -> list[int]:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = at.getFileSystem(conf)
+        if not fs.exists(at):
+            return []
+        there = lambda n: fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))
+        return sorted(int(n[1:]) for n in (x.getPath().getName() for x in fs.listStatus(at)) if n.startswith("s") and n[1:].isdigit() and there(n))
+
+    def append(self, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/s{max(self.segments(), default=-1) + 1}")
+
+    def rows(self, condition: Column | None = None) -> DataFrame:
+        """The rows of all segments, each with its ``segment``."""
+        parts = [self.spark.read.parquet(f"{self.path}/s{n}").where(F.lit(True) if condition is None else condition).withColumn("segment", F.lit(n)) for n in self.segments()]
+        if not parts:
+            raise ValueError("the index is empty")
+        return reduce(DataFrame.unionByName, parts)
+
+
 def read_blobs(spark: SparkSession, path: str) -> DataFrame:
     """Files with size and digest."""
     files = spark.read.format("binaryFile").load(path)
@@ -92,6 +119,10 @@ def put_blobs(df: DataFrame, content: str) -> DataFrame:
     return df.withColumn("storage_id", F.uuid()).withColumn("size", F.octet_length(content).cast("long")).withColumn("sha256", F.base64(F.unhex(F.sha2(content, 256))))
 
 
+def delete_blobs(blobs: DataFrame, ids: DataFrame) -> DataFrame:
+    return blobs.join(ids.select("storage_id"), "storage_id", "left_anti")
+
+
 class ResultCache:
     """Query results by (name, arguments), newest last; kept as snapshots."""
 

@@ -76,6 +76,33 @@ def hourly_counts(spark: SparkSession, path: str, schema: StructType) -> DataFra
     return spark.createDataFrame([], "hour_s long, event_type string, n long") if done is None else done
 
 
+def _kept(spark: SparkSession, counts: DataFrame, tag: str) -> DataFrame:
+    """The whole result of counts without a watermark, after all that is there now."""
+    folder = shared_folder(spark, tag)
+    table = VersionedTable(spark, f"{folder}/table")
+    _ran(into_table(counts, table, lambda old, batch: batch, f"{folder}/checkpoint", "complete"))
+    done = table.read()
+    return spark.createDataFrame([], counts.schema) if done is None else done
+
+
+#: An event's wall-clock time as an instant in UTC, by which windows are aligned in every session's zone.
+_INSTANT = "timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(CAST(ts AS TIMESTAMP) AS TIMESTAMP_NTZ)))"
+
+
+def window_counts(spark: SparkSession, path: str, schema: StructType, size: str, slide: str | None = None) -> DataFrame:
+    """Rows by window of event time and kind."""
+    rows = stream(spark, path, schema).withColumn("ts", F.expr(_INSTANT))
+    counts = windowed(rows, "ts", size, None, [F.col("event_type")], slide)
+    return _kept(spark, counts.select(F.unix_seconds("window.start").alias("start_s"), "event_type", F.col("count").alias("n")), "windows")
+
+
+def session_counts(spark: SparkSession, path: str, schema: StructType, gap: str) -> DataFrame:
+    """Rows by user and session."""
+    rows = stream(spark, path, schema).withColumn("ts", F.expr(_INSTANT))
+    counts = sessions(rows, "ts", gap, None, [F.col("user_id")])
+    return _kept(spark, counts.select("user_id", F.unix_micros("session.start").alias("start_us"), F.col("count").alias("n")), "sessions")
+
+
 def change_sink(table: VersionedTable, key: str) -> Callable[[DataFrame | None, DataFrame], DataFrame]:
     """A merge for change rows (key, seq, kind, ..): the last change of each key wins, deletes remove."""
     from lodestrata.operators.writes import latest_by_key
@@ -136,12 +163,12 @@ def first_seen_within(rows: DataFrame, key: str, at: str, grace: str = "3 second
     return rows.withWatermark(at, grace).dropDuplicatesWithinWatermark([key])
 
 
-def windowed(rows: DataFrame, at: str, size: str, lateness: str, by: list[Column], slide: str | None = None) -> DataFrame:
-    """Counts in tumbling or sliding windows of event time."""
+def windowed(rows: DataFrame, at: str, size: str, lateness: str | None, by: list[Column], slide: str | None = None) -> DataFrame:
+    """Counts in tumbling or sliding windows of event time. Without lateness no row is too late, and no window ends before the stream does."""
     w = F.window(at, size, slide) if slide else F.window(at, size)
-    return rows.withWatermark(at, lateness).groupBy(w.alias("window"), *by).count()
+    return (rows if lateness is None else rows.withWatermark(at, lateness)).groupBy(w.alias("window"), *by).count()
 
 
-def sessions(rows: DataFrame, at: str, gap: str, lateness: str, by: list[Column]) -> DataFrame:
-    """Counts in sessions that end after a gap."""
-    return rows.withWatermark(at, lateness).groupBy(F.session_window(at, gap).alias("session"), *by).count()
+def sessions(rows: DataFrame, at: str, gap: str, lateness: str | None, by: list[Column]) -> DataFrame:
+    """Counts in sessions that end after a gap; without lateness no row is too late."""
+    return (rows if lateness is None else rows.withWatermark(at, lateness)).groupBy(F.session_window(at, gap).alias("session"), *by).count()

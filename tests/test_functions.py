@@ -230,3 +230,56 @@ def test_search_index_follows_adds_removes_and_normal_forms(spark, tmp_path):
     index.add(spark.createDataFrame([(4, "back again")], df.schema))
     whole = index.compact()
     assert words(whole) == words(index) and lengths(whole) == lengths(index) and len(whole.segments()) == 1
+
+
+def test_rows_to_operations_and_back(spark):
+    rows = spark.createDataFrame([(1, "a", 2.5, ["x", "y", "x", None]), (2, None, 0.0, []), (3, "c", None, None)], "doc long, name string, votes double, tags array<string>")
+    ops = A.encode_rows(rows, {"name": "register", "votes": "counter", "tags": "set"}, "doc", F.lit(4))
+    got = sorted(((r.doc, r.field, r.value, r.delta, r.member, r.ts) for r in ops.collect()), key=str)
+    assert got == sorted([(1, "name", "a", None, None, 4), (1, "votes", None, "2.5", None, 4), (1, "tags", None, None, "x", 4), (1, "tags", None, None, "y", 4), (1, "tags", None, None, "null", 4), (2, "name", None, None, None, 4), (3, "name", "c", None, None, 4)], key=str)
+    back = {r.doc: (r.name, r.votes, r.tags) for r in A.materialise(ops, {"name": "register", "votes": "counter", "tags": "set"}).collect()}
+    assert back == {1: ("a", 2.5, ["null", "x", "y"]), 2: (None, 0.0, []), 3: ("c", 0.0, [])}
+
+
+def test_folded_nulls_count(spark):
+    local = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], "doc int, name string, n int")
+    folded = spark.createDataFrame([(1, None)], "doc int, name string")
+    assert sorted(map(tuple, A.merge_folded(local, folded, "doc", ["name"]).collect())) == [(1, None, 5), (2, "b", 6)]
+
+
+def test_payload_ahead_of_its_ref(spark):
+    from lodestrata.operators.queue import migrate_payloads
+
+    entries = spark.createDataFrame([("a", "{}", "1", 3), ("b", "", "1", 9)], "ref string, args string, local_result string, payload_version int")
+    assert migrate_payloads(entries.where("ref = 'b'"), {}).first().payload_version == 9
+    with pytest.raises(Exception, match="newer than 2"):
+        migrate_payloads(entries, {"a": (2, {})}).collect()
+
+
+def test_vector_index_hides_what_was_replaced(spark, tmp_path):
+    spec = TableSpec("v", id="id").vector_index("by_v", "v", 2, "kind")
+    index = V.VectorIndex(spark, tmp_path.as_uri() + "/v", spec, "by_v")
+    index.add(spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "b", [0.0, 2.0]), (3, "a", [1.0, 1.0]), (4, "a", None)], "id int, kind string, v array<float>"))
+    index.add(spark.createDataFrame([(1, "a", [1.0])], "id int, kind string, v array<float>"))  # too short
+    index.remove(spark.createDataFrame([(2,)], "id int"))
+    index.add(spark.createDataFrame([(3, "b", [0.0, 1.0]), (5, "a", [3.0, 4.0])], "id int, kind string, v array<float>"))
+    for x in (index, index.compact()):
+        assert [(r.id, round(r._score, 6)) for r in x.search([0.0, 1.0]).collect()] == [(3, 1.0), (5, 0.8)]
+        assert [r.id for r in x.search([0.0, 1.0], condition=V.eq(V.field("kind"), "a")).collect()] == [5]
+
+
+def test_streams_over_several_batches(spark, tmp_path):
+    schema = "ts timestamp_ntz, user_id long, event_type string"
+    at_hour = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    for k, hours in enumerate([[700, 700.5], [0, 0.25, 5], [1, 701]]):  # the second file is old
+        spark.createDataFrame([(at_hour(h), 7, "a") for h in hours], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(0.05 * (k < 2))
+    path, shape = f"file://{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema
+    real = feeds.stream
+    feeds.stream = lambda spark, path, schema: real(spark, path, schema, files_per_batch=1)
+    try:
+        windows = {(r.start_s - 1704067200) / 3600: r.n for r in feeds.window_counts(spark, path, shape, "6 hours").collect()}
+        sessions = sorted(r.n for r in feeds.session_counts(spark, path, shape, "2 hours").collect())
+    finally:
+        feeds.stream = real
+    assert windows == {0: 4, 696: 3} and sessions == [1, 3, 3]
