@@ -1,4 +1,4 @@
-"""Scalar functions of the data path, as Columns where Spark has the parts; per-row Python only for recursive JSON and seeded ids."""
+"""Scalar functions of the data path, as Columns where Spark has the parts; per-row Python only for recursive JSON and normal forms."""
 
 from __future__ import annotations
 
@@ -130,7 +130,29 @@ def seeded_uuid(seed: int) -> str:
     return str(uuid.UUID(bytes=bytes(data)))
 
 
-@F.pandas_udf(StringType())
-def uuid_of(seeds: pd.Series) -> pd.Series:
-    """A version 4 id that depends on the seed alone."""
-    return seeds.map(seeded_uuid)
+def _product32(a: Column, b: Column) -> Column:
+    """The low 32 bits of a product of two 32-bit numbers, by halves, as whole products overflow a long."""
+    high = (F.shiftrightunsigned(a, 16) * b).bitwiseAND(F.lit(0xFFFF))
+    return (a.bitwiseAND(F.lit(0xFFFF)) * b + F.shiftleft(high, 16)).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def uuid_of(seed: Column) -> Column:
+    """seeded_uuid as a Column: its states are an arithmetic series, so each of the 16 numbers is worked out by itself. Null for null."""
+    low = F.lit(0xFFFFFFFF)
+
+    def first(s: Column) -> Column:
+        return _product32(s.bitwiseXOR(F.shiftrightunsigned(s, 15)), s.bitwiseOR(F.lit(1)))
+
+    def second(t: Column) -> Column:
+        mixed = _product32(t.bitwiseXOR(F.shiftrightunsigned(t, 7)), t.bitwiseOR(F.lit(61)))
+        return t.bitwiseXOR((t + mixed).bitwiseAND(low))
+
+    def two_digits(u: Column) -> Column:
+        return F.lpad(F.hex(F.shiftrightunsigned(u.bitwiseXOR(F.shiftrightunsigned(u, 14)), 24)), 2, "0")
+
+    start = seed.cast("long").bitwiseAND(low)
+    states = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda k: (start + k * F.lit(0x6D2B79F5).cast("long")).bitwiseAND(low))
+    digits = F.lower(F.array_join(F.transform(F.transform(F.transform(states, first), second), two_digits), ""))
+    variant = F.translate(F.substring(digits, 17, 1), "0123456789abcdef", "89ab" * 4)
+    parts = F.substring(digits, 1, 8), F.substring(digits, 9, 4), F.concat(F.lit("4"), F.substring(digits, 14, 3)), F.concat(variant, F.substring(digits, 18, 3)), F.substring(digits, 21, 12)
+    return F.when(seed.isNotNull(), F.concat_ws("-", *parts))

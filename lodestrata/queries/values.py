@@ -55,8 +55,16 @@ def prose_text(spark, d):
     return t(spark, d, "events").select("event_id", S.prose_text(S.prose_document(F.col("event_type"))).alias("text"))
 
 
-@query()
+@query(
+    "WITH s AS (SELECT o_orderkey, [(o_orderkey + k * 1831565813) & 4294967295 for k in range(1, 17)] AS s FROM orders), "
+    "t AS (SELECT o_orderkey, [CAST((CAST(xor(x, x >> 15) AS HUGEINT) * (x | 1)) % 4294967296 AS BIGINT) for x in s] AS t FROM s), "
+    "u AS (SELECT o_orderkey, [xor(x, (x + CAST((CAST(xor(x, x >> 7) AS HUGEINT) * (x | 61)) % 4294967296 AS BIGINT)) & 4294967295) for x in t] AS u FROM t), "
+    "b AS (SELECT o_orderkey, [xor(x, x >> 14) >> 24 for x in u] AS b FROM u), "
+    "h AS (SELECT o_orderkey, array_to_string([printf('%02x', x) for x in list_concat(b[1:6], [(b[7] & 15) | 64], b[8:8], [(b[9] & 63) | 128], b[10:16])], '') AS h FROM b) "
+    "SELECT o_orderkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21) AS id FROM h"
+)
 def uuid_det(spark, d):
+    """A version 4 id of each order that depends on its key alone."""
     return t(spark, d, "orders").select("o_orderkey", S.uuid_of(F.col("o_orderkey")).alias("id"))
 
 

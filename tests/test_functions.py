@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import cron as C
-from lodestrata.functions.scalars import plain_text, query_tokens, seeded_uuid
+from lodestrata.functions.scalars import plain_text, query_tokens, seeded_uuid, uuid_of
 from lodestrata.operators import aggregates as A
 from lodestrata.operators import references as R
 from lodestrata.operators import search as T
@@ -53,6 +53,12 @@ def test_seeded_ids():
     assert seeded_uuid(1) == seeded_uuid(1) != seeded_uuid(2) and seeded_uuid(7)[14] == "4"
 
 
+def test_seeded_ids_as_columns(spark):
+    seeds = [0, 1, 7, 15, 2**31, 2**32 - 1, 2**32 + 5, 123456789012, -3, None]
+    got = spark.createDataFrame([(x,) for x in seeds], "seed long").select("seed", uuid_of(F.col("seed")).alias("id")).collect()
+    assert {r["seed"]: r["id"] for r in got} == {x: None if x is None else seeded_uuid(x) for x in seeds}
+
+
 def test_query_tokens():
     assert query_tokens("Héllo, wörld_42! " + "x" * 40) == ["héllo", "wörld", "42", "x" * 32]
     assert len(query_tokens("a " * 30)) == 16
