@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodestrata.functions import scalars as S
@@ -24,12 +25,13 @@ def json_path(spark, d):
     return t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query("SELECT n_nationkey, strlen('{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}') AS bytes FROM nation")
+@query("SELECT page_id, strlen(to_json({'page_id': page_id, 'url': url, 'body': {'html': html, 'path': string_split(url, '/')}})) AS bytes FROM pages")
 def doc_bytes(spark, d):
+    """Sizes of nested rows whose texts hold quotes, line ends and letters of several bytes."""
     from lodestrata.plans.paginate import byte_size
 
-    n = t(spark, d, "nation")
-    return n.select("n_nationkey", byte_size(n).cast("long").alias("bytes"))
+    nested = t(spark, d, "pages").select("page_id", "url", F.struct("html", F.split("url", "/").alias("path")).alias("body"))
+    return nested.select("page_id", byte_size(nested).cast("long").alias("bytes"))
 
 
 @query("SELECT event_id, CASE WHEN user_id % 3 = 0 THEN '{\"v\":null}' ELSE '{\"v\":\"' || event_type || '\"}' END AS key FROM events")
@@ -55,6 +57,28 @@ def prose_text(spark, d):
     return t(spark, d, "events").select("event_id", S.prose_text(S.prose_document(F.col("event_type"))).alias("text"))
 
 
+def _node(kind: str, children: Column) -> Column:
+    """JSON of a rich-text node over an array of its children's JSON."""
+    return F.concat(F.lit(f'{{"type":"{kind}","content":['), F.array_join(children, ","), F.lit("]}"))
+
+
+def _leaf(text: Column) -> Column:
+    return F.to_json(F.struct(F.lit("text").alias("type"), text.alias("text")))
+
+
+@query(
+    "SELECT conv_id, turn, trim(regexp_replace(role || chr(10) || turn || chr(10) || conv_id || chr(10) || chr(10) || chr(10) || replace(coalesce(text, ''), '. ', chr(10)), "
+    "'\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS text FROM conversations"
+)
+def prose_trees(spark, d):
+    """Plain text of nested trees: a heading with a hard break, a list, and a paragraph for each sentence of a turn."""
+    heading = _node("heading", F.array(_leaf(F.col("role")), F.lit('{"type":"hardBreak"}'), _leaf(F.col("turn").cast("string"))))
+    listed = _node("bulletList", F.array(_node("listItem", F.array(_node("paragraph", F.array(_leaf(F.col("conv_id").cast("string"))))))))
+    sentences = F.transform(F.split(F.coalesce("text", F.lit("")), r"\. "), lambda s: _node("paragraph", F.array(_leaf(s))))
+    tree = _node("doc", F.concat(F.array(heading, listed), sentences))
+    return t(spark, d, "conversations").select("conv_id", "turn", S.prose_text(tree).alias("text"))
+
+
 @query(
     "WITH s AS (SELECT o_orderkey, [(o_orderkey + k * 1831565813) & 4294967295 for k in range(1, 17)] AS s FROM orders), "
     "t AS (SELECT o_orderkey, [CAST((CAST(xor(x, x >> 15) AS HUGEINT) * (x | 1)) % 4294967296 AS BIGINT) for x in s] AS t FROM s), "
