@@ -14,17 +14,21 @@ least 0.85, tested exactly as 100 * common >= 85 * union.
    Equal sets are one class before anything else.
 3. *Links.* Each bucket's sets are first held against one of them, the one with the most
    neighbours over all bands, then against another one; links found are contracted to
-   components. Buckets that still lie in several components have all pairs of different
-   components tested. Before sets are fetched, sketches of one bit for each value must
-   differ in at most ``MOST_BITS`` of 128 places (a linked pair does with odds under
-   1e-10). Every link is then confirmed on the whole sets of 64-bit hashes (words aren't
-   compared again; of 10^10 compared pairs of sets of 1,000 shingles, about 0.0005 would
-   count a shingle too many).
+   components. Buckets that still lie in several components have the pairs of different
+   components held against each other. Before sets are fetched, sketches of one bit for
+   each value must differ in at most ``MOST_BITS`` of 128 places (a linked pair does
+   with odds under 1e-10), and in the last pass parities must fit: of each set's hashes
+   ``PARITIES`` bits say whether an odd number of them fell there, so two sets differ in
+   at least as many shingles as they differ in bits, which rules out a pair beyond
+   doubt when that is more than similarity 0.85 allows sets of their sizes. Every link is
+   then confirmed on the whole sets of 64-bit hashes (words aren't compared again; of
+   10^10 compared pairs of sets of 1,000 shingles, about 0.0005 would count a shingle too
+   many).
 
 The shingles of sets that share no bucket are never kept: sets are made again from the
 texts of the others only. Families of sets that are alike but not linked (similarity
-0.5 to 0.84) are what the last pass costs most for: it compares sketches of all their pairs of
-one bucket.
+0.5 to 0.84) are what the last pass costs most for: it compares the bits of all their
+pairs of one bucket, though nearly none becomes a row.
 
 A document with fewer words than three is one shingle of its own; without words it has an
 empty set, links with nothing and stays. The result is a row per document: repeated rows
@@ -50,6 +54,8 @@ from lodestrata.llm.jaccard import Hasher
 SHINGLE, PERCENT = 3, 85
 PERMUTATIONS, BANDS = 64, 32
 MOST_BITS = 36
+#: Bits of parity of a set, in words of 64.
+PARITIES = 1024
 #: Shingles whose permuted hashes are held at once.
 BLOCK = 1 << 15
 #: Keys of sets that are broadcast to the scan that makes them again, of 24 bytes each; beyond that they are joined by a shuffle.
@@ -60,7 +66,7 @@ _FACTORS = _RNG.integers(0, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + n
 _MASKS = _RNG.integers(0, 1 << 63, PERMUTATIONS, np.uint64)
 _FINISH = np.uint64(0xD6E8FEB86659FD93)
 
-SKETCHES = "doc_id long, text_hash long, set_id binary, n long, bands array<long>, low long, high long"
+SKETCHES = "doc_id long, text_hash long, set_id binary, n long, bands array<long>, low long, high long, odd array<long>"
 
 
 def ends(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -106,6 +112,13 @@ def sketch_bits(signature: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits, 1)
 
 
+def parities(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Words of bits for each set, one where an odd number of its hashes falls on the bit."""
+    place = np.repeat(np.arange(len(sizes)), sizes) * PARITIES + ((h >> np.uint64(7)) % np.uint64(PARITIES)).astype(np.int64)
+    odd = (np.bincount(place, minlength=len(sizes) * PARITIES) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(len(sizes), PARITIES), axis=1).view(np.int64)
+
+
 def sets_of(hasher: Hasher, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The texts' sets of shingle hashes, sorted, one behind the other, and their sizes."""
     h, of = hasher(texts)
@@ -127,6 +140,7 @@ def sketched(rows: DataFrame) -> DataFrame:
             digests: list[bytes | None] = [None] * len(sizes)
             keys: list[np.ndarray | None] = [None] * len(sizes)
             bits = np.zeros((len(sizes), 2), np.uint64)
+            odd = list(parities(h, sizes))
             if len(full):
                 signature = signatures(h, sizes[full])
                 bits[full] = sketch_bits(signature)
@@ -134,7 +148,7 @@ def sketched(rows: DataFrame) -> DataFrame:
                     keys[t] = key
                     digests[t] = xxhash.xxh3_128_digest(h[stops[t] - sizes[t] : stops[t]].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("text_hash"), pa.array(digests, pa.binary()), pa.array(sizes), pa.array(keys, pa.list_(pa.int64())), *[pa.array(bits[:, k].view(np.int64)) for k in (0, 1)]],
+                [b.column("doc_id"), b.column("text_hash"), pa.array(digests, pa.binary()), pa.array(sizes), pa.array(keys, pa.list_(pa.int64())), *[pa.array(bits[:, k].view(np.int64)) for k in (0, 1)], pa.array(odd, pa.list_(pa.int64()))],
                 names=[x.split()[0] for x in SKETCHES.split(", ")],
             )
 
@@ -184,12 +198,18 @@ def _fits(x: str, y: str) -> F.Column:
     return sizes & (differ <= MOST_BITS)
 
 
+def _parities_fit(x: str, y: str) -> F.Column:
+    """Whether the bits of parity allow the similarity; sets of sizes a and b differ in (a + b) * 15 / 185 shingles at most."""
+    differ = sum((F.bit_count(F.get(f"{x}.odd", F.lit(k)).bitwiseXOR(F.get(f"{y}.odd", F.lit(k)))) for k in range(PARITIES // 64)), F.lit(0))
+    return (100 + PERCENT) * differ <= (100 - PERCENT) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+
+
 def _pairs(joined: DataFrame, x: str, y: str) -> DataFrame:
     return joined.select(F.least(f"{x}.set_id", f"{y}.set_id").alias("a"), F.greatest(f"{x}.set_id", f"{y}.set_id").alias("b")).distinct()
 
 
-def similar_sets(members: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
-    """node, root of the sets that link with another; members: key, set_id, n, low, high, near of the sets in shared buckets."""
+def similar_sets(members: DataFrame, items: DataFrame, odd: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, root of the sets that link with another; members: key, set_id, n, low, high, near of the sets in shared buckets; odd: set_id, odd."""
     links = tested = roots = None
     for step in ("most neighbours", "largest", "all"):
         used, left = [], members
@@ -202,7 +222,8 @@ def similar_sets(members: DataFrame, items: DataFrame, scratch: Scratch) -> Data
             left = scratch.written(at.join(used[-1], "key"), "minmax-left")
             used.append(left)
         if step == "all":
-            pairs = _pairs(left.alias("x").join(left.alias("y"), F.col("x.key") == F.col("y.key")).where((F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.root") != F.col("y.root")) & _fits("x", "y")), "x", "y")
+            left = left.join(odd, "set_id")
+            pairs = _pairs(left.alias("x").join(left.alias("y"), F.col("x.key") == F.col("y.key")).where((F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.root") != F.col("y.root")) & _fits("x", "y") & _parities_fit("x", "y")), "x", "y")
         else:
             by = F.struct("near", "n", "set_id", "low", "high", "root") if step == "most neighbours" else F.struct("n", "set_id", "low", "high", "root")
             pivot = left.groupBy("key").agg(F.max(by).alias("p")).select("key", "p.set_id", "p.n", "p.low", "p.high", "p.root")
@@ -227,16 +248,16 @@ def near_copies(docs: DataFrame) -> DataFrame:
         sketches = scratch.written(sketched(rows), "minmax-sketches")
         found = sketches.where("set_id IS NOT NULL")
         # One of the documents with a set stands for it.
-        one = F.min(F.struct("doc_id", "text_hash", "n", "low", "high"))
-        sets = scratch.written(found.groupBy("set_id").agg(one.alias("s"), F.min("doc_id").alias("least"), F.min_by("bands", F.struct("doc_id", "text_hash")).alias("bands")), "minmax-classes")
-        keys = sets.select("set_id", "s.n", "s.low", "s.high", F.explode("bands").alias("key"))
+        one = F.min_by(F.struct("doc_id", "text_hash", "n", "low", "high", "bands", "odd"), F.struct("doc_id", "text_hash"))
+        sets = scratch.written(found.groupBy("set_id").agg(one.alias("s"), F.min("doc_id").alias("least")), "minmax-classes")
+        keys = sets.select("set_id", F.explode("s.bands").alias("key"))
         shared = scratch.written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "minmax-shared")
-        members = scratch.written(keys.join(shared, "key"), "minmax-buckets")
-        near = scratch.written(members.groupBy("set_id").agg(F.sum("size").alias("near")), "minmax-near")
-        items = full_sets(rows, sets.join(near, "set_id", "left_semi").select("set_id", "s.doc_id", "s.text_hash"), scratch)
-        whole = scratch.written(members.drop("size").join(near, "set_id"), "minmax-members")
-        scratch.drop(shared, members, near)
-        roots = similar_sets(whole, items, scratch)
+        buckets = scratch.written(keys.join(shared, "key"), "minmax-buckets")
+        near = scratch.written(buckets.groupBy("set_id").agg(F.sum("size").alias("near")).join(sets, "set_id").select("set_id", "near", "s.*"), "minmax-near")
+        items = full_sets(rows, near, scratch)
+        members = scratch.written(buckets.drop("size").join(near.select("set_id", "near", "n", "low", "high"), "set_id"), "minmax-members")
+        scratch.drop(shared, buckets)
+        roots = similar_sets(members, items, near.select("set_id", "odd"), scratch)
         classes = sets.select("set_id", "least").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
         classes = scratch.written(classes, "minmax-roots")
         lowest = scratch.written(classes.groupBy("root").agg(F.min("least").alias("component_id")), "minmax-lowest")
