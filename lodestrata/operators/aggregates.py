@@ -17,26 +17,34 @@ def percentile_at(sorted_values: Column, p: float) -> Column:
     return F.element_at(sorted_values, F.least(n - 1, F.floor(n * F.lit(p)).cast("int")) + 1)
 
 
-def exact_percentiles(df: DataFrame, kind: str, value: str, ps: dict[str, float], bins: int = 1024) -> DataFrame:
-    """Count, mean and percentiles of each kind.
-
-    Values are counted first, so that a hot kind sends each distinct value once a
-    partition. A histogram of equal bins between each kind's ends tells which bin holds
-    a percentile; only that bin's values are ranked, so no task orders a whole kind.
+def exact_percentiles(df: DataFrame, kind: str, value: str, ps: dict[str, float], partitions: int | None = None) -> DataFrame:
+    """Count, mean and percentiles of each kind, null being a kind of its own; null values don't count.
+
+    Values are counted first, so that a hot kind sends each distinct value once a task.
+    The counts are dealt by ranges of (kind, value), whose ends Spark samples, so a
+    partition holds its share of the distinct values however they are spread over
+    kinds and numbers. Sums of the partitions tell which of them holds a percentile;
+    only those are ranked, each on its own. The dealt counts are a written table, as ranges
+    are drawn from a sample and would differ if they were dealt again.
     """
-    v, inf = F.col(value).cast("double"), float("inf")
-    counted = df.where(F.col(value).isNotNull()).groupBy(kind, value).agg(F.count(F.lit(1)).alias("c"))
-    finite = F.when(~F.isnan(v) & (F.abs(v) < inf), v)
-    stats = counted.groupBy(kind).agg(F.sum("c").alias("n"), (F.sum(F.col(value) * F.col("c")) / F.sum("c")).alias("mean"), F.min(finite).alias("low"), F.max(finite).alias("high"))
-    inside = F.when(F.col("high") > F.col("low"), F.least(F.lit(bins - 1), F.floor((v - F.col("low")) / (F.col("high") - F.col("low")) * bins))).otherwise(0)
-    binned = counted.join(stats.select(kind, "low", "high"), kind).withColumn("bin", F.when(F.isnan(v), bins + 1).when(v == inf, bins).when(v == -inf, -1).otherwise(inside).cast("int"))
-    full = binned.groupBy(kind, "bin").agg(F.sum("c").alias("c"))
-    below = full.withColumn("below", F.sum("c").over(Window.partitionBy(kind).orderBy("bin")) - F.col("c"))  # bins + 3 rows a kind at most
-    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(p))).alias("rank")) for name, p in ps.items()])).alias("a")
-    found = below.join(stats.select(kind, asked).select(kind, "a.*"), kind).where((F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("c"))).select(kind, "bin", "name", "rank", "below")
-    upto = F.sum("c").over(Window.partitionBy(kind, "name").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) + F.col("below")
-    picks = binned.join(found, [kind, "bin"]).withColumn("upto", upto).where(F.col("upto") > F.col("rank")).groupBy(kind).agg(*[F.min(F.when(F.col("name") == name, F.col(value))).alias(name) for name in ps])
-    return stats.select(kind, "n", "mean").join(picks, kind)
+    from lodestrata.sources.tables import shared_folder
+
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(kind).alias("kind"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    path = shared_folder(df.sparkSession, "percentiles")
+    counted.repartitionByRange(n, "kind", "v").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    dealt = df.sparkSession.read.schema(T.StructType([*counted.schema, T.StructField("part", T.IntegerType())])).parquet(path)
+    spans = dealt.groupBy("kind", "part").agg(F.sum("c").alias("n"), F.sum(F.col("v") * F.col("c")).alias("s"))  # for a kind, a row for each partition at most
+    whole = spans.groupBy("kind").agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("mean"))
+    by_kind = Window.partitionBy("kind")
+    before = F.coalesce(F.sum("n").over(by_kind.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = spans.select("kind", "part", "n", before.alias("below"), F.sum("n").over(by_kind).alias("total"))
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.least(F.col("total") - 1, F.floor(F.col("total") * F.lit(p))).alias("rank")) for name, p in ps.items()])).alias("a")
+    found = ranked.select("kind", "part", "n", "below", asked).where((F.col("below") <= F.col("a.rank")) & (F.col("a.rank") < F.col("below") + F.col("n"))).select(F.col("kind").alias("of"), F.col("part").alias("at"), "below", "a.name", "a.rank")
+    upto = F.sum("c").over(Window.partitionBy("part", "of", "name").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + F.col("below")
+    near = dealt.join(found, dealt["kind"].eqNullSafe(found["of"]) & (dealt["part"] == found["at"])).withColumn("upto", upto).where(F.col("upto") > F.col("rank"))
+    picks = near.groupBy("of").agg(*[F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in ps])
+    return whole.join(picks, whole["kind"].eqNullSafe(picks["of"])).select(F.col("kind").alias(kind), "n", "mean", *ps)
 
 
 # Operation logs: a row for each operation on a document's field.

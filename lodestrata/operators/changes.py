@@ -116,27 +116,6 @@ def touches(bounds: tuple[Bound, ...], before: str = "before", after: str = "aft
     return side(before) | side(after)
 
 
-def touched_ranges(changes: DataFrame, ranges: DataFrame, field: str) -> DataFrame:
-    """Pairs of changes (change, tbl, before, after values of field) and stored ranges (sub, tbl, lo, hi), where either value lies in lo..hi.
-
-    A range is kept in the one or two bins that it touches of the bins as wide as itself
-    (rounded up to a power of two); a change looks up its bin of each width in use, at
-    most one for each power. So one table's changes and ranges don't all meet in one key.
-    """
-    inside = lambda c: F.coalesce(F.col(c).between(F.col("lo"), F.col("hi")), F.lit(False))
-    level = F.greatest(F.lit(0), F.ceil(F.log2((F.col("hi") - F.col("lo")).cast("double") + 1))).cast("int")
-    bin_of = lambda v: F.floor(v.cast("double") / F.pow(F.lit(2.0), F.col("level")))
-    kept = ranges.where("lo <= hi").withColumn("level", level)
-    widths = [r["level"] for r in kept.select("level").distinct().collect()]  # 64 at most for whole numbers
-    kept = kept.withColumn("bin", F.explode(F.array_distinct(F.array(bin_of(F.col("lo")), bin_of(F.col("hi"))))))
-    probes = changes.withColumn("level", F.explode(F.array(*map(F.lit, widths)).cast("array<int>")))
-    sides = F.filter(F.array_distinct(F.array(bin_of(F.col("before")), bin_of(F.col("after")))), lambda x: x.isNotNull())
-    probes = probes.withColumn("bin", F.explode(sides))
-    # Where both values lie in a range but in different bins, the bin of the value before counts.
-    once = (inside("before") & (F.col("bin") == bin_of(F.col("before")))) | (inside("after") & ~inside("before") & (F.col("bin") == bin_of(F.col("after"))))
-    return probes.join(kept, ["tbl", "level", "bin"]).where(once).select("change", "sub")
-
-
 def equal_subscriptions(changes: DataFrame, subscriptions: DataFrame, broad: DataFrame) -> DataFrame:
     """Subscriptions that changes (tbl, field, value) fire, once each: those on that value, and those on the whole table."""
     narrow = subscriptions.join(changes.select("tbl", "field", "value").distinct(), ["tbl", "field", "value"], "left_semi").select("sub")

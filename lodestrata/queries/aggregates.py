@@ -9,13 +9,27 @@ from lodestrata.operators import windows as W
 from lodestrata.queries.registry import query, t
 
 
+_KINDS = "(SELECT CASE WHEN user_id % 5 = 0 THEN NULL ELSE event_type END AS event_type, CASE WHEN event_id % 1000 = 0 THEN value * 1000000 ELSE value END AS value FROM events)"
+
+
 @query(
-    "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, list_sort(list(value))[CAST(least(count(*) - 1, floor(count(*) * 0.5)) AS BIGINT) + 1] AS p50, "
-    "list_sort(list(value))[CAST(least(count(*) - 1, floor(count(*) * 0.99)) AS BIGINT) + 1] AS p99 FROM events GROUP BY event_type"
+    "SELECT event_type, count(*) AS n, round(avg(value), 3) AS mean, list_sort(list(value))[CAST(least(count(*) - 1, floor(count(*) * 0.5)) AS BIGINT) + 1] AS p50, "
+    f"list_sort(list(value))[CAST(least(count(*) - 1, floor(count(*) * 0.99)) AS BIGINT) + 1] AS p99 FROM {_KINDS} GROUP BY event_type"
 )
 def group_counts_latency(spark, d):
-    out = A.exact_percentiles(t(spark, d, "events"), "event_type", "value", {"p50": 0.5, "p99": 0.99})
-    return out.withColumn("mean", F.round("mean", 6))
+    """Percentiles of kinds, one of them null, whose values have a heavy tail."""
+    e = t(spark, d, "events")
+    rows = e.select(F.when(F.col("user_id") % 5 != 0, F.col("event_type")).alias("event_type"), F.when(F.col("event_id") % 1000 == 0, F.col("value") * 1000000).otherwise(F.col("value")).alias("value"))
+    return A.exact_percentiles(rows, "event_type", "value", {"p50": 0.5, "p99": 0.99}).withColumn("mean", F.round("mean", 3))
+
+
+@query(
+    "SELECT l_orderkey % 20000 AS kind, count(*) AS n, list_sort(list(l_extendedprice))[CAST(least(count(*) - 1, floor(count(*) * 0.9)) AS BIGINT) + 1] AS p90 FROM lineitem GROUP BY ALL"
+)
+def many_kinds_p90(spark, d):
+    """A percentile for each of very many kinds."""
+    rows = t(spark, d, "lineitem").select((F.col("l_orderkey") % 20000).alias("kind"), "l_extendedprice")
+    return A.exact_percentiles(rows, "kind", "l_extendedprice", {"p90": 0.9}).drop("mean")
 
 
 @query("SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 10")

@@ -188,14 +188,6 @@ def invalidation_overlap(spark, d):
     return changes.where(C.touches((Q.gte("user_id", 10), Q.lte("user_id", 20)))).select("event_id")
 
 
-@query("SELECT event_id AS change, n_nationkey AS sub FROM events JOIN nation ON event_type = CASE n_regionkey WHEN 0 THEN 'click' WHEN 1 THEN 'view' ELSE 'error' END WHERE user_id BETWEEN n_nationkey * 5 AND n_nationkey * 5 + 9 OR user_id + 7 BETWEEN n_nationkey * 5 AND n_nationkey * 5 + 9")
-def invalidation_ranges(spark, d):
-    changes = t(spark, d, "events").select(F.col("event_id").alias("change"), F.col("event_type").alias("tbl"), F.col("user_id").alias("before"), (F.col("user_id") + 7).alias("after"))
-    tbl = F.when(F.col("n_regionkey") == 0, "click").when(F.col("n_regionkey") == 1, "view").otherwise("error")
-    ranges = t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("sub"), tbl.alias("tbl"), (F.col("n_nationkey") * 5).alias("lo"), (F.col("n_nationkey") * 5 + 9).alias("hi"))
-    return C.touched_ranges(changes, ranges, "user_id")
-
-
 @query("SELECT c_custkey AS sub FROM customer WHERE c_custkey % 50 <> 0 AND c_custkey % 150 IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 100) UNION SELECT c_custkey FROM customer WHERE c_custkey % 50 = 0")
 def eq_dispatch(spark, d):
     changes = t(spark, d, "events").where("event_type = 'error' AND value > 100").select(F.lit("events").alias("tbl"), F.lit("user_id").alias("field"), F.col("user_id").alias("value"))

@@ -17,13 +17,21 @@ FORMATS = ("parquet", "json", "orc", "csv")
 
 
 def shared_folder(spark: SparkSession, tag: str) -> str:
-    """A new folder where the session keeps checkpoints, which all executors share; a local session without that setting gets a temporary one."""
+    """A new folder where the session keeps checkpoints, which all executors share; a local session without that setting gets a temporary one.
+
+    It belongs to the driver's process: the file system deletes it when that ends, as results may read it until then.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = Path(tempfile.gettempdir(), "lodestrata-tables").as_uri()
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return f"{path}/data"
 
 
 def read_table(spark: SparkSession, path: str, spec: TableSpec | None = None, kind: str = "parquet") -> DataFrame:

@@ -196,10 +196,10 @@ def test_percentiles_of_odd_values(spark):
 
     rng = random.Random(7)
     inf = float("inf")
-    kinds = {"a": [rng.gauss(0, 100) for _ in range(3000)], "b": [5.0] * 40, "c": [inf, -inf, 1.0, 2.0, float("nan")], "d": [0.0] * 99 + [1e9], "e": [-3.0], "f": [inf, inf]}
+    kinds = {None: [rng.random() for _ in range(500)] + [1e12], "a": [rng.gauss(0, 100) for _ in range(3000)], "b": [5.0] * 40, "c": [inf, -inf, 1.0, 2.0, float("nan")], "d": [0.0] * 99 + [1e9], "e": [-3.0], "f": [inf, inf]}
     rows = [(k, v) for k, vs in kinds.items() for v in vs] + [("a", None), ("g", None)]
     ps = {"p0": 0.0, "p50": 0.5, "p99": 0.99, "p100": 1.0}
-    out = {r.k: r for r in exact_percentiles(spark.createDataFrame(rows, "k string, v double"), "k", "v", ps, bins=16).collect()}
+    out = {r.k: r for r in exact_percentiles(spark.createDataFrame(rows, "k string, v double"), "k", "v", ps, partitions=7).collect()}
     assert set(out) == set(kinds)
     for k, vs in kinds.items():
         ordered = sorted(vs, key=lambda x: (x != x, x))
@@ -209,18 +209,15 @@ def test_percentiles_of_odd_values(spark):
         assert out[k].n == len(vs)
 
 
-def test_touched_ranges_against_all_pairs(spark):
-    import random
-
-    from lodestrata.operators.changes import touched_ranges
+def test_percentiles_share_out_a_heavy_tail(spark):
+    """One value far from all others doesn't put the rest into one partition."""
+    from lodestrata.operators import aggregates
 
-    rng = random.Random(4)
-    value = lambda: rng.choice([None, rng.randint(-50, 50), rng.randint(-10**9, 10**9), 0])
-    changes = [(i, rng.choice("xy"), value(), value()) for i in range(200)]
-    ranges = [(i, rng.choice("xy"), lo, lo + rng.choice([0, 1, 7, 8, 1000, 2 * 10**9])) for i in range(60) for lo in [rng.choice([rng.randint(-60, 50), rng.randint(-10**9, 10**9)])]] + [(99, "x", 5, 1)]
-    got = touched_ranges(spark.createDataFrame(changes, "change long, tbl string, before long, after long"), spark.createDataFrame(ranges, "sub long, tbl string, lo long, hi long"), "v").collect()
-    want = [(c, s) for c, t, b, a in changes for s, u, lo, hi in ranges if t == u and ((b is not None and lo <= b <= hi) or (a is not None and lo <= a <= hi))]
-    assert sorted(map(tuple, got)) == sorted(want) and want
+    rows = spark.range(20_000).select(F.lit("k").alias("k"), F.when(F.col("id") == 7, 1e12).otherwise(F.col("id") * 0.01).alias("v"))
+    dealt = rows.groupBy("k", "v").count().repartitionByRange(50, "k", "v").groupBy(F.spark_partition_id()).count().collect()
+    assert len(dealt) == 50 and max(r["count"] for r in dealt) < 3 * 20_000 / 50
+    (r,) = aggregates.exact_percentiles(rows, "k", "v", {"p50": 0.5, "p100": 1.0}, partitions=50).collect()
+    assert (r.n, r.p100) == (20_000, 1e12) and abs(r.p50 - 100) < 0.02
 
 
 def test_search_index_follows_adds_removes_and_normal_forms(spark, tmp_path):
