@@ -4,16 +4,17 @@ Each document has two histograms: character classes (small letters, capitals, di
 white space, punctuation, symbols, other) and the most common words of its language
 plus a rest. They are compared with its language's reference, the sum over all
 documents of that language, by Jensen-Shannon distance (square root of the divergence
-in bits, 0 to 1). A language has a reference where its documents hold ``MIN_REFERENCE``
-code points or more; its common words are the ``N_COMMON`` words of at most ``SHORT``
-characters that stand in most of its documents (ties go by the word), learned from all
-of them: function words are short, and names and topics aren't wanted. A distance counts only for
+in bits, 0 to 1). A language has a class reference where its documents hold ``MIN_REFERENCE`` code points
+or more, whatever its script. Its common words are the ``N_COMMON`` words that stand in
+most of its documents and in a share of ``LEAST_DOCUMENTS`` at least (ties go by the
+word), learned from all of them; a language that doesn't put blanks between words
+has none, and is held by its classes alone. A distance counts only for
 texts of a minimum length, as short texts stray by chance. Words are compared in small
 letters and without punctuation around them; their limit is a share of the distance
 that a text without any of the common words has from that reference, so it can be
 reached, and falls with the text's length, as chance moves the distance by about
 1 / sqrt(words). A document whose language is null is held against every reference and
-the nearest decides; one whose language is too rare for a reference isn't rejected for
+the nearest, by the sum of its distances, decides; one whose language is too rare for a reference isn't rejected for
 its distances, and without any reference no document is.
 
 Words are counted for each language with a partial aggregation before the shuffle; the
@@ -35,7 +36,8 @@ from lodestrata.llm.native import let, total
 
 #: Common words of a language, and the code points that its documents must hold for a reference.
 N_COMMON, MIN_REFERENCE = 12, 5_000
-SHORT = 6
+#: Share of a language's documents that a common word stands in, and the number of documents, at least.
+LEAST_DOCUMENTS, LEAST_COUNT = 0.2, 3
 CLASSES = 7
 WHITE = " \t\n\x0b\f\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -46,6 +48,8 @@ MIN_WORDS = 100
 #: Limit of the word distance as a share of the distance of a text without common words: LEAST_SHARE + CHANCE / sqrt(words), MOST_SHARE at most.
 MOST_SHARE, LEAST_SHARE, CHANCE = 0.90, 0.40, 5.0
 AROUND = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Between two words without the punctuation around them.
+GAP = r"[\p{Punct}]*+[\x20\x09-\x0D][\p{Punct}\x20\x09-\x0D]*+"
 
 
 def words(text: Column) -> Column:
@@ -86,15 +90,15 @@ def class_histogram(text: Column) -> Column:
     return let(left, lambda t: step(t, patterns, out))
 
 
-def bare(word: Column) -> Column:
-    return F.lower(F.btrim(word, F.lit(AROUND)))
+def bare_words(text: Column) -> Column:
+    """The words in small letters, without punctuation around them; those of nothing else are left out."""
+    return F.array_remove(F.split(F.lower(F.btrim(text, F.lit(WHITE + AROUND))), GAP, -1), "")
 
 
-def word_histogram(w: Column, listed: Column) -> Column:
+def word_histogram(bare: Column, n_words: Column, listed: Column) -> Column:
     """Counts of the listed words, and of all others."""
-    common = F.filter(w, lambda x: F.array_contains(listed, x))
-    count = lambda c: F.concat(F.transform(listed, lambda k: F.size(F.filter(c, lambda x: x == k)).cast("long")), F.array((F.size(w) - F.size(c)).cast("long")))
-    return let(common, count)
+    found = F.transform(listed, lambda k: (F.size(bare) - F.size(F.array_remove(bare, k))).cast("long"))
+    return let(found, lambda h: F.concat(h, F.array(n_words - total(h))))
 
 
 def _shares(h: Column) -> Column:
@@ -114,20 +118,18 @@ def text_rows(docs: DataFrame) -> DataFrame:
 
 
 def common_words(rows: DataFrame) -> dict[str, list[str]]:
-    """The words in most documents of each language that has a reference."""
-    sizes = rows.where("lang IS NOT NULL").groupBy("lang").agg(F.sum(F.length("text").cast("long")).alias("n")).where(F.col("n") >= MIN_REFERENCE).collect()
-    langs = sorted(r["lang"] for r in sizes)
-    if not langs:
-        return {}
-    bared = F.transform(F.array_distinct(words(F.col("text"))), bare)
-    short = F.array_distinct(F.filter(bared, lambda x: (F.length(x) <= SHORT) & (x != "")))
-    found = rows.where(F.col("lang").isin(langs)).select("lang", F.explode(short).alias("word"))
-    counts = found.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    """The common words of each language that has a reference; none for a language without any."""
+    sizes = rows.where("lang IS NOT NULL").groupBy("lang").agg(F.sum(F.length("text").cast("long")).alias("n"), F.count(F.lit(1)).alias("docs")).where(F.col("n") >= MIN_REFERENCE).collect()
+    out: dict[str, list[str]] = {r["lang"]: [] for r in sorted(sizes, key=lambda r: r["lang"])}
+    if not out:
+        return out
+    least = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], max(LEAST_COUNT, LEAST_DOCUMENTS * r["docs"]))])
+    found = rows.where(F.col("lang").isin(list(out))).select("lang", F.explode(F.array_distinct(bare_words(F.col("text")))).alias("word"))
+    counts = found.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.element_at(least, F.col("lang")))
     ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= N_COMMON)
-    out: dict[str, list[str]] = {k: [] for k in langs}
     for r in ranked.orderBy("lang", "r").collect():
         out[r["lang"]].append(r["word"])
-    return {k: v for k, v in out.items() if v}
+    return out
 
 
 def _by_lang(values: dict[str, Column], kind: str) -> Column:
@@ -139,26 +141,24 @@ def features(rows: DataFrame, common: dict[str, list[str]]) -> DataFrame:
     langs = F.when(F.col("lang").isNull(), F.array(*map(F.lit, sorted(common))).cast("array<string>")).when(F.col("lang").isin(list(common)), F.array("lang")).otherwise(F.array().cast("array<string>"))
     lists = _by_lang({k: F.array(*map(F.lit, v)) for k, v in common.items()}, "array<string>")
 
-    def of(w: Column) -> Column:
-        return F.struct(
-            F.size(w).cast("long").alias("n_words"),
-            repeated_window_words(w).alias("n_repeat_words"),
-            let(F.transform(w, bare), lambda b: F.transform(langs, lambda k: let(F.element_at(lists, k), lambda listed: word_histogram(b, listed)))).alias("word_hists"),
-        )
+    def counted(w: Column) -> Column:
+        return F.struct(F.size(w).cast("long").alias("n_words"), repeated_window_words(w).alias("n_repeat_words"))
 
     wide = rows.select(
-        "doc_id", "lang", langs.alias("langs"), F.length("text").cast("long").alias("n_chars"),
-        let(words(F.col("text")), of).alias("w"),
+        "doc_id", "lang", "text", langs.alias("langs"), F.length("text").cast("long").alias("n_chars"),
+        let(words(F.col("text")), counted).alias("w"),
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         duplicate_lines(F.col("text")).alias("n_dup_lines"),
         class_histogram(F.col("text")).alias("classes"),
     )
+    of = lambda bare: F.transform("langs", lambda k: let(F.element_at(lists, k), lambda listed: word_histogram(bare, F.col("w.n_words"), listed)))
+    hists = let(bare_words(F.col("text")), of).alias("word_hists")
     inside = (F.col("n_chars") - F.get("classes", F.lit(1))).alias("word_chars")  # all but white space
-    return wide.select("doc_id", "lang", "langs", "n_chars", "w.*", inside, "n_symbols", "n_dup_lines", "classes")
+    return wide.select("doc_id", "lang", "langs", "n_chars", "w.*", hists, inside, "n_symbols", "n_dup_lines", "classes")
 
 
 def references(feats: DataFrame, common: dict[str, list[str]]) -> dict[str, tuple[list[int], list[int]]]:
-    """Class and word counts over all documents of each language that has common words; a row for each."""
+    """Class and word counts over all documents of each language that has a reference; a row for each."""
     if not common:
         return {}
     sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(CLASSES)] + [F.sum(F.get(F.get("word_hists", F.lit(0)), F.lit(i))).alias(f"w{i}") for i in range(N_COMMON + 1)]

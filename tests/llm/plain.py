@@ -113,14 +113,15 @@ def bare(word: str) -> str:
     return word.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~").lower()
 
 
-def common_words(rows: list[tuple], n: int, least: int, short: int = 6) -> dict[str, list[str]]:
-    """The n short words in most documents of each language whose texts have ``least`` characters; rows: (doc_id, text, lang)."""
-    size, df = Counter(), {}
+def common_words(rows: list[tuple], n: int, least: int, share: float = 0.2, count: int = 3) -> dict[str, list[str]]:
+    """The n words in most documents, in a share of them at least, of each language whose texts have ``least`` characters; rows: (doc_id, text, lang)."""
+    size, df, docs = Counter(), {}, Counter()
     for _, t, lang in rows:
         if lang is not None:
             size[lang] += len(t or "")
-            df.setdefault(lang, Counter()).update({x for w in WHITE.findall(t or "") if 0 < len(x := bare(w)) <= short})
-    return {k: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0].encode()))[:n]] for k, c in df.items() if size[k] >= least and c}
+            docs[lang] += 1
+            df.setdefault(lang, Counter()).update({x for w in WHITE.findall(t or "") if (x := bare(w))})
+    return {k: [w for w, x in sorted(c.items(), key=lambda x: (-x[1], x[0].encode()))[:n] if x >= max(count, share * docs[k])] for k, c in df.items() if size[k] >= least}
 
 
 def classes_of(text: str) -> list[int]:

@@ -394,6 +394,22 @@ def test_quality_rejects_texts_without_their_languages_common_words(spark):
     assert quality.farthest([0, 5]) == 0 and 0.99 < quality.farthest([5, 0]) <= 1
 
 
+def test_quality_of_a_script_without_blanks(spark):
+    """A language whose words are whole sentences has no common words, but its classes are a reference."""
+    rng = random.Random(11)
+    letters = [chr(0x4E00 + k) for k in range(800)]
+    text = lambda: "。 ".join("".join(rng.choices(letters, k=rng.randint(6, 14))) for _ in range(60))
+    rows = [(i, text(), "zh") for i in range(30)] + [(100, " ".join("".join(rng.choices("0123456789+=<>^~", k=9)) for _ in range(60)), "zh")]
+    rows += [(200 + i, " ".join(rng.choices(["the", "of", "and", *[f"word{k}" for k in range(50)]], k=400)), "en") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    common_words = quality.common_words(quality.text_rows(df))
+    assert common_words["zh"] == [] and len(common_words["en"]) == quality.N_COMMON
+    out = {r.doc_id: r for r in quality.quality_rules(df).collect()}
+    assert not out[100].kept and out[100].class_distance > quality.MAX_CLASS_DISTANCE and out[100].word_distance == 0
+    assert all(r.kept for i, r in out.items() if i != 100)
+    assert quality.quality_rules(df.withColumn("lang", F.lit(None).cast("string"))).where("class_distance IS NOT NULL").count() == 0
+
+
 def test_js_distance(spark):
     df = spark.sql("SELECT array(1L, 1L) AS a, array(2L, 2L) AS b, array(0L, 5L) AS c, array(7L, 0L) AS d, array(0L, 0L) AS z")
     d = lambda x, y: quality.js_distance(F.col(x), F.col(y))
