@@ -139,26 +139,34 @@ class Automaton:
     def first_words(self) -> set[bytes]:
         return {w for s in self.closed({0}) for w in self.steps[s]}
 
-    def accepted(self, words: list[bytes], at: int, dead: set[int] | None = None) -> int:
+    def begins_free(self) -> bool:
+        """Whether any word may be its first."""
+        return any(s in self.free for s in self.closed({0}))
+
+    def accepted(self, words: list[bytes], at: int, dead: dict[int, int] | None = None) -> int:
         """The end of the accepted run of words that begins at word ``at``; -1 without one.
 
-        dead holds looping states from which an earlier run read all the words in vain;
-        what they lead to is the same for every later run, so it isn't tried again.
+        dead holds looping states with the first word from which an earlier run read on in
+        vain to the end; from there on what they lead to is the same for every run, so it
+        isn't tried again. A run that is in such a state before that word goes on.
         """
-        dead = set() if dead is None else dead
-        stepped, looping, end = {0}, set(), -1
+        dead = {} if dead is None else dead
+        stepped, looping, entered, end = {0}, set(), {}, -1
         while True:
             states = self.closed(stepped | looping)
             if self.final in states:
                 end, looping = at, set()  # the nearest end of free wording counts
                 states = self.closed(set(stepped))
             if not states or at >= len(words):
-                if end < 0:
-                    dead.update(looping)
+                if end < 0 and at >= len(words):
+                    for s in looping:
+                        dead[s] = min(entered[s], dead.get(s, at))
                 return end
             w = words[at]
             stepped = {y for s in states for y in self.steps[s].get(w, ())}
-            looping = {self.free[s] for s in states if s in self.free} - dead
+            looping = {y for s in states if (y := self.free.get(s)) is not None and at < dead.get(y, at + 1)}
+            for s in looping:
+                entered.setdefault(s, at)
             at += 1
 
 
@@ -211,10 +219,11 @@ class Scanner:
     def __init__(self, phrases: dict[str, str], templates: dict[str, str]):
         self.phrases = [(b" " + b" ".join(words_of(p.encode())) + b" ", label) for p, label in phrases.items()]
         self.templates = [(label, compiled(t)) for label, t in templates.items()]
-        # A template is tried where one of its first two words stand, found by one search over the joined words.
+        # A template is tried where a word stands that may be its first, found by one search over the joined words; one that may begin with any word, at each.
+        self.anywhere = [k for k, (_, a) in enumerate(self.templates) if a.begins_free()]
         starts: dict[bytes, list[int]] = {}
         for k, (_, a) in enumerate(self.templates):
-            for w in a.first_words():
+            for w in a.first_words() if k not in self.anywhere else ():
                 starts.setdefault(w, []).append(k)
         self.starts = starts
         self.start = re.compile(b" (" + b"|".join(sorted(map(re.escape, starts), reverse=True)) + b")(?= )") if starts else None
@@ -230,17 +239,23 @@ class Scanner:
                 base.add(label)
                 at = joined.find(p, at + 1)
         matched, first, counted = [], 0, 0
-        ends, dead = [0] * len(self.templates), [set() for _ in self.templates]
+        ends, dead = [0] * len(self.templates), [{} for _ in self.templates]
+
+        def tried(k: int, first: int) -> int:
+            label, a = self.templates[k]
+            if first < ends[k] or (end := a.accepted(words, first, dead[k])) < 0:
+                return 0
+            ends[k] = end
+            labels.add(label)
+            matched.append((first, end))
+            return end - first
+
         for m in self.start.finditer(joined) if self.start else ():
             first += joined.count(b" ", counted, m.start())
             counted = m.start()
-            for k in self.starts[m[1]]:
-                label, a = self.templates[k]
-                if first >= ends[k] and (end := a.accepted(words, first, dead[k])) >= 0:
-                    ends[k] = end
-                    labels.add(label)
-                    matched.append((first, end))
-                    full += end - first
+            full += sum(tried(k, first) for k in self.starts[m[1]])
+        for k in self.anywhere:
+            full += sum(tried(k, first) for first in range(len(words)))
         number = lambda at: joined.count(b" ", 0, at)
         return (
             len(words), len(places), number(min(places)) if places else None, number(max(places)) if places else None,
@@ -257,7 +272,9 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
 
     score: 1 where a template's mandatory wording matches, 0.5 where only phrases
     stand, else 0. template_spans: first and end word of each match. A null text has
-    no words; first_word and last_word are null without a phrase.
+    no words; first_word and last_word are null without a phrase. Very long texts are
+    read whole, repeated rows get a row each, other columns are ignored, and an empty
+    table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

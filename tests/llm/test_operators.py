@@ -89,6 +89,39 @@ def test_automaton_against_regular_expressions():
                 assert a.accepted([w.encode() for w in words], i) == (m.end() // 2 if m else -1)
 
 
+def test_templates_that_begin_with_free_wording():
+    scan = lambda template, text: licenses.Scanner({}, {"x": template})(text.encode())[5:9:3]
+    assert scan('<<var;original="a";match=".+">> granted under foo', "hello granted under foo") == ("x", "0:4")
+    assert scan('<<var;original="a";match=".+">> granted under foo', "granted under foo") == ("", "")
+    assert scan('<<beginOptional>>p q f m <<endOptional>>q <<var;original="a";match=".+">> m', "p q f m q w w w") == ("x", "1:4")
+    text = "w " * 200_000
+    started = time.monotonic()
+    assert scan('<<var;original="a";match=".+">> m', text) == ("", "") and time.monotonic() - started < 30
+
+
+def test_scanner_against_runs_from_every_word():
+    """Random templates with optional wording, choices and loops in any place: what the scanner leaves out never matters."""
+    rng = random.Random(21)
+    pieces = ["a", "b", "a b", "c", '<<var;original="x";match=".+">>', '<<var;original="a";match="a|b c">>', "<<beginOptional>>a b<<endOptional>>", "<<beginOptional>>b <<beginOptional>>c<<endOptional>><<endOptional>>", '<<beginOptional>>a <<var;original="x";match=".+">> b<<endOptional>>']
+    found = 0
+    for _ in range(400):
+        template = " ".join(rng.choices(pieces, k=rng.randint(1, 5)))
+        a = licenses.compiled(template)
+        if a.final in a.closed({0}):
+            continue  # it accepts no words at all
+        scan = licenses.Scanner({}, {"x": template})
+        for _ in range(12):
+            words = rng.choices("abcd", k=rng.randint(0, 16))
+            want, i = [], 0
+            while i < len(words):
+                end = a.accepted([w.encode() for w in words], i)
+                want += [f"{i}:{end}"] if end >= 0 else []
+                i = end if end > i else i + 1
+            found += len(want)
+            assert scan(" ".join(words).encode())[8] == ",".join(sorted(want, key=lambda x: tuple(map(int, x.split(":"))))), (template, words)
+    assert found > 1000
+
+
 def test_license_scan_of_a_long_text():
     """Start words all over a long text: places are right, and finding them takes linear time."""
     text = b"licensed released " * 300_000 + b"under the MIT License. " + b"permission " * 300_000
