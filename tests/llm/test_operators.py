@@ -197,6 +197,19 @@ def test_compaction_query(spark, tricky, empty, tmp_path):
 # 3
 
 
+def test_index_of_a_large_block_is_small():
+    """About 16 bytes for each byte of text; what is sent is the text."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(20_000)]
+    items = [(i, " ".join(rng.choices(words, k=150)).encode()) for i in range(900)]
+    size = sum(len(t) for _, t in items)
+    x = decontaminate.index_of(sent := decontaminate.packed(items))
+    held = sum(v.nbytes for v in vars(x).values() if isinstance(v, np.ndarray))
+    assert len(sent) < size and held < 17 * size and decontaminate.index_of(sent) is x
+    text = decontaminate.normalised(b"before " + items[77][1][:400] + b" after")
+    assert {int(x.items[w]) for _, w, *_ in decontaminate.leaks([text], x)} == {77}
+
+
 def test_short_items(spark):
     """Items without a gram are found as whole words, and only so."""
     docs = [(1, "We say: Abc, DE there"), (2, "xabc de"), (3, "abc de"), (4, "abc  dez zz"), (5, None), (6, "nothing")]
