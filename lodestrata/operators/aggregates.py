@@ -165,6 +165,11 @@ def counters(df: DataFrame, attributes: list[str], amount: Column | None = None)
     return df.groupBy(*attributes).agg(F.sum(F.lit(1) if amount is None else amount).alias("total"))
 
 
+def gauges(df: DataFrame, attributes: list[str], value: str, at: list[str]) -> DataFrame:
+    """The newest measure of each set of attributes, by the columns of ``at``; null measures don't count."""
+    return df.where(F.col(value).isNotNull()).groupBy(*attributes).agg(F.max_by(value, F.struct(*at)).alias("value"))
+
+
 def histograms(df: DataFrame, attributes: list[str], value: str, bounds: list[float]) -> DataFrame:
     """Count, sum, least, most and bucket counts of a measure for each set of attributes, in one partial aggregation.
 

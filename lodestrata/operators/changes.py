@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.expr import as_true
 from lodestrata.operators.aggregates import materialise
-from lodestrata.operators.windows import keep_newest, keep_within, numbered
+from lodestrata.operators.windows import keep_newest, numbered
 from lodestrata.plans.query import Bound
 
 # A log row: collection, seq, doc, kind ('upsert' or 'delete').
@@ -43,15 +43,6 @@ def record(states: DataFrame, log: DataFrame, changes: DataFrame, order: list[Co
     return new_states, new_log if keep is None else keep_newest(new_log, ["collection"], "seq", keep)
 
 
-def trim_deltas(deltas: DataFrame, keep: int, budget: int) -> DataFrame:
-    return keep_within(deltas, ["collection", "doc"], "seq", "byte_length", keep, budget)
-
-
-def states_by_id(requested: DataFrame, states: DataFrame, key: str) -> DataFrame:
-    """A row for each requested id (position, id), in order; null state where there is none."""
-    return requested.join(states, key, "left")
-
-
 def materialised_states(states: DataFrame, documents: DataFrame, ops: DataFrame, fields: dict[str, str], key: str = "doc", in_scope: Column | None = None) -> DataFrame:
     """States (key, seq) with their documents; where a document is gone, with the fold of its operations. Only the logs of those are read into the fold."""
     live = states.join(documents, key)

@@ -62,12 +62,6 @@ def quarantine(df: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFrame]:
     return checked.where("_problem IS NULL").drop("_problem"), checked.where("_problem IS NOT NULL")
 
 
-def enforced(df: DataFrame, spec: TableSpec) -> DataFrame:
-    """df; reading a row that isn't valid fails the job."""
-    checked = validated(df, spec)
-    return checked.where(F.when(F.col("_problem").isNull(), F.lit(True)).otherwise(F.raise_error(F.col("_problem")).cast("boolean"))).drop("_problem")
-
-
 def add_column(df: DataFrame, name: str, kind: str, default: object = None) -> DataFrame:
     if name in df.columns:
         raise ValueError(f"column {name} exists")

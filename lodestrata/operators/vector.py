@@ -116,7 +116,10 @@ class VectorIndex(Segments):
         return self._write(df.withColumn(self.field, F.when(indexable(v, self.dimensions), unit(v))))
 
     def remove(self, ids: DataFrame) -> VectorIndex:
-        have = self.spark.read.parquet(f"{self.path}/s{self.segments()[0]}").schema
+        """Ids that go; of an index without rows nothing does."""
+        if not self.segments():
+            return self
+        have = self.rows().schema
         return self._write(ids.select(self.spec.id, *[F.lit(None).cast(have[c].dataType).alias(c) for c in (*self.filters, self.field)]))
 
     def live(self, condition: Column | None = None) -> DataFrame:

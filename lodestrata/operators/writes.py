@@ -7,20 +7,23 @@ snapshots. Where the storage knows MERGE, ``changes`` is its source.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestrata.functions.scalars import uuid_of
 from lodestrata.operators.windows import numbered_all
 
 
-def insert(df: DataFrame, rows: DataFrame, id_column: str, creation: str, now_ms: float, order: list[Column]) -> DataFrame:
-    """df and rows, each with a new id and rising creation times after the newest there."""
+def insert(df: DataFrame, rows: DataFrame, id_column: str, creation: str, now_ms: float, order: list[Column], seed: int | None = None) -> DataFrame:
+    """df and rows, each with a new id and rising creation times after the newest there. Ids follow from a seed, drawn once, and the row's number, so a task that runs again gives the same."""
+    seed = uuid.uuid4().int >> 66 if seed is None else seed
     newest = df.agg(F.max(creation)).first()[0]
     start = now_ms if newest is None or now_ms > newest else newest + 0.001
-    timed = numbered_all(rows, order, "_k").withColumn(id_column, F.uuid()).withColumn(creation, F.lit(float(start)) + F.col("_k") * 0.001)
+    timed = numbered_all(rows, order, "_k").withColumn(id_column, uuid_of(F.lit(seed).cast("long") + F.col("_k"))).withColumn(creation, F.lit(float(start)) + F.col("_k") * 0.001)
     return df.unionByName(timed.drop("_k"), allowMissingColumns=True)
 
 
@@ -48,11 +51,6 @@ def delete(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids.select(key), key, "left_anti")
 
 
-def missing_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Ids that a strict delete or patch would fail on."""
-    return ids.select(key).join(df.select(key), key, "left_anti")
-
-
 def upsert(df: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """rows replace those of the same key and add the others; of rows with one key give the last one only."""
     return df.join(rows.select(key), key, "left_anti").unionByName(rows)

@@ -4,6 +4,6 @@ from __future__ import annotations
 
 from lodestrata.queries.registry import QUERIES, SQL
 
-from lodestrata.queries import aggregates, changes, joins, nested, predicates, scans, search, streams, values, writes  # noqa: F401,I001 - each registers its queries
+from lodestrata.queries import aggregates, changes, joins, live, nested, predicates, references, scans, search, streams, values, writes  # noqa: F401,I001 - each registers its queries
 
 __all__ = ["QUERIES", "SQL"]

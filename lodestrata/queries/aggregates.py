@@ -129,6 +129,12 @@ def metric_histograms(spark, d):
     return out.select("event_type", "n", F.round("total", 4).alias("total"), "least", "most", *[F.get("buckets", F.lit(k)).alias(f"b{k}") for k in range(3)])
 
 
+@query("SELECT event_type, user_id % 3 AS shard, arg_max(value, event_id) AS value FROM events GROUP BY ALL")
+def metric_gauges(spark, d):
+    """The newest measure of each kind and shard."""
+    return A.gauges(t(spark, d, "events").withColumn("shard", F.col("user_id") % 3), ["event_type", "shard"], "value", ["event_id"])
+
+
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS total FROM orders GROUP BY ALL")
 def metric_counters(spark, d):
     return A.counters(t(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"])

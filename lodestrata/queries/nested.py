@@ -156,8 +156,11 @@ def dependencies_fired(spark, d):
 @query(f"SELECT event_id AS change, 0 AS sub FROM {_CHANGES} WHERE (NOT born AND u0 > 20 AND u0 <= 40) OR (NOT died AND u1 > 20 AND u1 <= 40) UNION ALL SELECT event_id, 1 FROM {_CHANGES} WHERE (NOT born AND s0 = 'view-3') OR (NOT died AND s1 = 'view-3') UNION ALL SELECT event_id, 2 FROM {_CHANGES} WHERE event_id = 77 UNION ALL SELECT event_id, 0 FROM {_CHANGES} WHERE born AND died UNION ALL SELECT event_id, 1 FROM {_CHANGES} WHERE born AND died UNION ALL SELECT event_id, 2 FROM {_CHANGES} WHERE born AND died AND event_id <> 77")
 def dependencies_of_queries(spark, d):
     """Pairs of changes and the dependencies that built queries declare: a range, an equality, a document."""
-    from lodestrata.plans.query import eq, gt, lte
+    from lodestrata.plans.query import Query, eq, gt, lte
+    from lodestrata.types import TableSpec
 
     changes = _changes(spark, d)
-    rows = D.dependency_rows(spark, [(0, Dependency("range", "events", (gt("u", 20), lte("u", 40)))), (1, Dependency("range", "events", (eq("s", "view-3"),))), (2, Dependency("point", "events", id=77))])
+    events = Query(t(spark, d, "events"), TableSpec("events", indexes={"by_u": ("u",), "by_s": ("s", "u")}))
+    queries = [events.with_index("by_u", gt("u", 20), lte("u", 40)), events.with_index("by_s", eq("s", "view-3"))]
+    rows = D.dependency_rows(spark, [*[(k, q.dependency()) for k, q in enumerate(queries)], (2, Dependency("point", "events", id=77))])
     return D.touched(changes, _keys(changes), rows)

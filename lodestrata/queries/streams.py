@@ -5,24 +5,32 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.queries.registry import query, t
+from lodestrata.sources.tables import shared_folder
 from lodestrata.streaming import feeds
 
 
+def _files(spark, d, name: str, files: int = 3) -> tuple:
+    """A folder with a table in several files, which a stream takes one in a batch, and its schema."""
+    table, folder = t(spark, d, name), shared_folder(spark, f"stream-{name}")
+    table.repartition(files).write.parquet(folder)
+    return folder, table.schema
+
+
 @query("SELECT conv_id, max(turn) AS seq FROM conversations GROUP BY conv_id")
 def stream_latest_seq(spark, d):
     """The newest number of each conversation, folded over micro-batches."""
-    return feeds.fold_latest(spark, f"{d}/conversations.parquet", t(spark, d, "conversations").schema, "conv_id", "turn").select("conv_id", F.col("turn").alias("seq"))
+    return feeds.fold_latest(spark, *_files(spark, d, "conversations"), "conv_id", "turn", 1).select("conv_id", F.col("turn").alias("seq"))
 
 
 @query("SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) // 1000000 AS hour_s, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_hourly_counts(spark, d):
-    return feeds.hourly_counts(spark, f"{d}/events.parquet", t(spark, d, "events").schema)
+    return feeds.hourly_counts(spark, *_files(spark, d, "events"), 1)
 
 
 @query("SELECT (epoch_us(ts) // 10800000000 - k) * 10800 AS start_s, event_type, count(*) AS n FROM events, (VALUES (0), (1)) AS w(k) GROUP BY 1, 2")
 def stream_sliding_counts(spark, d):
     """Counts in windows of six hours that slide by three."""
-    return feeds.window_counts(spark, f"{d}/events.parquet", t(spark, d, "events").schema, "6 hours", "3 hours")
+    return feeds.window_counts(spark, *_files(spark, d, "events"), "6 hours", "3 hours", 1)
 
 
 @query(
@@ -31,4 +39,4 @@ def stream_sliding_counts(spark, d):
 )
 def stream_sessions(spark, d):
     """Each user's sessions, which end after two hours without an event."""
-    return feeds.session_counts(spark, f"{d}/events.parquet", t(spark, d, "events").schema, "2 hours")
+    return feeds.session_counts(spark, *_files(spark, d, "events"), "2 hours", 1)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodestrata.functions import scalars as S
-from lodestrata.functions.cron import next_fire
+from lodestrata.functions.cron import daily, hourly, monthly, next_fire, weekly
 from lodestrata.queries.registry import query, t
 
 
@@ -105,6 +105,21 @@ def cron_next(spark, d):
     return t(spark, d, "orders").select("o_orderkey", next_fire(text, now).alias("next_ms"))
 
 
+@query(
+    "WITH c AS (SELECT c_custkey, c_custkey % 4 AS kind, c_custkey % 60 AS m, c_custkey % 24 AS h, 28000000 + c_custkey * 977 AS now FROM customer), "
+    "x AS (SELECT *, now // 1440 AS day, now % 1440 AS tod, h * 60 + m AS slot FROM c), "
+    "d AS (SELECT *, CASE kind WHEN 0 THEN NULL WHEN 1 THEN day + (CASE WHEN slot > tod THEN 0 ELSE 1 END) WHEN 2 THEN day + (CASE WHEN (day + 4) % 7 = 2 AND slot > tod THEN 0 ELSE (2 - (day + 4) % 7 + 6) % 7 + 1 END) "
+    "ELSE (CASE WHEN day(DATE '1970-01-01' + day::INT) < 10 OR (day(DATE '1970-01-01' + day::INT) = 10 AND slot > tod) THEN date_trunc('month', DATE '1970-01-01' + day::INT)::DATE + 9 ELSE (date_trunc('month', DATE '1970-01-01' + day::INT) + INTERVAL 1 MONTH)::DATE + 9 END) - DATE '1970-01-01' END AS fire_day FROM x) "
+    "SELECT c_custkey, CAST((CASE WHEN kind = 0 THEN now - tod % 60 + m + (CASE WHEN m > tod % 60 THEN 0 ELSE 60 END) ELSE fire_day * 1440 + slot END) * 60000 AS BIGINT) AS next_ms FROM d"
+)
+def schedules_next(spark, d):
+    """The next fire of hourly, daily, weekly and monthly schedules."""
+    c, k = t(spark, d, "customer"), F.col("c_custkey")
+    m, h = k % 60, k % 24
+    text = F.when(k % 4 == 0, hourly(m)).when(k % 4 == 1, daily(h, m)).when(k % 4 == 2, weekly(F.lit("tuesday"), h, m)).otherwise(monthly(F.lit(10), h, m))
+    return c.select("c_custkey", next_fire(text, (28000000 + k * 977) * 60000).alias("next_ms"))
+
+
 @query("SELECT event_id, user_id * 1000 + 30000 AS lease_expires FROM events")
 def lease_times(spark, d):
     return t(spark, d, "events").select("event_id", S.lease_until(F.col("user_id") * 1000).alias("lease_expires"))

@@ -1,4 +1,4 @@
-"""Tables in storage: reading and writing by declaration, versioned tables with idempotent commits, blobs, cached query results."""
+"""Tables in storage: reading and writing by declaration, segments of stored indexes, blobs."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.operators.writes import latest_by_key
+from lodestrata.sources.store import Conflict, Manifests
 from lodestrata.types import TableSpec
 
 FORMATS = ("parquet", "json", "orc", "csv")
@@ -56,72 +56,39 @@ def decode_json(df: DataFrame, column: str, spec: TableSpec) -> DataFrame:
     return df.withColumn("_doc", F.from_json(column, spec.schema())).select(*[c for c in df.columns if c != column], "_doc.*")
 
 
-class VersionedTable:
-    """A folder of numbered snapshots; the newest finished one is the table. A number that is there isn't written again, so a batch that is retried counts once."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _fs(self, path: str):
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
-
-    def versions(self) -> list[int]:
-        fs, at = self._fs(self.path)
-        if not fs.exists(at):
-            return []
-        done = lambda n: fs.exists(self._fs(f"{self.path}/{n}/_SUCCESS")[1])
-        return sorted(int(n[1:]) for n in (s.getPath().getName() for s in fs.listStatus(at)) if n.startswith("v") and n[1:].isdigit() and done(n))
-
-    def read(self) -> DataFrame | None:
-        have = self.versions()
-        return self.spark.read.parquet(f"{self.path}/v{have[-1]}") if have else None
-
-    def commit(self, df: DataFrame, version: int) -> bool:
-        have = self.versions()
-        if have and version <= have[-1]:
-            return False
-        df.write.mode("overwrite").parquet(f"{self.path}/v{version}")
-        return True
-
-    def vacuum(self, keep: int = 2) -> None:
-        for n in self.versions()[:-keep]:
-            fs, at = self._fs(f"{self.path}/v{n}")
-            fs.delete(at, True)
-
-
 class Segments:
-    """A folder of numbered segments that are added and never changed. One writer at a time; a segment without its mark of success isn't there."""
+    """Numbered segments that are added and never changed, listed by the versions of a manifest: of writers at the same time each gets its own number, in the order of their commits."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.manifests = Manifests(spark, self.path)
+
+    def _listed(self) -> list[tuple[int, str]]:
+        return [tuple(x) for x in self.manifests.newest()[1].get("segments", [])]
 
     def segments(self) -> list[int]:
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        at = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = at.getFileSystem(conf)
-        if not fs.exists(at):
-            return []
-        there = lambda n: fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))
-        return sorted(int(n[1:]) for n in (x.getPath().getName() for x in fs.listStatus(at)) if n.startswith("s") and n[1:].isdigit() and there(n))
+        return [n for n, _ in self._listed()]
 
     def append(self, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/s{max(self.segments(), default=-1) + 1}")
+        folder = uuid.uuid4().hex
+        rows.write.parquet(f"{self.path}/data/{folder}")
+        while True:
+            version, state = self.manifests.newest()
+            have = state.get("segments", [])
+            try:
+                self.manifests.publish(version + 1, {"segments": [*have, [have[-1][0] + 1 if have else 0, folder]]})
+                return
+            except Conflict:
+                continue
 
     def rows(self, condition: Column | None = None) -> DataFrame:
         """The rows of all segments, each with its ``segment``."""
-        parts = [self.spark.read.parquet(f"{self.path}/s{n}").where(F.lit(True) if condition is None else condition).withColumn("segment", F.lit(n)) for n in self.segments()]
+        parts = [self.spark.read.parquet(f"{self.path}/data/{folder}").where(F.lit(True) if condition is None else condition).withColumn("segment", F.lit(n)) for n, folder in self._listed()]
         if not parts:
             raise ValueError("the index is empty")
         return reduce(DataFrame.unionByName, parts)
 
 
-def read_blobs(spark: SparkSession, path: str) -> DataFrame:
-    """Files with size and digest."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.col("length").alias("size"), F.base64(F.unhex(F.sha2("content", 256))).alias("sha256"), "content")
-
-
 def put_blobs(df: DataFrame, content: str) -> DataFrame:
     """Metadata columns for a binary column, and new ids."""
     return df.withColumn("storage_id", F.uuid()).withColumn("size", F.octet_length(content).cast("long")).withColumn("sha256", F.base64(F.unhex(F.sha2(content, 256))))
@@ -129,43 +96,3 @@ def put_blobs(df: DataFrame, content: str) -> DataFrame:
 
 def delete_blobs(blobs: DataFrame, ids: DataFrame) -> DataFrame:
     return blobs.join(ids.select("storage_id"), "storage_id", "left_anti")
-
-
-class ResultCache:
-    """Query results by (name, arguments), newest last; kept as snapshots."""
-
-    KEY = ["ref_name", "args_hash"]
-
-    def __init__(self, table: VersionedTable):
-        self.table = table
-
-    def put(self, rows: DataFrame) -> None:
-        """rows: ref_name, args_hash, value_json, received_at, .. ; of equal keys the last received wins."""
-        have = self.table.read()
-        every = rows if have is None else have.unionByName(rows, allowMissingColumns=True)
-        self.table.commit(latest_by_key(every, self.KEY, [F.col("received_at").desc()]), self._next())
-
-    def prune(self, older_than: Column | int) -> int:
-        """Drops results received before; returns how many."""
-        have = self.table.read()
-        if have is None:
-            return 0
-        gone = have.where(F.col("received_at") < older_than).count()
-        self.table.commit(have.where(F.col("received_at") >= older_than), self._next())
-        return gone
-
-    def evict(self, most: int, pinned: Column | None = None) -> None:
-        """Keeps the newest results up to a number, and all pinned ones."""
-        have = self.table.read()
-        if have is None:
-            return
-        fixed = F.lit(False) if pinned is None else pinned
-        kept = have.where(~fixed).orderBy(F.col("received_at").desc(), *self.KEY).limit(most)
-        self.table.commit(kept.unionByName(have.where(fixed)), self._next())
-
-    def get(self, ref_name: str, args_hash: str) -> DataFrame | None:
-        have = self.table.read()
-        return None if have is None else have.where((F.col("ref_name") == ref_name) & (F.col("args_hash") == args_hash))
-
-    def _next(self) -> int:
-        return max(self.table.versions(), default=-1) + 1

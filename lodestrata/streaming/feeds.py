@@ -1,7 +1,7 @@
 """Change feeds as streams: folds into snapshot tables, signals, deferred rows, windows.
 
-Each sink writes a snapshot under its batch's number, so a batch that is run again
-after a failure changes nothing.
+Each sink commits its batch under its number, so a batch that is run again after a
+failure changes nothing, and writes only the rows that the batch changed.
 """
 
 from __future__ import annotations
@@ -9,14 +9,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from lodestrata.operators.changes import advance
-from lodestrata.sources.tables import VersionedTable, shared_folder
+from lodestrata.sources.store import DELETED, Store, Table
+from lodestrata.sources.tables import shared_folder
 
 
 def stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 64) -> DataFrame:
@@ -28,14 +29,16 @@ def stream(spark: SparkSession, path: str, schema: StructType, files_per_batch:
     return reader.parquet(path)
 
 
-def into_table(rows: DataFrame, table: VersionedTable, merge: Callable[[DataFrame | None, DataFrame], DataFrame], checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Merges each batch into the table; reads all that is there and ends."""
+Merge = Callable[[DataFrame | None, DataFrame], DataFrame]
+
+
+def into_store(rows: DataFrame, store: Store, name: str, merge: Merge, checkpoint: str) -> StreamingQuery:
+    """Merges each batch into a table of the store: merge gets the rows that the batch's keys have there, and the batch. Reads all that is there and ends."""
 
     def sink(batch: DataFrame, number: int) -> None:
-        table.commit(merge(table.read(), batch), number)
-        table.vacuum()
+        store.update(name, batch, merge, writer=name, number=number)
 
-    return rows.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.writeStream.outputMode("append").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def _ran(query: StreamingQuery) -> None:
@@ -44,87 +47,90 @@ def _ran(query: StreamingQuery) -> None:
         raise query.exception()
 
 
-def fold_latest(spark: SparkSession, path: str, schema: StructType, key: str, seq: str) -> DataFrame:
-    """The largest number of each key over all batches; numbers never fall."""
-    folder = shared_folder(spark, "latest")
-    table = VersionedTable(spark, f"{folder}/table")
+def _folded(rows: DataFrame, tag: str, table: Table, merge: Merge, shape: str) -> DataFrame:
+    """The table that a stream leaves behind, after all that is there now."""
+    spark = rows.sparkSession
+    folder = shared_folder(spark, tag)
+    store = Store(spark, f"{folder}/table", {tag: table})
+    _ran(into_store(rows, store, tag, merge, f"{folder}/checkpoint"))
+    done = store.read(tag)
+    return spark.createDataFrame([], shape) if done is None else done
+
+
+def _added(keys: list[str]) -> Merge:
+    """Each batch's own counts are added to those before."""
 
     def merge(old: DataFrame | None, batch: DataFrame) -> DataFrame:
-        top = batch.groupBy(key).agg(F.max(seq).alias(seq))
-        return top if old is None else advance(old, top, [key], seq)
+        counts = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        return counts if old is None else old.unionByName(counts).groupBy(*keys).agg(F.sum("n").alias("n"))
 
-    _ran(into_table(stream(spark, path, schema).select(key, seq), table, merge, f"{folder}/checkpoint"))
-    done = table.read()
-    return spark.createDataFrame([], StructType([f for f in schema if f.name in (key, seq)])) if done is None else done
+    return merge
 
 
-def hourly_counts(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Rows by hour and kind: each batch's own counts are added to those before. Rows of any age count; ``windowed`` is for bounded lateness."""
-    folder = shared_folder(spark, "hourly")
-    table = VersionedTable(spark, f"{folder}/table")
-    keys = ["hour_s", "event_type"]
-    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(CAST(ts AS TIMESTAMP) AS TIMESTAMP_NTZ))")
-    hour = F.expr("(us - pmod(us, 3600000000)) div 1000000")
-    rows = stream(spark, path, schema).withColumn("us", micros).select(hour.alias("hour_s"), "event_type")
+def fold_latest(spark: SparkSession, path: str, schema: StructType, key: str, seq: str, files_per_batch: int = 64) -> DataFrame:
+    """The largest number of each key over all batches; numbers never fall."""
 
     def merge(old: DataFrame | None, batch: DataFrame) -> DataFrame:
-        counts = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        return counts if old is None else old.unionByName(counts).groupBy(*keys).agg(F.sum("n").alias("n"))
+        top = batch.groupBy(key).agg(F.max(seq).alias(seq))
+        return top if old is None else advance(old, top, [key], seq)
 
-    _ran(into_table(rows, table, merge, f"{folder}/checkpoint"))
-    done = table.read()
-    return spark.createDataFrame([], "hour_s long, event_type string, n long") if done is None else done
+    kind = lambda c: schema[c].dataType.simpleString()
+    return _folded(stream(spark, path, schema, files_per_batch).select(key, seq), "latest", Table((key,)), merge, f"{key} {kind(key)}, {seq} {kind(seq)}")
 
 
-def _kept(spark: SparkSession, counts: DataFrame, tag: str) -> DataFrame:
-    """The whole result of counts without a watermark, after all that is there now."""
-    folder = shared_folder(spark, tag)
-    table = VersionedTable(spark, f"{folder}/table")
-    _ran(into_table(counts, table, lambda old, batch: batch, f"{folder}/checkpoint", "complete"))
-    done = table.read()
-    return spark.createDataFrame([], counts.schema) if done is None else done
+def hourly_counts(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 64) -> DataFrame:
+    """Rows by hour and kind, of any age; ``windowed`` is for bounded lateness."""
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(CAST(ts AS TIMESTAMP) AS TIMESTAMP_NTZ))")
+    hour = F.expr("(us - pmod(us, 3600000000)) div 1000000")
+    rows = stream(spark, path, schema, files_per_batch).withColumn("us", micros).select(hour.alias("hour_s"), "event_type")
+    keys = ["hour_s", "event_type"]
+    return _folded(rows, "hourly", Table(tuple(keys)), _added(keys), "hour_s long, event_type string, n long")
 
 
 #: An event's wall-clock time as an instant in UTC, by which windows are aligned in every session's zone.
 _INSTANT = "timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(CAST(ts AS TIMESTAMP) AS TIMESTAMP_NTZ)))"
 
 
-def window_counts(spark: SparkSession, path: str, schema: StructType, size: str, slide: str | None = None) -> DataFrame:
-    """Rows by window of event time and kind."""
-    rows = stream(spark, path, schema).withColumn("ts", F.expr(_INSTANT))
-    counts = windowed(rows, "ts", size, None, [F.col("event_type")], slide)
-    return _kept(spark, counts.select(F.unix_seconds("window.start").alias("start_s"), "event_type", F.col("count").alias("n")), "windows")
+def window_counts(spark: SparkSession, path: str, schema: StructType, size: str, slide: str | None = None, files_per_batch: int = 64) -> DataFrame:
+    """Rows by window of event time and kind. Counts live in the store, so the stream itself keeps no state, and a row of any age is added to its windows."""
+    rows = stream(spark, path, schema, files_per_batch).withColumn("ts", F.expr(_INSTANT))
+    w = F.window("ts", size, slide) if slide else F.window("ts", size)
+    keys = ["start_s", "event_type"]
+    return _folded(rows.select(w.alias("w"), "event_type").select(F.unix_seconds("w.start").alias("start_s"), "event_type"), "windows", Table(tuple(keys)), _added(keys), "start_s long, event_type string, n long")
 
 
-def session_counts(spark: SparkSession, path: str, schema: StructType, gap: str) -> DataFrame:
-    """Rows by user and session."""
-    rows = stream(spark, path, schema).withColumn("ts", F.expr(_INSTANT))
-    counts = sessions(rows, "ts", gap, None, [F.col("user_id")])
-    return _kept(spark, counts.select("user_id", F.unix_micros("session.start").alias("start_us"), F.col("count").alias("n")), "sessions")
-
-
-def change_sink(table: VersionedTable, key: str) -> Callable[[DataFrame | None, DataFrame], DataFrame]:
-    """A merge for change rows (key, seq, kind, ..): the last change of each key wins, deletes remove."""
-    from lodestrata.operators.writes import latest_by_key
+def merged_sessions(gap_us: int) -> Merge:
+    """A batch's rows (user_id, us) and the users' sessions before (user_id, start_us, end_us, n) as sessions: a new one begins where the gap since all rows before is over. A session that another one swallowed is deleted."""
 
     def merge(old: DataFrame | None, batch: DataFrame) -> DataFrame:
-        last = latest_by_key(batch, [key], [F.col("seq").desc()])
-        live = last.where("kind <> 'delete'")
-        return live if old is None else old.join(last.select(key), key, "left_anti").unionByName(live)
+        fresh = batch.groupBy("user_id", "us").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("us").alias("start_us"), F.col("us").alias("end_us"), "n")
+        every = fresh if old is None else fresh.unionByName(old)
+        by_user = Window.partitionBy("user_id").orderBy("start_us", "end_us")
+        reached = F.max("end_us").over(by_user.rowsBetween(Window.unboundedPreceding, -1))
+        begins = every.withColumn("fresh", F.when(F.col("start_us") - reached < gap_us, 0).otherwise(1))
+        grouped = begins.withColumn("s", F.sum("fresh").over(by_user.rowsBetween(Window.unboundedPreceding, 0))).groupBy("user_id", "s")
+        now = grouped.agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.sum("n").alias("n")).drop("s").withColumn(DELETED, F.lit(False))
+        if old is None:
+            return now
+        key = [old["user_id"].eqNullSafe(now["user_id"]), old["start_us"] == now["start_us"]]
+        return now.unionByName(old.join(now, key, "left_anti").withColumn(DELETED, F.lit(True)))
 
     return merge
 
 
-def pulls_due(signals: DataFrame, pulled: VersionedTable, key: list[str]) -> Callable[[DataFrame, int], DataFrame]:
-    """For foreachBatch: of a batch's signals (key, seq) those newer than what was pulled, one for each key."""
-    from lodestrata.operators.changes import needed_pulls
+def session_counts(spark: SparkSession, path: str, schema: StructType, gap: str, files_per_batch: int = 64) -> DataFrame:
+    """Rows by user and session; late rows may join two sessions."""
+    gap_us = spark.sql(f"SELECT unix_micros(TIMESTAMP '1970-01-01 00:00:00Z' + INTERVAL {gap})").first()[0]
+    rows = stream(spark, path, schema, files_per_batch).select("user_id", F.unix_micros(F.expr(_INSTANT)).alias("us"))
+    kind = schema["user_id"].dataType.simpleString()
+    return _folded(rows, "sessions", Table(("user_id", "start_us"), by=("user_id",)), merged_sessions(gap_us), f"user_id {kind}, start_us long, end_us long, n long").select("user_id", "start_us", "n")
 
-    def due(batch: DataFrame, number: int) -> DataFrame:
-        have = pulled.read()
-        done = batch.sparkSession.createDataFrame([], batch.select(*key, "seq").schema) if have is None else have
-        return needed_pulls(batch, done, key)
 
-    return due
+def change_sink(key: str) -> Merge:
+    """A merge for change rows (key, seq, kind, ..): the last change of each key wins, deletes remove."""
+    from lodestrata.operators.writes import latest_by_key
+
+    return lambda old, batch: latest_by_key(batch, [key], [F.col("seq").desc()]).withColumn(DELETED, F.col("kind") == "delete")
 
 
 def deferred(rows: DataFrame, key: str, ready: str, tries: int = 8, first_ms: int = 25, most_ms: int = 1000) -> DataFrame:

@@ -14,7 +14,8 @@ from lodestrata.operators import search as T
 from lodestrata.operators import vector as V
 from lodestrata.operators import windows as W
 from lodestrata.queries.search import DOCS, VECTORS
-from lodestrata.sources.tables import ResultCache, VersionedTable, decode_json, read_table, write_table
+from lodestrata.sources.store import Store, Table
+from lodestrata.sources.tables import decode_json, read_table, write_table
 from lodestrata.streaming import feeds
 from lodestrata.types import TableSpec, v
 
@@ -40,7 +41,32 @@ def test_cron_limits():
         with pytest.raises(ValueError):
             C.Cron(bad).after(0)
     assert C.interval_after(1000, 300, 1950) == 2200 and C.interval_after(1000, 300, 10) == 1000
-    assert C.monthly_after(31, 0, 0, at("2024-03-31T01:00")) == at("2024-05-31T00:00")
+    assert C.Cron("0 0 31 * *").after(at("2024-03-31T01:00")) == at("2024-05-31T00:00")
+
+
+def test_fires_minute_by_minute():
+    """Whole columns give what trying minute after minute gives."""
+    import datetime as dt
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    for text in ("7 3,15 * * *", "*/20 0 1,31 * *", "0 12 29 2 *", "30 6 13 * 5", "59 23 * 12 0", "0 0 * * 7"):
+        minutes, hours, days, months, week, any_day, any_week = C.Cron(text).fields()
+        starts = [rng.randint(27_000_000, 30_000_000) for _ in range(12)]
+        got = C.fires(text, np.array(starts, np.int64)).tolist()
+        for start, found in zip(starts, got, strict=True):
+            want = -1
+            for day in range(start // 1440, start // 1440 + 368):
+                date = dt.date(1970, 1, 1) + dt.timedelta(days=day)
+                a, b = date.day in days, (date.weekday() + 1) % 7 in week
+                if date.month in months and (b if any_day and not any_week else a if any_week else a or b):
+                    later = [m for h in hours for x in minutes if (m := day * 1440 + 60 * h + x) > start]
+                    if later:
+                        want = min(later)
+                        break
+            assert found == (want if want < start + 1 + 366 * 1440 else -1)
 
 
 def test_rich_text():
@@ -126,17 +152,6 @@ def test_tables_round_trip(spark, tmp_path):
     assert decode_json(docs, "data", spec).drop("row").collect() == df.collect()
 
 
-def test_versions_and_cache(spark, tmp_path):
-    table = VersionedTable(spark, str(tmp_path / "v"))
-    assert table.read() is None and table.commit(spark.range(3), 0) and not table.commit(spark.range(9), 0)
-    assert table.read().count() == 3
-    cache = ResultCache(VersionedTable(spark, str(tmp_path / "c")))
-    row = lambda key, value, time: spark.createDataFrame([("q", key, value, time)], "ref_name string, args_hash string, value_json string, received_at long")
-    for r in (row("a", "1", 1), row("b", "2", 2), row("a", "3", 3)):
-        cache.put(r)
-    assert cache.get("q", "a").first().value_json == "3" and cache.prune(3) == 1 and cache.table.read().count() == 1
-
-
 def test_deferred_stream(spark, tmp_path):
     """A row whose references are there passes; one that waits in vain is dropped after its last try."""
     spark.createDataFrame([(1, True, "x"), (2, False, "y")], "id long, ready boolean, payload string").coalesce(1).write.parquet(str(tmp_path / "in"))
@@ -152,6 +167,59 @@ def test_deferred_stream(spark, tmp_path):
     assert got == [(1, "x", "resolved"), (2, "y", "dropped")]
 
 
+def _until(rows, name, n, checkpoint, seconds=90):
+    """The rows of a running stream, once there are n of them."""
+    q = rows.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(processingTime="300 milliseconds").start()
+    try:
+        end, got = time.time() + seconds, []
+        while time.time() < end and len(got) < n:
+            time.sleep(0.5)
+            got = sorted(tuple(r) for r in q.sparkSession.table(name).collect())
+        return got
+    finally:
+        q.stop()
+
+
+def test_deferred_rows_wait_up_to_eight_times(spark, tmp_path):
+    """A reference that comes after some waits counts; without it the row goes after the eighth."""
+    shape = "id long, ready boolean, payload string"
+    spark.createDataFrame([(1, False, "late"), (2, False, "never")], shape).coalesce(1).write.parquet(str(tmp_path / "in"))
+    rows = feeds.stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+    waiting = feeds.deferred(rows, "id", "ready", tries=8, first_ms=25, most_ms=1000)
+
+    def later():
+        time.sleep(3)
+        spark.createDataFrame([(1, True, None)], shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    import threading
+
+    thread = threading.Thread(target=later)
+    thread.start()
+    started = time.time()
+    got = _until(waiting, "deferred_eight", 2, str(tmp_path / "cp"))
+    thread.join()
+    assert got == [(1, "late", "resolved"), (2, "never", "dropped")] and time.time() - started > (25 + 50 + 100 + 200 + 400 + 800 + 1000) / 1000
+
+
+def test_first_seen_within_a_grace(spark, tmp_path):
+    """A repeat within three seconds is left out; once they are over by the watermark, the key counts anew."""
+    at_second = lambda *rows: spark.createDataFrame(rows, "k string, s long").select("k", F.timestamp_seconds("s").alias("at"))
+    parts = [at_second(("a", 100), ("a", 101), ("b", 100)), at_second(("z", 200)), at_second(("a", 201), ("a", 202))]
+    import os
+
+    for k, part in enumerate(parts):
+        part.coalesce(1).write.parquet(str(tmp_path / f"p{k}"))
+        os.makedirs(tmp_path / "in", exist_ok=True)
+        (f,) = (tmp_path / f"p{k}").glob("*.parquet")
+        os.utime(f.rename(tmp_path / "in" / f"{k}.parquet"), (1e9 + k, 1e9 + k))
+    rows = feeds.stream(spark, str(tmp_path / "in"), parts[0].schema, 1)
+    seen = feeds.first_seen_within(rows, "k", "at").select("k", F.unix_seconds("at").alias("s"))
+    q = seen.writeStream.format("memory").queryName("first_seen").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted((r.k, r.s // 100) for r in spark.table("first_seen").collect())
+    assert got == [("a", 1), ("a", 2), ("b", 1), ("z", 2)]
+
+
 def test_register_resolvers_see_counted_entries(spark):
     """A hot document's entries never meet in one frame; a resolver gets a row for each distinct value."""
     ops = spark.range(6000).select(F.lit(7).alias("doc"), F.col("id").alias("pos"), (F.col("id") % 50).alias("ts"), F.when(F.col("id") < 2500, "b").when(F.col("id") < 5000, "a").otherwise("c").alias("value"))
@@ -162,11 +230,9 @@ def test_register_resolvers_see_counted_entries(spark):
     assert {tuple(r) for r in rule.collect()} == {(7, "a"), (8, "x")} and "Pandas" not in rule._jdf.queryExecution().executedPlan().toString()
 
 
-def test_hourly_counts_keep_old_rows_of_later_batches(spark, tmp_path, monkeypatch):
+def test_hourly_counts_keep_old_rows_of_later_batches(spark, tmp_path):
     import os
 
-    whole = feeds.stream
-    monkeypatch.setattr(feeds, "stream", lambda spark, path, schema: whole(spark, path, schema, 1))
     times = [["2025-03-01 10:59:59.999999", "2025-03-01 10:00:00"], ["2021-03-01 10:30:00", "1969-12-31 23:30:00", None], ["2025-03-01 10:10:00", "2021-03-01 10:31:00"], ["2021-03-01 10:32:00"]]
     for k, at_times in enumerate(times):
         df = spark.createDataFrame([(x, "view") for x in at_times], "ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -174,7 +240,7 @@ def test_hourly_counts_keep_old_rows_of_later_batches(spark, tmp_path, monkeypat
         for f in (tmp_path / "events").glob("*.parquet"):
             if not f.name.startswith("done"):
                 os.utime(f.rename(f.with_name(f"done-{k}-{f.name}")), (1e9 + k, 1e9 + k))
-    got = {(r.hour_s, r.event_type, r.n) for r in feeds.hourly_counts(spark, str(tmp_path / "events"), df.schema).collect()}
+    got = {(r.hour_s, r.event_type, r.n) for r in feeds.hourly_counts(spark, str(tmp_path / "events"), df.schema, 1).collect()}
     hour = lambda text: at(text) // 1000
     assert got == {(hour("2025-03-01T10:00"), "view", 3), (hour("2021-03-01T10:00"), "view", 3), (-3600, "view", 1), (None, "view", 1)}
 
@@ -182,10 +248,10 @@ def test_hourly_counts_keep_old_rows_of_later_batches(spark, tmp_path, monkeypat
 def test_change_stream(spark, tmp_path):
     log = spark.createDataFrame([("a", 0, "upsert"), ("b", 1, "upsert"), ("a", 2, "delete"), ("c", 3, "upsert")], "id string, seq long, kind string")
     log.repartition(4, "id").write.parquet(str(tmp_path / "log"))
-    table = VersionedTable(spark, str(tmp_path / "live"))
+    store = Store(spark, (tmp_path / "live").as_uri(), {"live": Table(("id",))})
     rows = feeds.stream(spark, str(tmp_path / "log"), log.schema, 1)
-    feeds.into_table(rows, table, feeds.change_sink(table, "id"), str(tmp_path / "cp")).awaitTermination()
-    assert {r.id for r in table.read().collect()} == {"b", "c"}
+    feeds.into_store(rows, store, "live", feeds.change_sink("id"), str(tmp_path / "cp")).awaitTermination()
+    assert {r.id for r in store.read("live").collect()} == {"b", "c"}
 
 
 def test_percentiles_of_odd_values(spark):
