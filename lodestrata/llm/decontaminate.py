@@ -25,7 +25,8 @@ worker makes a block's index once, of about 16 bytes for each byte of text. Noth
 the driver. Documents are scanned where they lie, whole, and never shuffled, very long ones in runs of
 ``CHUNK`` bytes of grams. Null and empty documents leak nothing; null items and items
 without a letter or digit hold nothing to find; equal items are reported each; repeated
-documents get their rows each; other columns are ignored by ``find_leaks`` and kept by
+documents get their rows each; edits and end are those of the first band that holds a
+window, so where a text repeats itself they may be of another place than the best one; other columns are ignored by ``find_leaks`` and kept by
 ``keep_clean``; empty tables give no leaks.
 """
 
