@@ -20,11 +20,15 @@ TOKEN = rf"([\p{{L}}\p{{N}}]{{1,{TOKEN_CHARS}}})[\p{{L}}\p{{N}}]*"
 
 
 @F.pandas_udf(StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    """NFKC for corpora that aren't normalised yet; skip it where they are."""
+def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def nfkc(text: Column) -> Column:
+    """NFKC for corpora that aren't normalised yet; skip it where they are. Only texts with signs beyond ASCII, which alone can change, go to Python."""
+    return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
 def tokens(text: Column) -> Column:
     """Runs of letters and digits, lower-cased, cut to TOKEN_CHARS; none for null."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(1))

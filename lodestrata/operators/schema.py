@@ -93,6 +93,40 @@ def migrate(df: DataFrame, stored: int, steps: dict[int, Step], target: int | No
     return df, target
 
 
+#: What a recovery may ask for: rows gone and the version at the target; or rows and version as the last whole step left them; or rows of its own.
+Recovery = str | Callable[[DataFrame], DataFrame]
+
+
+def migrate_recovering(df: DataFrame, stored: int, steps: dict[int, Step], on_error: Callable[[Exception, int, int], Recovery], target: int | None = None) -> tuple[DataFrame, int]:
+    """``migrate`` step by step, each written before the next begins, so a step that fails on a row leaves those before it in place.
+
+    on_error(error, version, target) then says what is to be done: 'reset', 'keep', 'retry'
+    (which both leave the last whole step's rows and version, to be tried again or not at
+    the next start), or a function that makes the rows of the target version.
+    """
+    from lodestrata.sources.tables import shared_folder
+
+    target = max([stored, *steps]) if target is None else target
+    if target < stored:
+        raise ValueError(f"version {stored} is newer than {target}")
+    spark, folder, version = df.sparkSession, shared_folder(df.sparkSession, "migration"), stored
+    for n in sorted(k for k in steps if stored < k <= target):
+        try:
+            after = steps[n](df)
+            after.write.parquet(f"{folder}/{n}")
+        except Exception as e:  # noqa: BLE001 - whatever a step raises is the caller's to judge
+            action = on_error(e, version, target)
+            if callable(action):
+                return action(df), target
+            if action == "reset":
+                return df.limit(0), target
+            if action in ("keep", "retry"):
+                return df, version
+            raise ValueError(f"unknown recovery {action!r}") from e
+        df, version = spark.read.schema(after.schema).parquet(f"{folder}/{n}"), n
+    return df, target
+
+
 def modify(df: DataFrame, columns: dict[str, Column], drop: Column | None = None, skip: Column | None = None) -> DataFrame:
     """A migration of rows: drop deletes, skip leaves alone, the others get the columns."""
     if drop is not None:

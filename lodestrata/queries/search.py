@@ -46,8 +46,8 @@ _INDEXES: dict[tuple, T.SearchIndex] = {}
 def _index(spark, d) -> T.SearchIndex:
     """The documents' index, made once in a session for each state of their files."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
-    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
-    key = (spark.sparkContext.applicationId, str(d), status.getModificationTime(), status.getLen())
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    key = (spark.sparkContext.applicationId, str(d), fs.getFileStatus(path).getModificationTime(), fs.getContentSummary(path).getLength())
     if key not in _INDEXES:
         _INDEXES[key] = T.SearchIndex(spark, shared_folder(spark, "search-index"), "text", "doc_id").add(t(spark, d, "documents"))
     return _INDEXES[key]

@@ -133,6 +133,16 @@ def migrate(spark, d):
     return S.migrate(part, 1, steps)[0].drop("p_type")
 
 
+@query("SELECT p_partkey, upper(p_name) AS p_name, p_size, 2 AS version FROM part")
+def migrate_recovery(spark, d):
+    """A step that fails on some rows: the table stays as the step before it left it."""
+    part = t(spark, d, "part").select("p_partkey", "p_name", "p_size")
+    failing = lambda df: df.withColumn("p_size", F.when(F.col("p_partkey") % 7 == 0, F.raise_error(F.lit("bad size")).cast("int")).otherwise(F.col("p_size")))
+    steps = {2: lambda df: df.withColumn("p_name", F.upper("p_name")), 3: failing, 4: lambda df: df.limit(0)}
+    rows, version = S.migrate_recovering(part, 1, steps, lambda error, version, target: "keep")
+    return rows.withColumn("version", F.lit(version))
+
+
 @query("SELECT p_partkey, p_name, CASE WHEN p_partkey % 3 = 0 THEN 99 ELSE p_size END AS p_size FROM part WHERE p_partkey % 3 = 0 AND p_size <> 99 AND p_brand <> 'Brand#11'")
 def backfill(spark, d):
     part = t(spark, d, "part")

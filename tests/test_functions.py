@@ -167,6 +167,29 @@ def test_deferred_stream(spark, tmp_path):
     assert got == [(1, "x", "resolved"), (2, "y", "dropped")]
 
 
+def test_migrations_recover(spark):
+    from lodestrata.operators.schema import migrate_recovering
+
+    df, seen = spark.range(4), []
+    steps = {2: lambda x: x.withColumn("a", F.col("id") * 2), 3: lambda x: x.withColumn("b", F.raise_error(F.lit("no"))), 5: lambda x: x.withColumn("c", F.lit(1))}
+
+    def by(action):
+        return lambda error, version, target: (seen.append((version, target)), action)[1]
+
+    kept, version = migrate_recovering(df, 1, steps, by("retry"))
+    assert version == 2 and sorted(r.a for r in kept.collect()) == [0, 2, 4, 6]
+    gone, version = migrate_recovering(df, 1, steps, by("reset"))
+    assert version == 5 and gone.columns == ["id", "a"] and gone.count() == 0
+    own, version = migrate_recovering(df, 1, steps, by(lambda x: x.select("id")))
+    assert version == 5 and own.count() == 4 and seen == [(2, 5)] * 3
+    whole, version = migrate_recovering(df, 3, steps, by("keep"))
+    assert version == 5 and whole.columns == ["id", "c"] and len(seen) == 3
+    with pytest.raises(ValueError):
+        migrate_recovering(df, 1, steps, by("other"))
+    with pytest.raises(ValueError):
+        migrate_recovering(df, 9, steps, by("keep"))
+
+
 def _until(rows, name, n, checkpoint, seconds=90):
     """The rows of a running stream, once there are n of them."""
     q = rows.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(processingTime="300 milliseconds").start()
