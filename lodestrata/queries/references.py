@@ -16,14 +16,14 @@ NATIONS = TableSpec("nation").with_field("boss", v.optional(v.union(v.null(), v.
 
 _EDGES = """
 edges AS (
-  SELECT 'customer' AS src_tbl, c_custkey::VARCHAR AS src, 'orders' AS tbl, CASE WHEN c_custkey % 9 = 0 THEN 'gone-' || c_custkey ELSE ((c_custkey * 31) % 60 + 1)::VARCHAR END AS id FROM customer WHERE c_custkey % 4 <> 0
+  SELECT 'customer' AS src_tbl, c_custkey::VARCHAR AS src, 'orders' AS tbl, CASE WHEN c_custkey % 9 = 0 THEN 'gone-' || c_custkey ELSE (c_custkey % 20 + 1)::VARCHAR END AS id FROM customer WHERE c_custkey % 4 <> 0
   UNION ALL SELECT 'customer', c_custkey::VARCHAR, 'nation', c_nationkey::VARCHAR FROM customer WHERE c_custkey % 4 <> 0
-  UNION ALL SELECT 'orders', o_orderkey::VARCHAR, 'customer', ((o_orderkey * 17) % 30 + 1)::VARCHAR FROM orders WHERE o_orderkey % 5 <> 0
+  UNION ALL SELECT 'orders', o_orderkey::VARCHAR, 'customer', (o_orderkey % 10 + 1)::VARCHAR FROM orders WHERE o_orderkey % 5 <> 0
   UNION ALL SELECT 'nation', n_nationkey::VARCHAR, 'customer', (n_nationkey % 30 * 4 + 4)::VARCHAR FROM nation)
 """
 _UNION_EDGES = """
 alternatives AS (
-  SELECT 'orders' AS src_tbl, o_orderkey::VARCHAR AS src, m.tbl, CASE WHEN o_orderkey % 3 = 0 THEN 'c' || o_orderkey ELSE ((o_orderkey * 7) % 40 + 1)::VARCHAR END AS id FROM orders, (VALUES ('orders'), ('customer')) AS m(tbl))
+  SELECT 'orders' AS src_tbl, o_orderkey::VARCHAR AS src, m.tbl, CASE WHEN o_orderkey % 3 = 0 THEN 'c' || o_orderkey ELSE (o_orderkey // 2 % 40 + 1)::VARCHAR END AS id FROM orders, (VALUES ('orders'), ('customer')) AS m(tbl))
 """
 _EXISTS = "(SELECT 'customer' AS tbl, c_custkey::VARCHAR AS id FROM customer UNION ALL SELECT 'orders', o_orderkey::VARCHAR FROM orders UNION ALL SELECT 'nation', n_nationkey::VARCHAR FROM nation)"
 _START = "SELECT 'customer' AS tbl, c_custkey::VARCHAR AS id FROM customer WHERE c_custkey % 50 = 7 UNION SELECT 'orders', 'none'"
@@ -33,11 +33,11 @@ def _tables(spark, d, following: bool):
     """Rows with their documents; following: orders also name the next order or customer."""
     c, o, n = (t(spark, d, name) for name in ("customer", "orders", "nation"))
     text = lambda x: x.cast("string")
-    order = F.when(F.col("c_custkey") % 9 == 0, F.concat(F.lit("gone-"), text(F.col("c_custkey")))).otherwise(text(F.col("c_custkey") * 31 % 60 + 1))
+    order = F.when(F.col("c_custkey") % 9 == 0, F.concat(F.lit("gone-"), text(F.col("c_custkey")))).otherwise(text(F.col("c_custkey") % 20 + 1))
     link = F.struct(order.alias("order"), F.create_map(F.lit("x"), text(F.col("c_nationkey"))).alias("seen"))
     links = F.filter(F.array(link), lambda _: F.col("c_custkey") % 4 != 0)
-    following_id = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("c"), text(F.col("o_orderkey")))).otherwise(text(F.col("o_orderkey") * 7 % 40 + 1))
-    body = F.struct(F.when(F.col("o_orderkey") % 5 != 0, text(F.col("o_orderkey") * 17 % 30 + 1)).alias("buyer"), (following_id if following else F.lit(None).cast("string")).alias("next"), F.lit("no id").alias("note"))
+    following_id = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("c"), text(F.col("o_orderkey")))).otherwise(text(F.floor(F.col("o_orderkey") / 2) % 40 + 1))
+    body = F.struct(F.when(F.col("o_orderkey") % 5 != 0, text(F.col("o_orderkey") % 10 + 1)).alias("buyer"), (following_id if following else F.lit(None).cast("string")).alias("next"), F.lit("no id").alias("note"))
     documents = lambda df, key, **fields: df.select(text(F.col(key)).alias("id"), F.to_variant_object(F.struct(*[f.alias(k) for k, f in fields.items()])).alias("doc"))
     return {
         "customer": (documents(c, "c_custkey", links=links), "id", "doc", CUSTOMERS),

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -164,9 +165,37 @@ def deferred(rows: DataFrame, key: str, ready: str, tries: int = 8, first_ms: in
     return rows.groupBy(key).applyInPandasWithState(step, shape, "payload string, tried int", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def first_seen_within(rows: DataFrame, key: str, at: str, grace: str = "3 seconds") -> DataFrame:
-    """Of rows with one key within the grace period only the first passes."""
-    return rows.withWatermark(at, grace).dropDuplicatesWithinWatermark([key])
+SIGNALS = {"seen": Table(("key",)), "passed": Table(("key", "at"), by=("key",))}
+
+
+def first_seen(store: Store, batch: DataFrame, number: int, grace: int, writer: str = "signals") -> bool:
+    """Of signals (key, at) with one key only the first passes, until its grace is over; then the next one does.
+
+    What passed last is kept for each key in the store (SIGNALS) and the signals that passed beside
+    it, in one commit a batch; one that comes late, before what passed last, is left out. A
+    key's signals of one batch are walked in order of their distinct times.
+    """
+
+    def walk(rows: pa.Table) -> pa.Table:
+        last, keep = rows["last"][0].as_py(), []
+        for at in sorted(rows["at"].to_pylist()):
+            if last is None or at >= last + grace:
+                keep.append(at)
+                last = at
+        key = pa.array([rows["key"][0].as_py()] * len(keep), rows.schema.field("key").type)
+        return pa.Table.from_arrays([key, pa.array(keep, pa.int64())], ["key", "at"])
+
+    def make(old: dict[str, DataFrame | None]) -> dict[str, DataFrame]:
+        rows = batch.select("key", "at").where("at IS NOT NULL").distinct()
+        if old["seen"] is None:
+            known = rows.withColumn("last", F.lit(None).cast("long"))
+        else:
+            before = old["seen"].select(F.col("key").alias("_key"), F.col("at").alias("last"))
+            known = rows.join(before, rows["key"].eqNullSafe(before["_key"]), "left").select("key", "at", "last")
+        passed = known.groupBy("key").applyInArrow(walk, rows.schema)
+        return {"seen": passed.groupBy("key").agg(F.max("at").alias("at")), "passed": passed}
+
+    return store.change(["seen", "passed"], batch, make, writer, number)
 
 
 def windowed(rows: DataFrame, at: str, size: str, lateness: str | None, by: list[Column], slide: str | None = None) -> DataFrame:
