@@ -190,7 +190,7 @@ def fails(text):
 
 def audit(rows, labels):
     """rows: doc_id, part, text; each document goes through each order."""
-    first, good, toxic = {}, {i for i, q, _ in labels if q == 1}, {i for i, _, x in labels if x == 1}
+    first, good, toxic = {}, {i for i, q, _ in labels if q == 1} - {None}, {i for i, _, x in labels if x == 1} - {None}
     for i, _, t in rows:
         if i is not None:
             first[t or ""] = min(i, first.get(t or "", i))
