@@ -51,9 +51,14 @@ def delete(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids.select(key), key, "left_anti")
 
 
-def upsert(df: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+def _key(key: str | list[str]) -> list[str]:
+    """The columns of a key, which may have several."""
+    return [key] if isinstance(key, str) else list(key)
+
+
+def upsert(df: DataFrame, rows: DataFrame, key: str | list[str]) -> DataFrame:
     """rows replace those of the same key and add the others; of rows with one key give the last one only."""
-    return df.join(rows.select(key), key, "left_anti").unionByName(rows)
+    return df.join(rows.select(*_key(key)), key, "left_anti").unionByName(rows)
 
 
 def latest_by_key(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
