@@ -80,11 +80,11 @@ def change_rows(before: DataFrame, after: DataFrame, key: str, columns: list[str
     return both.where(~F.col("before").eqNullSafe(F.col("after"))).select(key, op.alias("op"), "before", "after")
 
 
-def reconcile(local: DataFrame, remote: DataFrame, key: str, columns: list[str], scope: Column | None = None, delete_absent: bool = True, keep: DataFrame | None = None) -> DataFrame:
-    """What brings local to remote's state: (key, op, values). Equality is of ``columns`` alone; only local rows in scope may go, and none of keep."""
+def reconcile(local: DataFrame, remote: DataFrame, key: str | list[str], columns: list[str], scope: Column | None = None, delete_absent: bool = True, keep: DataFrame | None = None) -> DataFrame:
+    """What brings local to remote's state: (key, op, values); a key may have several columns. Equality is of ``columns`` alone; only local rows in scope may go, and none of keep."""
     mine = local if scope is None else local.where(scope)
-    a = mine.select(F.col(key), *[F.col(c).alias(f"_old_{c}") for c in columns], F.lit(True).alias("_local"))
-    b = remote.select(F.col(key), *columns, F.lit(True).alias("_remote"))
+    a = mine.select(*_key(key), *[F.col(c).alias(f"_old_{c}") for c in columns], F.lit(True).alias("_local"))
+    b = remote.select(*_key(key), *columns, F.lit(True).alias("_remote"))
     both = a.join(b, key, "full")
     same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_old_{c}")) for c in columns], F.lit(True))
     op = F.when(F.col("_remote").isNull(), "delete").when(F.col("_local").isNull(), "insert").when(~same, "update")
@@ -92,15 +92,15 @@ def reconcile(local: DataFrame, remote: DataFrame, key: str, columns: list[str],
     if not delete_absent:
         out = out.where("op <> 'delete'")
     if keep is not None:
-        kept = out.where("op = 'delete'").join(keep.select(key), key, "left_anti")
+        kept = out.where("op = 'delete'").join(keep.select(*_key(key)), key, "left_anti")
         out = out.where("op <> 'delete'").unionByName(kept)
-    return out.select(key, "op", *columns)
+    return out.select(*_key(key), "op", *columns)
 
 
-def apply_changes(df: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
+def apply_changes(df: DataFrame, changes: DataFrame, key: str | list[str], columns: list[str]) -> DataFrame:
     """df after insert, update and delete rows."""
-    kept = df.join(changes.select(key), key, "left_anti")
-    new = changes.where("op <> 'delete'").select(key, *columns)
+    kept = df.join(changes.select(*_key(key)), key, "left_anti")
+    new = changes.where("op <> 'delete'").select(*_key(key), *columns)
     return kept.unionByName(new, allowMissingColumns=True)
 
 
