@@ -18,10 +18,10 @@ from lodestrata.functions.scalars import uuid_of
 from lodestrata.operators.windows import numbered_all
 
 
-def insert(df: DataFrame, rows: DataFrame, id_column: str, creation: str, now_ms: float, order: list[Column], seed: int | None = None) -> DataFrame:
-    """df and rows, each with a new id and rising creation times after the newest there. Ids follow from a seed, drawn once, and the row's number, so a task that runs again gives the same."""
+def insert(df: DataFrame, rows: DataFrame, id_column: str, creation: str, now_ms: float, order: list[Column], seed: int | None = None, scope: Column | None = None) -> DataFrame:
+    """df and rows, each with a new id and rising creation times after the newest there, or the newest in scope where df holds several tables. Ids follow from a seed, drawn once, and the row's number, so a task that runs again gives the same."""
     seed = uuid.uuid4().int >> 66 if seed is None else seed
-    newest = df.agg(F.max(creation)).first()[0]
+    newest = (df if scope is None else df.where(scope)).agg(F.max(creation)).first()[0]
     start = now_ms if newest is None or now_ms > newest else newest + 0.001
     timed = numbered_all(rows, order, "_k").withColumn(id_column, uuid_of(F.lit(seed).cast("long") + F.col("_k"))).withColumn(creation, F.lit(float(start)) + F.col("_k") * 0.001)
     return df.unionByName(timed.drop("_k"), allowMissingColumns=True)

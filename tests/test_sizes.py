@@ -20,6 +20,6 @@ def twice(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["upsert", "apply_changes"])
+@pytest.mark.parametrize("name", ["upsert", "apply_changes", "insert"])
 def test_keys_of_another_origin(spark, twice, name):
     assert difference(QUERIES[name](spark, twice), connect(twice), SQL[name]) == ""
