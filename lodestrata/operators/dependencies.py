@@ -12,6 +12,8 @@ isn't above it; that makes every type a whole number, however the values are
 spread. An interval is then kept in the one or two bins that it touches of the bins at
 least as wide as itself; a change looks up its bin of each width in use, one for each
 power of two at most. Nothing is collected but those widths and the sizes of partitions.
+A few intervals, which are counted first, need no ranks: they go to every task, and no
+change is shuffled, however many changes have the same key.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from lodestrata.sources.tables import shared_folder
 #: A dependency's row. space names the table and the fields of an interval; lo is inside it, hi isn't.
 ROW = "sub long, tbl string, kind string, id string, space string, lo binary, hi binary"
 WHOLE = ("scan", "search", "vector")
+#: So many intervals are held against every key; where there are more, ranks find them.
+FEW = 200
 
 
 @dataclass(frozen=True)
@@ -111,9 +115,12 @@ def positions(ends: DataFrame, probes: DataFrame, partitions: int | None = None)
     return dealt.withColumn("pos", running + F.get(F.array(*[F.lit(b).cast("long") for b in before]), F.col("part"))).select("space", "key", "end", "pos")
 
 
-def touched_intervals(keys: DataFrame, intervals: DataFrame) -> DataFrame:
+def touched_intervals(keys: DataFrame, intervals: DataFrame, few: int = FEW) -> DataFrame:
     """Pairs change, sub, once each: changes (change, space, key_before, key_after) of which either key lies in an interval (sub, space, lo, hi)."""
-    real = intervals.where("lo < hi")
+    real = intervals.where("lo < hi").select("sub", "space", "lo", "hi")
+    if real.limit(few + 1).count() <= few:
+        holds = lambda c: F.coalesce((F.col(c) >= F.col("lo")) & (F.col(c) < F.col("hi")), F.lit(False))
+        return keys.join(F.broadcast(real), "space").where(holds("key_before") | holds("key_after")).select("change", "sub")
     ends = real.select("space", F.explode(F.array("lo", "hi")).alias("key"))
     sides = keys.select("space", F.explode(F.array("key_before", "key_after")).alias("key")).where("key IS NOT NULL")
     at = positions(ends, sides)
