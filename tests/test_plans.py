@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lodestrata.functions import canonical as C
 from lodestrata.operators import dependencies as D
 from lodestrata.queries import nested as N
 
@@ -18,3 +19,25 @@ def test_few_intervals_shuffle_no_change(spark):
     assert "SortMergeJoin" not in plan_of(few) and "hashpartitioning" not in plan_of(few)
     pairs = lambda df: sorted(map(tuple, df.collect()))
     assert pairs(few) == pairs(D.touched_intervals(keys, ranges, few=0))
+
+
+def test_plain_shapes_meet_no_python(spark):
+    rows = spark.sql("SELECT named_struct('a', 1L, 'l', array(1.5D)) AS x, named_struct('l', array(1.5D), 'a', 1L) AS y")
+    kind = lambda c: rows.schema[c].dataType
+    out = rows.select(C.structurally_equal(F.col("x"), kind("x"), F.col("y"), kind("y")).alias("same"))
+    assert "Python" not in plan_of(out) and out.first().same
+
+
+def test_equality_of_shapes_that_text_does_not_tell(spark):
+    nan = "CAST('NaN' AS DOUBLE)"
+    values = [
+        "parse_json('1')", "CAST(1L AS VARIANT)", "CAST(1.0D AS VARIANT)", "CAST(1.0F AS VARIANT)", "CAST(-0.0D AS VARIANT)", "CAST(0.0D AS VARIANT)", f"CAST({nan} AS VARIANT)", "CAST('NaN' AS VARIANT)", "CAST(NULL AS VARIANT)", "parse_json('null')",
+        f"to_variant_object(array(CAST({nan} AS VARIANT), CAST('NaN' AS VARIANT)))", f"to_variant_object(array(CAST('NaN' AS VARIANT), CAST({nan} AS VARIANT)))", "parse_json('1.5')", "CAST(1.5D AS VARIANT)", "parse_json('{\"a b\":1}')",
+        "CAST(X'61' AS VARIANT)", "CAST('YQ==' AS VARIANT)", "parse_json('[]')", "parse_json('{}')", "parse_json('[1,[null]]')",
+    ]
+    one = spark.sql(" UNION ALL ".join(f"SELECT {k} AS k, {v} AS v" for k, v in enumerate(values)))
+    pairs = one.crossJoin(one.select(F.col("k").alias("k2"), F.col("v").alias("w")))
+    kind = one.schema["v"].dataType
+    plain = C.canonical(F.col("v"), kind) == C.canonical(F.col("w"), kind)
+    for r in pairs.select("k", "k2", C.structurally_equal(F.col("v"), kind, F.col("w"), kind).alias("mine"), plain.alias("theirs")).collect():
+        assert r.mine == r.theirs, (values[r.k], values[r.k2])
