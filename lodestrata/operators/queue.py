@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -126,10 +127,17 @@ def backoff_ms(attempt: Column, base: int = 25, most: int = 1000) -> Column:
     return F.least(F.lit(most), F.lit(base) * F.pow(F.lit(2), attempt)).cast("long")
 
 
-def projection(remote: DataFrame, local: DataFrame, dirty: DataFrame, key: str) -> DataFrame:
-    """A remote snapshot as a reader with unsent changes sees it: dirty rows come from local, once, whatever remote has."""
-    clean = remote.join(dirty.select(key), key, "left_anti")
-    return clean.unionByName(local.join(dirty.select(key), key, "left_semi").dropDuplicates([key]))
+#: Rows that a task of a join gets, so that its memory doesn't grow with the tables.
+TASK_ROWS = 500_000
+
+
+def projection(remote: DataFrame, local: DataFrame, dirty: DataFrame, key: str, task_rows: int = TASK_ROWS) -> DataFrame:
+    """A remote snapshot as a reader with unsent changes sees it: dirty rows come from local, once, whatever remote has. Rows are dealt to as many tasks as their number asks for."""
+    sizes = [df.count() for df in (remote, local, dirty)]
+    n = max(int(remote.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(max(sizes) / task_rows))
+    theirs, mine, keys = (df.repartition(n, key) for df in (remote, local, dirty.select(key)))
+    clean = theirs.join(keys, key, "left_anti")
+    return clean.unionByName(mine.join(keys, key, "left_semi").dropDuplicates([key]))
 
 
 #: Rewrites the JSON texts (arguments, local result) of a queued call by one version.

@@ -1,9 +1,12 @@
 """What plans must hold, so that no task grows with the tables, and that other ways give the same results."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from lodestrata.functions import canonical as C
 from lodestrata.operators import dependencies as D
+from lodestrata.operators import queue as K
 from lodestrata.queries import nested as N
 
 SMALL = "/root/testdata/sf0.001"
@@ -41,3 +44,10 @@ def test_equality_of_shapes_that_text_does_not_tell(spark):
     plain = C.canonical(F.col("v"), kind) == C.canonical(F.col("w"), kind)
     for r in pairs.select("k", "k2", C.structurally_equal(F.col("v"), kind, F.col("w"), kind).alias("mine"), plain.alias("theirs")).collect():
         assert r.mine == r.theirs, (values[r.k], values[r.k2])
+
+
+def test_projection_deals_rows_to_tasks(spark):
+    remote, local, dirty = (spark.range(a, b).select("id", F.lit(x).alias("x")) for a, b, x in ((0, 60, "r"), (30, 90, "l"), (40, 70, "d")))
+    out = K.projection(remote, local.union(local), dirty, "id", task_rows=10)
+    assert out.rdd.getNumPartitions() >= math.ceil(120 / 10)
+    assert sorted(map(tuple, out.collect())) == sorted([(k, "r") for k in range(40)] + [(k, "l") for k in range(40, 70)])
