@@ -9,9 +9,10 @@ score, then newest, then id.
 Statistics (number of documents, mean length, documents per group) cover the whole
 table; filters and visibility apply to results. Texts are normalised (NFKC) and cut
 into words once, when they go into an index: a folder of segments with a row for each
-word's place in each document, sorted by word within each file; building one takes no
-shuffle. A query reads the words it asks for, by filters that the Parquet reader gets,
-and shuffles those rows alone.
+word's place in each document, sorted by word within each file. Texts are dealt to tasks
+by their bytes first, however few files they come in, so no task grows with the table. A
+query reads the words it asks for once, by filters that the Parquet reader gets, shuffles
+those rows alone, and keeps what each document holds of them as a written table.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from lodestrata.types import TableSpec
 # Fixed values of the scoring rule.
 K1, B = 1.2, 0.75
 EXACT_BONUS, NEAR_BONUS = 0.1, 0.2
+#: Bytes of text that a task cuts into words, and places of words that a task of a query may get.
+TASK_BYTES, TASK_PLACES = 8 << 20, 4_000_000
 
 
 @dataclass(frozen=True)
@@ -106,7 +109,9 @@ class SearchIndex(Segments):
     def add(self, df: DataFrame, normalised: bool = False) -> SearchIndex:
         """Documents to add, or to replace where their ids are there; null texts count as empty. normalised: the texts are in NFKC already."""
         text = F.col(self.field) if normalised else nfkc(F.col(self.field))
-        return self._write(df.select(self.id_column, F.posexplode(F.concat(tokens(text), F.array(F.lit("")))).alias("pos", "term")))
+        size = df.agg(F.sum(F.octet_length(self.field))).first()[0] or 0
+        dealt = df.select(self.id_column, self.field).repartition(max(self.spark.sparkContext.defaultParallelism, math.ceil(size / TASK_BYTES)), self.id_column)
+        return self._write(dealt.select(self.id_column, F.posexplode(F.concat(tokens(text), F.array(F.lit("")))).alias("pos", "term")))
 
     def remove(self, ids: DataFrame) -> SearchIndex:
         return self._write(ids.select(self.id_column, F.lit(-1).alias("pos"), F.lit("").alias("term")))
@@ -139,17 +144,23 @@ def search_index(df: DataFrame, index: SearchIndex, plan: SearchPlan | None, cre
     # A word may be in an exact group and in the prefix group.
     groups = F.array_compact(F.array(*[F.when(term == w, F.lit(k)) for k, w in enumerate(plan.exact)], F.when(term.startswith(plan.prefix), F.lit(n_groups - 1))))
     rows = index.postings(wanted).select(key, "pos", F.explode(groups).alias("g"))
-    places = [F.array_sort(F.collect_list(F.struct("pos", "g"))).alias("_places")] if n_groups > 1 else []
-    hits = rows.groupBy(key).agg(*[F.count_if(F.col("g") == k).alias(f"_tf{k}") for k in range(n_groups)], *places)
     size = index.docs().agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).first()  # two numbers, over the whole table
-    holding = rows.select(key, "g").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("df")).collect()  # one for each group
-    df_of = {r["g"]: r["df"] for r in holding}
-    found = hits.where(" AND ".join(f"_tf{k} > 0" for k in range(n_groups))).join(index.docs().select(key, F.col("len").alias("_len")), key)
     n, mean = size["n"], size["mean"] or 0.0
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * mean / TASK_PLACES))
+    whole = " AND ".join(f"_tf{k} > 0" for k in range(n_groups))
+    places = [F.array_sort(F.collect_list(F.struct("pos", "g"))).alias("_places")] if n_groups > 1 else []
+    held = rows.repartition(parts, key).groupBy(key).agg(*[F.count_if(F.col("g") == k).alias(f"_tf{k}") for k in range(n_groups)], *places)
+    if places:
+        held = held.withColumn("_places", F.when(F.expr(whole), F.col("_places")))
+    path = shared_folder(df.sparkSession, "hits")
+    held.write.parquet(path)
+    hits = df.sparkSession.read.schema(held.schema).parquet(path)
+    df_of = hits.agg(*[F.count_if(F.col(f"_tf{k}") > 0) for k in range(n_groups)]).first()  # one number for each group
+    found = hits.where(whole).join(index.docs().select(key, F.col("len").alias("_len")), key)
     norm = F.when(F.col("_len") == 0, 1.0).otherwise(1 - B + B * F.col("_len") / F.lit(mean)) if mean else F.lit(1.0)
     score = F.lit(0.0)
     for k in range(n_groups):
-        df_k = df_of.get(k, 0)
+        df_k = df_of[k]
         idf = F.lit(math.log(1 + (n - df_k + 0.5) / (df_k + 0.5)))
         score = score + idf * (F.col(f"_tf{k}") * (K1 + 1)) / (F.col(f"_tf{k}") + K1 * norm)
         if k < n_groups - 1:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import canonical as C
 from lodestrata.operators import dependencies as D
 from lodestrata.operators import queue as K
+from lodestrata.operators import search as S
 from lodestrata.queries import nested as N
 
 SMALL = "/root/testdata/sf0.001"
@@ -51,3 +52,12 @@ def test_projection_deals_rows_to_tasks(spark):
     out = K.projection(remote, local.union(local), dirty, "id", task_rows=10)
     assert out.rdd.getNumPartitions() >= math.ceil(120 / 10)
     assert sorted(map(tuple, out.collect())) == sorted([(k, "r") for k in range(40)] + [(k, "l") for k in range(40, 70)])
+
+
+def test_texts_of_one_file_are_dealt_to_tasks(spark, tmp_path, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").coalesce(1)
+    monkeypatch.setattr(S, "TASK_BYTES", 20_000)
+    index = S.SearchIndex(spark, (tmp_path / "ix").as_uri(), "text", "doc_id").add(docs)
+    tasks = {r[0] for r in index.rows().select(F.input_file_name()).distinct().collect()}
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert len(tasks) > total // 20_000 // 2
