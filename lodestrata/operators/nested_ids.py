@@ -9,7 +9,7 @@ that all exist, or by a value of another kind, to which that member has no objec
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -35,6 +35,11 @@ def _flat(members: tuple[Validator, ...]) -> Iterator[Validator]:
         yield from _flat(m.members) if m.kind == "union" else [m]
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is worked out once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def references_in(value: Column, x: Validator, path: Column | str = "", choice: Column | None = None, member: int | None = None) -> Column:
     """The references of a VARIANT by its validator, as REFERENCE."""
     none, path = F.array().cast(REFERENCE), F.lit(path) if isinstance(path, str) else path
@@ -46,26 +51,29 @@ def references_in(value: Column, x: Validator, path: Column | str = "", choice:
     flat = lambda parts: F.coalesce(F.flatten(parts), none)
     if x.kind == "id":
         text = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
-        one = F.struct(path.alias("path"), F.lit(x.table).alias("tbl"), text.alias("id"), (F.lit(None) if choice is None else choice).cast("string").alias("choice"), F.lit(member).cast("int").alias("member"))
-        return F.when(text.isNotNull(), F.array(one).cast(REFERENCE)).otherwise(none)
+        one = lambda i: F.struct(path.alias("path"), F.lit(x.table).alias("tbl"), i.alias("id"), (F.lit(None) if choice is None else choice).cast("string").alias("choice"), F.lit(member).cast("int").alias("member"))
+        return _once(text, lambda i: F.when(i.isNotNull(), F.array(one(i)).cast(REFERENCE)).otherwise(none))
     if x.kind == "array":
         return flat(F.transform(as_list, lambda e, i: references_in(e, x.element, step(i.cast("string")), choice, member)))
     if x.kind == "record":
         return flat(F.transform(F.map_entries(as_map), lambda e: references_in(e["value"], x.element, step(e["key"]), choice, member)))
     if x.kind == "object":
-        parts = [references_in(F.element_at(as_map, F.lit(k)), f, step(F.lit(k)), choice, member) for k, f in x.fields if holds_ids(f)]
-        return F.when(as_map.isNotNull(), F.concat(*parts)).otherwise(none)
+        parts = lambda m: [references_in(F.element_at(m, F.lit(k)), f, step(F.lit(k)), choice, member) for k, f in x.fields if holds_ids(f)]
+        return _once(as_map, lambda m: F.when(m.isNotNull(), F.concat(*parts(m))).otherwise(none))
     members = list(_flat(x.members))
     if not all(map(holds_ids, members)):
         return none  # a member that asks for no reference accepts every value
     if choice is not None:
         raise ValueError("a union of ids may not stand within another one")
-    parts = []
-    for k, m in enumerate(members):
-        found = references_in(value, m, path, path, k)
+
+    def of_member(v: Column, k: int, m: Validator) -> Column:
         blank = F.array(F.struct(path, F.lit(m.table), F.lit(None).cast("string"), path, F.lit(k))).cast(REFERENCE)
-        parts.append(F.when(F.size(found) == 0, blank).otherwise(found))
-    return F.when(value.isNotNull() & (F.schema_of_variant(value) != "VOID"), F.concat(*parts)).otherwise(none)
+        return _once(references_in(v, m, path, path, k), lambda found: F.when(F.size(found) == 0, blank).otherwise(found))
+
+    def every(v: Column) -> Column:
+        return F.when(v.isNotNull() & (F.schema_of_variant(v) != "VOID"), F.concat(*[of_member(v, k, m) for k, m in enumerate(members)])).otherwise(none)
+
+    return _once(value, every)
 
 
 def row_references(rows: DataFrame, key: str, document: str, spec: TableSpec) -> DataFrame:
@@ -78,11 +86,11 @@ def missing_nested(references: DataFrame, known: DataFrame, key: str) -> DataFra
     """key, tbl, id, once each, of references to what known (tbl, id) lacks; a union asks for all of its members' ids, if none of them is satisfied."""
     here = known.select(F.col("tbl").alias("_tbl"), F.col("id").alias("_id")).distinct()
     found = references.join(here, (F.col("tbl") == F.col("_tbl")) & (F.col("id") == F.col("_id")), "left").withColumn("ok", F.col("id").isNull() | F.col("_id").isNotNull()).drop("_tbl", "_id")
-    plain = found.where("choice IS NULL AND NOT ok")
-    members = found.where("choice IS NOT NULL").groupBy(key, "choice", "member").agg(F.min("ok").alias("whole"))
-    unmet = members.groupBy(key, "choice").agg(F.max("whole").alias("any")).where("NOT any").select(F.col(key).alias("_key"), F.col("choice").alias("_choice"))
-    chosen = found.where("choice IS NOT NULL AND NOT ok").join(unmet, (F.col(key) == F.col("_key")) & (F.col("choice") == F.col("_choice")), "left_semi")
-    return plain.select(key, "tbl", "id").unionByName(chosen.select(key, "tbl", "id")).distinct()
+    # References are read once and meet by their row, so what follows needs no other shuffle.
+    lost = F.collect_set(F.when(~F.col("ok"), F.struct("tbl", "id")))
+    members = found.where("choice IS NOT NULL OR NOT ok").repartition(key).groupBy(key, "choice", "member").agg(F.min("ok").alias("whole"), lost.alias("lost"))
+    unions = members.groupBy(key, "choice").agg(F.max("whole").alias("any"), F.flatten(F.collect_list("lost")).alias("lost"))
+    return unions.where("choice IS NULL OR NOT any").select(key, F.explode("lost").alias("l")).select(key, "l.*").distinct()
 
 
 # Translation

@@ -9,6 +9,7 @@ from lodestrata.operators import dependencies as D
 from lodestrata.operators import queue as K
 from lodestrata.operators import search as S
 from lodestrata.queries import nested as N
+from lodestrata.queries import references as R
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -61,3 +62,7 @@ def test_texts_of_one_file_are_dealt_to_tasks(spark, tmp_path, monkeypatch):
     tasks = {r[0] for r in index.rows().select(F.input_file_name()).distinct().collect()}
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0]
     assert len(tasks) > total // 20_000 // 2
+
+
+def test_references_are_read_once(spark):
+    assert plan_of(R.missing_nested_refs(spark, SMALL)).count("Generate explode") == 2  # the references, and the ids that are missing
