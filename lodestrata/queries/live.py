@@ -10,6 +10,9 @@ from lodestrata.sources.store import Store
 from lodestrata.sources.tables import shared_folder
 from lodestrata.streaming import feeds, live
 
+#: Updates that a file of the stream holds, about.
+FILE_ROWS = 20_000
+
 
 @query(
     "WITH u AS (SELECT conv_id, turn, coalesce(strlen(text), 0) AS b, max(CASE WHEN turn % 7 = 5 THEN turn END) OVER (PARTITION BY conv_id) AS e FROM conversations), "
@@ -27,10 +30,12 @@ def live_tail(spark, d):
         F.array(once(F.col("role"), F.col("turn"), F.col("text")), once(F.lit("sys"), F.lit(0), F.lit("once"))).alias("ops"),
     )
     folder = shared_folder(spark, "live")
+    # A document's updates of a batch are in one file; larger batches have more files.
+    files = max(1, c.count() // FILE_ROWS)
     for low, high in ((-1, 1), (1, 4), (4, 1 << 30)):
-        updates.where((F.col("n") > low) & (F.col("n") <= high)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        updates.where((F.col("n") > low) & (F.col("n") <= high)).repartition(files, "collection", "doc").write.mode("append").parquet(f"{folder}/in")
     store = Store(spark, f"{folder}/store", live.TABLES)
-    rows = feeds.stream(spark, f"{folder}/in", updates.schema, 1)
+    rows = feeds.stream(spark, f"{folder}/in", updates.schema, files)
     sink = lambda batch, number: live.record_updates(store, batch, number, keep=3, budget=900)
     done = rows.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     done.awaitTermination()

@@ -34,6 +34,12 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
     return f"{path}/data"
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``shared_folder`` gave, once no result reads it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at.getParent(), True)
+
+
 def read_table(spark: SparkSession, path: str, spec: TableSpec | None = None, kind: str = "parquet") -> DataFrame:
     """A table with its declared schema, which spares JSON and CSV a pass to infer one."""
     if kind not in FORMATS:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests.oracle import connect, difference
 
-from lodestrata.queries import QUERIES, SQL
+from lodestrata.queries import QUERIES, SQL, live
 
 SMALL = "/root/testdata/sf0.001"
 KEYS = {"events": "event_id", "orders": "o_orderkey"}
@@ -23,3 +23,9 @@ def twice(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["upsert", "apply_changes", "insert"])
 def test_keys_of_another_origin(spark, twice, name):
     assert difference(QUERIES[name](spark, twice), connect(twice), SQL[name]) == ""
+
+
+def test_batches_of_many_files(spark, monkeypatch):
+    rows = spark.read.parquet(f"{SMALL}/conversations.parquet").count()
+    monkeypatch.setattr(live, "FILE_ROWS", rows // 3)
+    assert difference(QUERIES["live_tail"](spark, SMALL), connect(SMALL), SQL["live_tail"]) == ""
